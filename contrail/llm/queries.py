@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import mixing, quality_rules
 from ._store import materialise
 
 
@@ -22,9 +22,36 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sizes = materialise(mixing.sized(docs).drop("text"), "op2-sizes")
+    return mixing.in_order(mixing.plan(sizes).select("doc_id", "size", "source_size", "target", "taken", "position"), "doc_id")
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][place % 3 + 1] AS DOUBLE) AS weight, 3.0::DOUBLE * source_size AS full_size FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(full_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+      FROM w WINDOW b AS (ORDER BY full_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT arg_min(level, full_size / weight) AS open_level FROM l WHERE level * weight <= full_size),
+t AS (SELECT source, source_size, place, least(full_size, coalesce((SELECT open_level FROM o), 'inf'::DOUBLE) * weight) AS target FROM l),
+p AS (SELECT doc_id, d.source, size, source_size, place, target,
+      CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(doc_id::VARCHAR), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS served
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+u AS (SELECT *, CASE WHEN target > 0 THEN least(1.0::DOUBLE, served / target) END AS u FROM p)
+SELECT doc_id, size, source_size, target,
+  CAST(greatest(0, least(size, floor(target) - served)) + greatest(0, least(size, floor(target) - served - source_size))
+     + greatest(0, least(size, floor(target) - served - 2 * source_size)) AS BIGINT) AS taken,
+  coalesce(CASE place % 3 WHEN 0 THEN (sqrt(greatest(0.0::DOUBLE, 2.25::DOUBLE + -2.0::DOUBLE * u)) - 1.5::DOUBLE) / -1.0::DOUBLE
+     WHEN 1 THEN u / 1.0::DOUBLE ELSE (sqrt(greatest(0.0::DOUBLE, 0.25::DOUBLE + 2.0::DOUBLE * u)) - 0.5::DOUBLE) / 1.0::DOUBLE END, 0.0::DOUBLE) AS position
+FROM u
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_quality_rules": op8_quality_rules}
+    return {f.__name__: f for f in (op2_mixing, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": OP2_SQL}
