@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples (operator 5).
 
-Texts are TF-IDF vectors over the terms that tell the labels apart (chi-square on the labelled sample); document
+Texts are TF-IDF vectors over the words and word beginnings that tell the labels apart (chi-square on the labelled sample); document
 frequencies come from the whole corpus. The labelled examples lie in an inverted index whose lists are cut into blocks
 of BLOCK examples with each block's largest weight. A text visits the blocks in the order of their bounds and stops when no
 bound beats its k-th cosine, so the neighbours are exact. Their votes, weighted by cosine and smoothed by the prior, are
@@ -26,12 +26,16 @@ from ._store import materialise
 from ._text import Words, distinct, mix, owners, prefix_hash, range_hash, steps, text_udf
 
 PER_CLASS, MAX_TEXT_BYTES, MAX_TERMS, NEIGHBOURS, BLOCK = 2000, 65_536, 1024, 15, 64
-MIN_CHI2, PRIOR_WEIGHT = 15.0, 0.5
+MIN_CHI2, MIN_SHARE, PRIOR_WEIGHT, PREFIXES = 40.0, 0.015, 0.5, (4, 5, 6, 7, 8, 9)
 _MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, hash) of the words of texts, in lower case, without punctuation at their ends; words of marks are left out."""
+    """(owner, hash) of the terms of texts.
+
+    Terms are words, in lower case and without punctuation at their ends, and the first PREFIXES bytes of longer words,
+    which catch the forms of a word that the labelled sample doesn't have.
+    """
     words = Words(texts, fold=True)
     start, end, of = words.start.copy(), words.end.copy(), owners(words.offsets)
     if not len(start):
@@ -44,7 +48,14 @@ def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         start += left
         end -= right
     keep = start < end
-    return of[keep], range_hash(prefix_hash(words.data, True), start[keep], end[keep])
+    of, start, end, sums = of[keep], start[keep], end[keep], prefix_hash(words.data, True)
+    owner, found = [of], [range_hash(sums, start, end)]
+    for n in PREFIXES:
+        longer = end - start > n
+        of, start, end = of[longer], start[longer], end[longer]
+        owner.append(of)
+        found.append(mix(range_hash(sums, start, start + n) + np.uint64(n)))
+    return np.concatenate(owner), np.concatenate(found)
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     b, c, d = F.col("n") - a, n1 - a, (n - n1) - (F.col("n") - a)
     chi2 = n * F.pow(a * d - b * c, F.lit(2)) / (n1 * (n - n1) * F.col("n") * (n - F.col("n")) + 1e-9)
     counts = sample.select("text", "y").mapInArrow(_term_counts, "term bigint, n1 bigint, n bigint").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n"))
-    chosen = counts.select("term", chi2.alias("chi2")).filter(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").limit(max_terms).collect()
+    common = (a >= MIN_SHARE * n1) | (b >= MIN_SHARE * (n - n1))  # a term of one group of copies tells nothing
+    chosen = counts.filter(common).select("term", chi2.alias("chi2")).filter(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").limit(max_terms).collect()
     known = np.sort(np.array([r["term"] for r in chosen], np.int64).view(np.uint64))
     if not len(known):
         return ToxicityModel(none.astype(np.uint64), none, none, np.r_[np.zeros(n - n1), np.ones(n1)], none, none, none)
@@ -190,7 +202,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     for i, r in enumerate(found):
         if r["terms"]:
             votes[i] = model.vote(*model.nearest(np.asarray(r["terms"]), np.asarray(r["weights"]), without=i))
-    # the sample holds the labels in other shares than the labelled rows: weigh the fit back to them
     model.calibration = Logistic(votes, model.labels)
     return model
 
