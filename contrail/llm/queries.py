@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_compression, quality_rules, toxicity
+from . import class_lm, mixing, quality_compression, quality_rules, toxicity
 from ._labels import fold_of
 from ._store import materialise
 
@@ -66,8 +66,16 @@ FROM u
 """
 
 
+def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = fold_of(F.col("doc_id"))
+    corpus = class_lm.count(docs, fold != 1)
+    scored = class_lm.scored(corpus, class_lm.fit(corpus))
+    return scored.select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", F.lit(corpus.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op5_toxicity, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op5_toxicity, op8_quality_rules, op9_class_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
