@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, mixing, packing, pii, quality_compression, quality_rules, topk_search, toxicity
+from . import class_lm, mixing, neardup, packing, pii, quality_compression, quality_rules, topk_search, toxicity
 from ._labels import fold_of
 from ._store import materialise
 
@@ -35,6 +35,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(docs).select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_entities"), "pii_kinds")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -104,7 +108,7 @@ def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_packing, op5_toxicity, op6_topk, op7_pii, op8_quality_rules, op9_class_lm)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_packing, op4_near_duplicates, op5_toxicity, op6_topk, op7_pii, op8_quality_rules, op9_class_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
