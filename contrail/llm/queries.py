@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, mixing, neardup, packing, pii, quality_compression, quality_rules, topk_search, toxicity
+from . import class_lm, mixing, neardup, packing, pii, quality_compression, quality_rules, suffix_dedup, topk_search, toxicity
 from ._labels import fold_of
 from ._store import materialise
 
@@ -107,8 +107,13 @@ def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", F.lit(corpus.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_packing, op4_near_duplicates, op5_toxicity, op6_topk, op7_pii, op8_quality_rules, op9_class_lm)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_packing, op4_near_duplicates, op5_toxicity, op6_topk, op7_pii, op8_quality_rules, op9_class_lm, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
