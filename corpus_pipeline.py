@@ -1,16 +1,109 @@
-"""A corpus pipeline of five stages over the training-data operators."""
+"""A corpus pipeline: quality rules, near-dedup, personal data, mixing, packing.
 
-from __future__ import annotations
+Each stage takes the documents that its predecessor kept and returns the columns of documents; the last one returns pieces
+of packed sequences. Rows need no unique ids: stages that bring decisions back to texts number the rows first.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from contrail.llm import mixing, neardup, packing, pii, quality_rules
+from contrail.llm._store import materialise
+from contrail.llm._text import Words
+from contrail.llm.queries import tokenizer_file
+
+#: Rows that a scan may learn to leave out by broadcast; more are joined.
+BROADCAST_ROWS = 1_000_000
+
+
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs as a written table with a row number: all columns as _doc, the ones that operators read beside it."""
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    return materialise(rows, name)
+
+
+def _with_text(docs: DataFrame, columns: list[str], text: str) -> list:
+    """The columns of documents with another text and its length."""
+    return [F.col(text).alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_doc.`{c}`").alias(c) for c in columns]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that the rules' posterior finds good."""
+    model = quality_rules.learn(quality_rules.with_counts(docs.select("text")))
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    return quality_rules.judged(quality_rules.with_counts(rows), model).filter("kept").select("_doc.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id."""
+    rows = _numbered(docs, "pipeline-rows")
+    found = neardup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text")))
+    groups = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"))
+    several = groups.join(groups.filter("_row <> group").select("group").distinct(), "group", "left_semi")
+    several = several.join(rows.select("_row", F.struct("_doc.doc_id", "_row").alias("rank")), "_row")
+    stays = several.groupBy("group").agg(F.min("rank").alias("rank")).select(F.col("rank._row").alias("_row"))
+    gone = materialise(several.select("_row").join(stays, "_row", "left_anti"), "pipeline-gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return rows.join(gone, "_row", "left_anti").select("_doc.*")
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with surrogates for personal data."""
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    return pii.replace(rows).select(*_with_text(docs, docs.columns, "text"))
+
+
+def _first_words(texts: pa.Array, words: pa.Array) -> pa.Array:
+    out = []
+    for text, k in zip(texts, words.to_pylist(), strict=True):
+        if not text.is_valid:
+            out.append(None)
+            continue
+        one = Words(pa.array([text], texts.type))
+        out.append(one.data[: one.end[k - 1]].tobytes().decode())
+    return pa.array(out, pa.string())
+
+
+_first_words.__annotations__ = {"texts": pa.Array, "words": pa.Array, "return": pa.Array}
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix serves them, the last one of a source cut at its target, in training order."""
+    named = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    rows = materialise(mixing.sized(named).drop("text"), "pipeline-sized")
+    planned = mixing.plan(rows.select("_row", "doc_id", "source", "size"), ties=["_row"])
+    served = mixing.occurrences(planned).select("_row", "position", "epoch", "words")
+    whole = rows.select("_row", "size", "_doc").join(served, "_row")
+    cut = F.col("words") < F.col("size")
+    text = F.when(cut, F.arrow_udf(_first_words, "string")(F.when(cut, F.col("_doc.text")), F.col("words"))).otherwise(F.col("_doc.text"))
+    ordered = mixing.in_order(whole.select("_doc", "size", "words", "position", "epoch", "_row"), "_row", "epoch")
+    return ordered.select(text.alias("_text"), "_doc").select(*_with_text(docs, docs.columns, "_text"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences that hold the sources in the mix's proportions."""
+    return packing.pack(docs, tokenizer_file())
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES = [
+    ("quality rules", keep_quality),
+    ("near-duplicates", drop_near_duplicates),
+    ("personal data", replace_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
+#: The posterior of the rules, sketches and tokenisation are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return docs
