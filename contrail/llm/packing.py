@@ -35,7 +35,8 @@ from ._text import Words, distinct, steps
 SEQUENCE, WINDOW, MIN_RUN, END_ID = 2048, 32, 64, 1
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 TOKENS = "doc_id bigint, source string, part bigint, place bigint, n bigint, ids binary"
-REMEMBERED = 1_000_000
+#: Words whose ids a Python worker remembers, over all of its tasks; then it starts anew.
+REMEMBERED = 2_000_000
 
 
 @lru_cache(maxsize=2)
@@ -53,16 +54,34 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        self.path, self.hashes, self.lists = path, np.empty(0, np.uint64), (np.empty(0, np.int64), np.empty(0, np.uint32))
-
-    def _learn(self, names: list[bytes], hashes: np.ndarray) -> None:
-        found = _tokenizer(self.path).encode_batch_fast([x.decode("utf-8", "replace") for x in names], add_special_tokens=False)
-        ids = [x.ids for x in found]
-        if len(self.hashes) + len(hashes) > REMEMBERED:
-            self.hashes, self.lists = np.empty(0, np.uint64), (np.empty(0, np.int64), np.empty(0, np.uint32))
-        counts = np.r_[self.lists[0], [len(x) for x in ids]].astype(np.int64)
-        flat = np.r_[self.lists[1], np.fromiter((y for x in ids for y in x), np.uint32)]
-        known = np.r_[self.hashes, hashes]
+        self.path, self.tokenizer = path, _tokenizer(path)
+        marks = [(t.content, k) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.mark, self.mark_id = marks[0] if marks else (None, None)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.lists = np.empty(0, np.uint64), (np.empty(0, np.int64), np.empty(0, np.uint32))
+
+    def _encode(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids per word, ids). A special token between the words of a block shows where their ids end."""
+        blocks = [names[k : k + 1000] for k in range(0, len(names), 1000)]
+        joined = self.tokenizer.encode_batch_fast([self.mark.join(x) for x in blocks], add_special_tokens=False) if self.mark else [None] * len(blocks)
+        counts, flat = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+        for block, found in zip(blocks, joined, strict=True):
+            ids = np.array(found.ids if found else [], np.uint32)
+            cut = np.flatnonzero(ids == self.mark_id) if found else np.empty(0, np.int64)
+            if len(cut) == len(block) - 1 and found:
+                counts.append(np.diff(np.r_[-1, cut, len(ids)]) - 1)
+                flat.append(ids[ids != self.mark_id])
+            else:  # no such token, or one of the words holds it
+                each = [x.ids for x in self.tokenizer.encode_batch_fast(block, add_special_tokens=False)]
+                counts.append(np.array([len(x) for x in each], np.int64))
+                flat.append(np.fromiter((y for x in each for y in x), np.uint32))
+        return np.concatenate(counts), np.concatenate(flat)
+
+    def _learn(self, names: list[str], hashes: np.ndarray) -> None:
+        counts, flat = self._encode(names)
+        counts, flat, known = np.r_[self.lists[0], counts], np.r_[self.lists[1], flat], np.r_[self.hashes, hashes]
         order = np.argsort(known, kind="stable")
         starts = (np.cumsum(counts) - counts)[order]
         counts = counts[order]
@@ -79,8 +98,8 @@ class Encoder:
         if new.any():
             if new.sum() + len(self.hashes) > REMEMBERED:
                 new[:] = True
-                self.hashes, self.lists = np.empty(0, np.uint64), (np.empty(0, np.int64), np.empty(0, np.uint32))
-            self._learn([words.word(k) for k in first[new]], seen[new])
+                self._forget()
+            self._learn(_names(words, first[new]), seen[new])
         counts, flat = self.lists
         starts = np.cumsum(counts) - counts
         place = np.searchsorted(self.hashes, seen)[codes]
@@ -94,6 +113,16 @@ class Encoder:
         return of_text, out
 
 
+def _names(words: Words, places: np.ndarray) -> list[str]:
+    """The words at places, by one split of their bytes; no word holds a line end."""
+    size = words.end[places] - words.start[places] + 1
+    out = np.full(int(size.sum()), 10, np.uint8)
+    at = np.cumsum(size) - size
+    inner = _ranges(np.zeros(len(size), np.int64), size - 1)
+    out[np.repeat(at, size - 1) + inner] = words.data[np.repeat(words.start[places], size - 1) + inner]
+    return out.tobytes().decode("utf-8", "replace").split("\n")[:-1]
+
+
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... counts[0] of them, then those of starts[1], and so on."""
     total = int(counts.sum())
@@ -101,6 +130,11 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - first, counts)
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, queues = Encoder(path), TaskContext.get().partitionId(), {}
