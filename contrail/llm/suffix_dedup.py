@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from ._store import materialise
 from ._text import distinct, mix, prefix_hash, range_hash, steps, text_bytes
 
-SPAN, GRAM, CHUNK_BYTES, BUCKET_BYTES, FREQUENT = 50, 16, 4 << 20, 32 << 20, 1000
+SPAN, GRAM, CHUNK_BYTES, BUCKET_BYTES, MIN_BUCKETS, FREQUENT = 50, 24, 4 << 20, 16 << 20, 128, 1000
 #: Answers of at most so many bytes are broadcast to the scan of chunks; more are joined.
 BROADCAST_BYTES = 64 << 20
 LAST = np.iinfo(np.int64).max
@@ -140,7 +141,7 @@ def _row_anchors(row: dict, span: int) -> Anchors:
     return Anchors(np.frombuffer(row["data"], np.uint8), np.frombuffer(row["lengths"], np.int64), ids, span)
 
 
-def _send_anchors(span: int, buckets: int):
+def _send_anchors(span: int, buckets: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -148,25 +149,47 @@ def _send_anchors(span: int, buckets: int):
                 cut = np.searchsorted(bucket, np.arange(buckets + 1))
                 pieces = list(zip(cut, cut[1:], strict=False))
                 docs = np.minimum(docs, 65535).astype(np.uint16)
-                yield pa.RecordBatch.from_pydict({"bucket": list(range(buckets)), "chunk": [row["chunk"]] * buckets, "keys": [keys[a:b].tobytes() for a, b in pieces], "docs": [docs[a:b].tobytes() for a, b in pieces]}, schema=pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())]))
+                yield pa.RecordBatch.from_pydict({"bucket": list(range(buckets)), "chunk": [row["chunk"]] * buckets, "keys": [keys[a:b].view(np.uint8).reshape(-1, 8)[:, :width].tobytes() for a, b in pieces], "docs": [docs[a:b].tobytes() for a, b in pieces]}, schema=pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())]))
 
     return run
 
 
-def _judge_anchors(table: pa.Table) -> pa.Table:
-    rows = table.to_pydict()
-    keys = np.frombuffer(b"".join(rows["keys"]), np.uint64)
-    codes, seen, _ = distinct(keys)
-    docs = np.bincount(codes, weights=np.frombuffer(b"".join(rows["docs"]), np.uint16), minlength=len(seen))
-    level = ((docs > 1).astype(np.uint8) + (docs > FREQUENT).astype(np.uint8))[codes]
-    ends = np.cumsum([len(x) // 8 for x in rows["keys"]])
-    return pa.table({"chunk": pa.array(rows["chunk"], pa.int64()), "bucket": pa.array(rows["bucket"], pa.int64()), "answer": pa.array([level[a:b].tobytes() for a, b in zip(np.r_[0, ends], ends, strict=False)], pa.binary())})
+def _judge_anchors(width: int):
+    """Keys that collide in the bytes sent become candidates too: they cost work, not exactness."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pydict()
+        sent = np.frombuffer(b"".join(rows["keys"]), np.uint8).reshape(-1, width)
+        keys = np.zeros((len(sent), 8), np.uint8)
+        keys[:, :width] = sent
+        codes, seen, _ = distinct(keys.view(np.uint64).ravel())
+        docs = np.bincount(codes, weights=np.frombuffer(b"".join(rows["docs"]), np.uint16), minlength=len(seen))
+        level = ((docs > 1).astype(np.uint8) + (docs > FREQUENT).astype(np.uint8))[codes]
+        return _answers(rows, level, [len(x) // width for x in rows["keys"]])
+
+    return run
+
+
+def _answers(rows: dict, values: np.ndarray, sizes: list[int]) -> pa.Table:
+    """One compressed answer for each chunk that asked a bucket."""
+    pack, ends = zstandard.ZstdCompressor(level=1), np.cumsum(sizes)
+    return pa.table({"chunk": pa.array(rows["chunk"], pa.int64()), "bucket": pa.array(rows["bucket"], pa.int64()), "answer": pa.array([pack.compress(values[b - n : b].tobytes()) for n, b in zip(sizes, ends, strict=True)], pa.binary())})
+
+
+def _unpacked(blob: bytes) -> bytes:
+    """The answers of all buckets in a row; each stands behind its length."""
+    unpack, out, at = zstandard.ZstdDecompressor(), [], 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at : at + 4], "little")
+        out.append(unpack.decompress(blob[at + 4 : at + 4 + n]))
+        at += 4 + n
+    return b"".join(out)
 
 
 def _items(row: dict, span: int, buckets: int) -> tuple[Anchors, Items]:
     anchors = _row_anchors(row, span)
     code, *_ = anchors.distinct(buckets)
-    level = np.frombuffer(row["levels"], np.uint8)[code]
+    level = np.frombuffer(_unpacked(row["levels"]), np.uint8)[code]
     return anchors, Items(anchors, level, buckets)
 
 
@@ -308,15 +331,14 @@ def _judge_items(span: int):
         flat = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
         bits = (found[flat] < np.repeat(least, count)).astype(np.uint64) << (np.arange(len(flat)) - np.repeat(ends - count, count)).astype(np.uint64)
         masks = np.add.reduceat(bits, ends - count) if len(ends) else np.empty(0, np.uint64)
-        cut = np.cumsum([len(x) // 8 for x in rows["keys"]])
-        return pa.table({"chunk": pa.array(rows["chunk"], pa.int64()), "bucket": pa.array(rows["bucket"], pa.int64()), "answer": pa.array([masks[a:b].tobytes() for a, b in zip(np.r_[0, cut], cut, strict=False)], pa.binary())})
+        return _answers(rows, masks, [len(x) // 8 for x in rows["keys"]])
 
     return run
 
 
 def _gather(name: str):
     def run(table: pa.Table) -> pa.Table:
-        return pa.table({"chunk": table.column("chunk")[:1], name: pa.array([b"".join(table.sort_by("bucket").column("answer").to_pylist())], pa.binary())})
+        return pa.table({"chunk": table.column("chunk")[:1], name: pa.array([b"".join(len(x).to_bytes(4, "little") + x for x in table.sort_by("bucket").column("answer").to_pylist())], pa.binary())})
 
     return run
 
@@ -327,7 +349,7 @@ def _cut(span: int, buckets: int):
             for row in batch.to_pylist():
                 anchors, items = _items(row, span, buckets)
                 lengths = np.frombuffer(row["lengths"], np.int64)
-                masks = np.frombuffer(row["masks"], np.uint64)[items.code]
+                masks = np.frombuffer(_unpacked(row["masks"]), np.uint64)[items.code]
                 masks = np.where(items.doc > items.least[items.code], np.uint64(2**64 - 1), masks)
                 covered = np.zeros(len(anchors.data) + 1, np.int64)
                 for k in range(int(items.count.max()) if len(items.count) else 0):
@@ -362,9 +384,11 @@ def repeated_passages(docs: DataFrame, span: int = SPAN) -> DataFrame:
         raise ValueError("span must be over GRAM and at most 56 bytes")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     chunks = materialise(rows.mapInArrow(_chunks, CHUNK), "suffix-chunks")
-    buckets = max(64, -(-(chunks.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES))
-    sent = chunks.mapInArrow(_send_anchors(span, buckets), "bucket bigint, chunk bigint, keys binary, docs binary")
-    chunks = _tell(chunks, sent.groupBy("bucket").applyInArrow(_judge_anchors, "chunk bigint, bucket bigint, answer binary"), "levels")
+    total = chunks.agg(F.sum("size")).first()[0] or 0
+    buckets = max(MIN_BUCKETS, -(-total // BUCKET_BYTES))
+    width = min(8, 2 + (total.bit_length() + 7) // 8)  # bytes of a key that tell the corpus's anchors apart, but for one in thousands
+    sent = chunks.mapInArrow(_send_anchors(span, buckets, width), "bucket bigint, chunk bigint, keys binary, docs binary")
+    chunks = _tell(chunks, sent.groupBy("bucket").applyInArrow(_judge_anchors(width), "chunk bigint, bucket bigint, answer binary"), "levels")
     sent = chunks.mapInArrow(_send_items(span, buckets), "bucket bigint, chunk bigint, keys binary, contents binary, least binary, sizes binary, data binary")
     chunks = _tell(chunks, sent.groupBy("bucket").applyInArrow(_judge_items(span), "chunk bigint, bucket bigint, answer binary"), "masks")
     return chunks.mapInArrow(_cut(span, buckets), CUT)
