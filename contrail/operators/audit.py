@@ -55,7 +55,7 @@ def historical_overlap(fresh: DataFrame, history: Sequence[DataFrame], fields: S
     for h in history:
         both = both.unionByName(mark(h, "old"))
     each = both.groupBy("field", "value").agg(F.max(F.col("side") == "fresh").alias("f"), F.max(F.col("side") == "old").alias("o"))
-    return each.groupBy("field").agg(F.count_if("f").alias("fresh"), F.count_if("o").alias("old"), F.count_if("f and o").alias("overlap"))
+    return each.groupBy("field").agg(F.count_if("f").alias("fresh"), F.count_if("o").alias("old"), F.count_if(F.expr("f and o")).alias("overlap"))
 
 
 def event_digest(*body: Column) -> Column:

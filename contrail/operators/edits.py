@@ -88,5 +88,5 @@ def merge_proposed(edits: DataFrame) -> DataFrame:
 
 def plan_summary(results: DataFrame, edits: DataFrame, conflicts: DataFrame) -> DataFrame:
     """One row."""
-    a = results.agg(F.count_if("outcome = 'DETERMINISTIC_CANDIDATE'").alias("repairable"), F.count_if("outcome = 'UNSUPPORTED'").alias("unsupported"), F.count_if("outcome = 'AI_REQUIRED'").alias("ambiguous"))
+    a = results.agg(F.count_if(F.expr("outcome = 'DETERMINISTIC_CANDIDATE'")).alias("repairable"), F.count_if(F.expr("outcome = 'UNSUPPORTED'")).alias("unsupported"), F.count_if(F.expr("outcome = 'AI_REQUIRED'")).alias("ambiguous"))
     return a.crossJoin(edits.agg(F.count("*").alias("edits"), F.count_distinct("file").alias("files"))).crossJoin(conflicts.agg(F.count("*").alias("conflicts")))

@@ -112,6 +112,6 @@ def impact_overview(impacted: DataFrame, by: str = "repo_id", direct: int = 8, i
     w = Window.partitionBy(by, "impact_type").orderBy("distance", "symbol_id")
     rows = impacted.withColumn("_n", F.row_number().over(w))
     listed = lambda kind, k: F.array_sort(F.collect_list(F.when((F.col("impact_type") == kind) & (F.col("_n") <= k), F.struct("_n", "symbol_id"))))
-    g = rows.groupBy(by).agg(F.count_if("impact_type = 'DIRECT'").alias("direct_count"), F.count_if("impact_type = 'INDIRECT'").alias("indirect_count"), listed("DIRECT", direct).alias("d"), listed("INDIRECT", indirect).alias("i"))
+    g = rows.groupBy(by).agg(F.count_if(F.expr("impact_type = 'DIRECT'")).alias("direct_count"), F.count_if(F.expr("impact_type = 'INDIRECT'")).alias("indirect_count"), listed("DIRECT", direct).alias("d"), listed("INDIRECT", indirect).alias("i"))
     names = lambda c: F.transform(c, lambda x: x["symbol_id"])
     return g.select(by, "direct_count", "indirect_count", names("d").alias("direct"), names("i").alias("indirect"))

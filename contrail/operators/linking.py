@@ -51,7 +51,7 @@ def link(facts: DataFrame, symbols: DataFrame, bound: DataFrame) -> tuple[DataFr
 def coverage(files: DataFrame, facts: DataFrame, edges: DataFrame, unresolved: DataFrame) -> DataFrame:
     """one row a repository."""
     a = files.groupBy("repo_id").agg(F.count("*").alias("files_found"))
-    b = facts.groupBy("repo_id").agg(F.count_if("fact = 'error'").alias("files_failed"), F.count_if("fact = 'symbol'").alias("symbols"), F.count_if("fact = 'http'").alias("http_calls"), F.count_if("fact = 'call'").alias("calls_inspected"))
+    b = facts.groupBy("repo_id").agg(F.count_if(F.expr("fact = 'error'")).alias("files_failed"), F.count_if(F.expr("fact = 'symbol'")).alias("symbols"), F.count_if(F.expr("fact = 'http'")).alias("http_calls"), F.count_if(F.expr("fact = 'call'")).alias("calls_inspected"))
     c, d = edges.groupBy("repo_id").agg(F.count("*").alias("edges")), unresolved.groupBy("repo_id").agg(F.count("*").alias("calls_unresolved"))
     out = a.join(b, "repo_id", "left").join(c, "repo_id", "left").join(d, "repo_id", "left").na.fill(0)
     return out.withColumn("files_parsed", F.col("files_found") - F.col("files_failed"))
