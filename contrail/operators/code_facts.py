@@ -259,7 +259,7 @@ def python_facts(files: DataFrame) -> DataFrame:
                     found = visitor.rows
                 except (SyntaxError, ValueError, RecursionError) as error:
                     found = [{"fact": "error", "name": type(error).__name__, "line": getattr(error, "lineno", 1) or 1}]
-                rows += [{"repo_id": repo, "file": path} | r for r in found]
+                rows += [dict.fromkeys(columns) | {"repo_id": repo, "file": path} | r for r in found]
             yield pd.DataFrame(rows, columns=columns).astype({"line": "Int32", "end_line": "Int32"})
 
     return files.select("repo_id", "path", "content").mapInPandas(run, FACT)

@@ -26,8 +26,8 @@ def bindings(facts: DataFrame, modules: DataFrame) -> DataFrame:
     owners = modules.groupBy("repo_id", "module").agg(F.count_distinct("file").alias("n"), F.min("file").alias("only"), F.min(F.when(F.col("skipped") == 0, F.col("file"))).alias("whole"))
     owners = owners.select("repo_id", "module", F.coalesce("whole", F.when(F.col("n") == 1, F.col("only"))).alias("target_file")).filter("target_file is not null")
     direct = rows.join(owners, ["repo_id", "module"], "left")
-    inner = owners.select("repo_id", F.col("module").alias("_inner"), F.col("target_file").alias("_inner_file"))
-    both = direct.join(inner, (direct["repo_id"] == inner["repo_id"]) & (F.concat_ws(".", direct["module"], direct["member"]) == inner["_inner"]), "left").drop(inner["repo_id"])
+    inner = owners.select(F.col("repo_id").alias("_repo"), F.col("module").alias("_inner"), F.col("target_file").alias("_inner_file"))
+    both = direct.join(inner, (F.col("repo_id") == F.col("_repo")) & (F.concat_ws(".", "module", "member") == F.col("_inner")), "left")
     as_module = F.col("_inner_file").isNotNull()
     return both.select("repo_id", "file", "name", F.when(as_module, "module").otherwise(F.col("kind")).alias("kind"), F.when(~as_module, F.col("member")).alias("member"), F.coalesce("_inner_file", "target_file").alias("target_file"))
 
