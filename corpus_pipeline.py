@@ -34,8 +34,8 @@ def _with_text(docs: DataFrame, columns: list[str], text: str) -> list:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the rules' posterior finds good."""
     model = quality_rules.learn(quality_rules.with_counts(docs.select("text")))
-    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    return quality_rules.judged(quality_rules.with_counts(rows), model).filter("kept").select("_doc.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    return quality_rules.judged(quality_rules.with_counts(rows, "_doc.text"), model).filter("kept").select("_doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data."""
-    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    return pii.replace(rows).select(*_with_text(docs, docs.columns, "text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    return pii.replace(rows, text="_doc.text").select(*_with_text(docs, docs.columns, "`_doc.text`"))
 
 
 def _first_words(texts: pa.Array, words: pa.Array) -> pa.Array:
