@@ -8,10 +8,11 @@ No list is expanded into all of its pairs, and none is capped:
 1. stars: in each list, every member against the first one. Most copies are linked here.
 2. rare lists (at most RARE members): pairs that are not yet in one component. Members of frequent lists get further
    rare values from their whole sketch, so that a shared line or passage does not crowd out the rest of a text.
-3. frequent lists: only texts that consist mostly of frequent values can be similar without sharing rare ones. Of these,
-   every member outside of the list's largest component is compared with all members of other components. A group of
-   copies is one component by then, so this is linear in it; it grows with the product only for texts that share most of
-   their words without being similar.
+3. frequent lists: only texts that consist mostly of frequent values can be similar without sharing rare ones. Where such
+   a list still holds several components, the full sets of its members are counted: those that share a rare shingle are
+   compared; two others have at most their frequent shingles in common and all their rare ones apart, which bounds their
+   similarity. Members outside of the list's largest component are compared with those that the bound admits. A group
+   of copies is one component by then, and most texts next to it have too many shingles of their own to be admitted.
 
 Two sets of similarity 0.8 share none of 12 values with a probability of about 0.2 ** 12, and fall below the estimate's
 bound (5.5 standard deviations) with one of about 2e-8; all else is exact.
@@ -35,8 +36,8 @@ from ._store import materialise
 from ._text import Words, gram_hashes, gram_places, mix, steps
 from .components import components
 
-SHINGLE, SKETCH, INDEX, RARE, PERCENT = 5, 48, 12, 64, 80
-MOSTLY_FREQUENT, SIGMAS = 0.6, 5.5
+SHINGLE, SKETCH, INDEX, RARE, PERCENT = 5, 48, 12, 16, 80
+MOSTLY_FREQUENT, SIGMAS = 0.5, 5.5
 #: Ids up to this number are broadcast to the scan of texts; more are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -98,7 +99,7 @@ class _Search:
         self.base = materialise(rows, "neardup-sketches")
         nodes = self.base.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         self.nodes = materialise(nodes, "neardup-nodes")
-        self.tested, self.links = None, None
+        self.links = None
 
     def _lists(self, values: DataFrame) -> DataFrame:
         """(value, node, n) -> lists of two members or more, with their length and first member."""
@@ -111,13 +112,16 @@ class _Search:
         found = self.found
         return lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
+    def _with_largest(self, lists: DataFrame) -> DataFrame:
+        """Members of the lists that hold several components, with their own and the list's largest component."""
+        lists = self._with_components(lists)
+        by = lists.groupBy("value", "component").agg(F.count("*").alias("k")).groupBy("value").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1")
+        return lists.join(by.select("value", F.col("most.component").alias("largest")), "value")
+
     def _test(self, pairs: DataFrame) -> None:
         """Filter candidate pairs (a, b) by sketch, verify the rest, and add what is linked."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "neardup-pairs")
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         sketches = self.nodes.select("node", "n", "sketch", "rep")
         both = pairs
         for side in ("a", "b"):
@@ -153,7 +157,7 @@ class _Search:
             full = full.join(held.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
         links = materialise(full.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a binary, b binary"), "neardup-links")
         self.links = links if self.links is None else self.links.unionByName(links)
-        self.found = materialise(components(self.links).withColumnRenamed("component", "component"), "neardup-components")
+        self.found = materialise(components(self.links), "neardup-components")
 
     def run(self) -> DataFrame:
         """Stars, rare lists, frequent lists; gives (node, component)."""
@@ -168,20 +172,52 @@ class _Search:
         wide = self.nodes.join(touched, "node", "left_semi").select("node", "n", F.explode("sketch").alias("value"))
         wide = self._lists(wide)
         rare_lists = lists.filter(F.col("members") <= self.rare).select("value", "node", "n").unionByName(wide.filter(F.col("members") <= self.rare).select("value", "node", "n")).distinct()
-        groups = self._with_components(rare_lists).groupBy("value").agg(F.sort_array(F.collect_list(F.struct("node", "n", "component"))).alias("x"), F.count_distinct("component").alias("k")).filter("k > 1")
-        pairs = groups.select(F.posexplode("x").alias("i", "p"), "x").select("p", F.explode(F.slice("x", F.col("i") + 2, F.size("x"))).alias("q"))
-        pairs = pairs.filter((F.col("p.component") != F.col("q.component")) & close("p.n", "q.n"))
-        self._test(pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")))
+        self._test(self._pairs_in(rare_lists))
 
         counted = wide.filter(F.col("members") > self.rare).groupBy("node").agg(F.count("*").alias("k"))
         mostly = counted.join(self.nodes.select("node", F.size("sketch").alias("size")), "node").filter(F.col("k") >= MOSTLY_FREQUENT * F.col("size")).select("node")
-        hot = materialise(self._with_components(frequent.select("value", "node", "n").join(mostly, "node", "left_semi")), "neardup-frequent")
-        by = hot.groupBy("value", "component").agg(F.count("*").alias("k")).groupBy("value").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("kinds")).filter("kinds > 1")
-        apart = hot.join(by.select("value", F.col("most.component").alias("largest")), "value").filter("component <> largest").select("value", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-        pairs = apart.join(hot, "value").filter((F.col("component") != F.col("c_a")) & close("n", "n_a"))
+        hot = materialise(self._with_largest(frequent.select("value", "node", "n").join(mostly, "node", "left_semi")), "neardup-frequent")
+        if hot.isEmpty():
+            return self.found
+        full = self._full_sets(hot.select("node").distinct())
+        lists = materialise(full.groupBy("value").agg(F.count("*").alias("members")), "neardup-values").filter("members > 1")
+        share = full.join(lists.filter(F.col("members") > self.rare), "value").groupBy("node").agg(F.count("*").alias("common"))
+        full_rare = full.join(lists.filter(F.col("members") <= self.rare), "value").select("value", "node").join(self.nodes.select("node", "n"), "node")
+        hot = materialise(hot.join(share, "node").withColumn("own", F.col("n") - F.col("common")).drop("component", "largest"), "neardup-frequent")
+        admitted = (F.col("component") != F.col("c_a")) & (100 * F.least("common", "common_a") >= self.percent * (F.greatest("common", "common_a") + F.col("own") + F.col("own_a")))
+        mine = lambda c: [F.col(c)[k].alias(f"{k}_a") for k in ("common", "own")] + [F.col(c)["node"].alias("a"), F.col(c)["component"].alias("c_a")]
+        known = materialise(self._with_largest(hot), "neardup-frequent")
+        heads = known.groupBy("value").agg(F.min(F.struct("own", "common", "node", "component")).alias("head"))
+        star = known.join(heads.select("value", *mine("head")), "value").filter(admitted)  # around the member with the fewest shingles of its own
+        self._test(self._pairs_in(full_rare).unionByName(star.select("a", F.col("node").alias("b"))))
+        hot = materialise(self._with_largest(hot), "neardup-frequent")
+        apart = hot.filter((F.col("component") != F.col("largest")) & (100 * F.col("common") >= self.percent * F.col("n"))).select("value", F.col("node").alias("a"), F.col("common").alias("common_a"), F.col("own").alias("own_a"), F.col("component").alias("c_a"))
+        pairs = apart.join(hot, "value").filter(admitted)
         self._test(pairs.select("a", F.col("node").alias("b")))
         return self.found
 
+    def _pairs_in(self, rare_lists: DataFrame) -> DataFrame:
+        """(a, b): pairs of different components and like sizes within lists (value, node, n) of at most rare members."""
+        groups = self._with_components(rare_lists).groupBy("value").agg(F.sort_array(F.collect_list(F.struct("node", "n", "component"))).alias("x"), F.count_distinct("component").alias("k")).filter("k > 1")
+        pairs = groups.select(F.posexplode("x").alias("i", "p"), "x").select("p", F.explode(F.slice("x", F.col("i") + 2, F.size("x"))).alias("q"))
+        pairs = pairs.filter((F.col("p.component") != F.col("q.component")) & _same_size(F.col("p.n"), F.col("q.n"), self.percent))
+        return pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
+
+    def _full_sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, value): the full sets of some nodes."""
+        ids = materialise(self.nodes.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "neardup-ids")
+        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        shingle = self.shingle
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in steps(batches):
+                bounds, values = shingle_sets(batch.column("text"), shingle)
+                held = [node_of(values[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))], ["node", "values"])
+
+        rows = self.docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(sets, "node binary, values array<bigint>").dropDuplicates(["node"])
+        return materialise(rows.join(nodes, "node", "left_semi").select("node", F.explode("values").alias("value")), "neardup-full")
+
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, sketch: int = SKETCH, index: int = INDEX, rare: int = RARE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of docs (doc_id, text).
