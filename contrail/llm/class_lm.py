@@ -1,13 +1,15 @@
 """Language-model scoring by a class-based n-gram model (operator 9).
 
-Tokens are words in lower case and one end token a text. Words are grouped into classes: the EXCHANGE_WORDS most frequent
-ones by exchange clustering (each word moves to the class that raises the likelihood of the class bigrams most, until none
-moves), all others, which are too rare to cluster, by the power of two of their count. P(word | word before) is
+Tokens are words in lower case and one end token a text. All words that occur MIN_COUNT times or more in the training
+texts are grouped into classes by exchange clustering: each word moves to the class that raises the likelihood of the
+class bigrams most. Words seen once or twice are one class of their own. P(word | word before) is
 P(class | class before) * P(word | class), both smoothed; the sum of its logarithms scores a text.
 
 How it runs: texts become chunks of word codes with the chunk's own vocabulary. Vocabularies are dealt out by hash, so
 that counts of all words are added up in buckets and return to the chunks; no task and no driver holds the corpus
-vocabulary. The driver sees the counts of pairs of units (frequent words and count bands), a bounded table.
+vocabulary. The exchange of the EXCHANGE_WORDS most frequent words on the driver is only the start; then, round by round,
+chunks send each clustered word's neighbours by class to its bucket, which picks the word's best class by the table of
+class pairs and answers the chunks. The driver sees tables of classes alone.
 
 Null and empty texts are one end token. Without training texts all counts are 0 and scores come from smoothing alone.
 Repeated rows count and score as often as they stand. Rows with a null id are rows like others. Extra columns are not
@@ -16,12 +18,13 @@ returned.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +32,11 @@ from ._store import materialise
 from ._text import Words, distinct, steps
 
 EXCHANGE_WORDS, CLASSES, BANDS, CHUNK_BYTES, BUCKET_WORDS = 512, 32, 48, 6 << 20, 1_000_000
+MIN_COUNT, LEAST_RISE = 3, 0.005
 END = np.uint64(0x656E642D6F662D74)
 CHUNK = "chunk bigint, ids array<bigint>, train array<boolean>, lengths binary, codes binary, vocabulary binary, counts binary, n_words bigint"
+PAIRS = pa.schema([("part", pa.int64()), ("pairs", pa.binary())])
+CONTEXTS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *[(k, pa.binary()) for k in ("words", "kinds", "own", "size", "cell", "times")]])
 SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -67,7 +73,7 @@ def _deal(buckets: int):
         for batch in batches:
             for chunk, vocabulary, counts in zip(*(batch.column(k).to_pylist() for k in ("chunk", "vocabulary", "counts")), strict=True):
                 words, counts = np.frombuffer(vocabulary, np.uint64), np.frombuffer(counts, np.int64)
-                bucket = (words >> np.uint64(32)).astype(np.int64) % buckets
+                bucket = _bucket(words, buckets)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 pieces = [order[a:b] for a, b in zip(cut, cut[1:], strict=False)]
@@ -102,25 +108,25 @@ def _band(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(np.log2(counts + 1.0)).astype(np.int64), 1, BANDS - 1)
 
 
-def _return(buckets: int):
-    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
-        if not chunks.num_rows:
-            return chunks
-        words = np.frombuffer(chunks.column("vocabulary")[0].as_py(), np.uint64)
-        order = np.argsort((words >> np.uint64(32)).astype(np.int64) % buckets, kind="stable")
-        said = answers.sort_by("bucket").column("answer").to_pylist()
-        counts = np.empty(len(words), np.int64)
-        counts[order] = np.frombuffer(b"".join(said), np.int64)
-        return chunks.set_column(chunks.column_names.index("counts"), "counts", pa.array([counts.tobytes()], pa.binary()))
+def _counts(row: dict, said: list, buckets: int) -> np.ndarray:
+    """The corpus's counts of a chunk's vocabulary, from the buckets' answers (bucket, what, answer)."""
+    words = np.frombuffer(row["vocabulary"], np.uint64)
+    counts = np.empty(len(words), np.int64)
+    counts[np.argsort(_bucket(words, buckets), kind="stable")] = np.frombuffer(b"".join(x for _, what, x in said if what == 0), np.int64)
+    return counts
 
-    return run
+
+def _bucket(words: np.ndarray, buckets: int) -> np.ndarray:
+    return (words >> np.uint64(32)).astype(np.int64) % buckets
 
 
 @dataclass
 class Corpus:
-    """Chunks whose counts are the corpus's, and sums over the vocabulary."""
+    """Chunks, the buckets' answers to them (the corpus's counts), and sums over the vocabulary."""
 
     chunks: DataFrame
+    answers: DataFrame
+    buckets: int
     tokens: int
     types: int
     band_types: np.ndarray
@@ -132,11 +138,12 @@ class Corpus:
 def count(docs: DataFrame, train: Column, exchange_words: int = EXCHANGE_WORDS) -> Corpus:
     """Count all tokens of the rows of docs (doc_id, text) where train holds."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), "text")
-    chunks = materialise(rows.mapInArrow(_chunks, CHUNK), "lm-chunks")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # kept as they are dealt out, so that no round shuffles the texts' codes
+    chunks = rows.mapInArrow(_chunks, CHUNK).repartition(parts, "chunk").persist(StorageLevel.DISK_ONLY)
     buckets = max(64, -(-(chunks.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_WORDS))
     dealt = chunks.select("chunk", "vocabulary", "counts").mapInArrow(_deal(buckets), "bucket bigint, chunk bigint, words binary, counts binary")
     answers = materialise(dealt.groupBy("bucket").applyInArrow(_add_up(exchange_words), "chunk bigint, bucket bigint, answer binary, frequent binary"), "lm-counts")
-    known = chunks.groupBy("chunk").cogroup(answers.filter("chunk >= 0").groupBy("chunk")).applyInArrow(_return(buckets), CHUNK)
     sums, words, counts = np.zeros(2 + 2 * BANDS, np.int64), [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for r in answers.filter("chunk < 0").select("answer", "frequent").toLocalIterator():
         data = np.frombuffer(r["answer"], np.int64)
@@ -149,7 +156,7 @@ def count(docs: DataFrame, train: Column, exchange_words: int = EXCHANGE_WORDS)
     w, c = np.concatenate(words), np.concatenate(counts)
     w, c = w[(c > 0) & (w != END)], c[(c > 0) & (w != END)]
     order = np.argsort(w)
-    return Corpus(materialise(known, "lm-known"), int(sums[1]), int(sums[0]), sums[2 : 2 + BANDS], sums[2 + BANDS :], w[order], c[order])
+    return Corpus(chunks, answers.filter("chunk >= 0").select("chunk", "bucket", F.lit(0).alias("what"), "answer"), buckets, int(sums[1]), int(sums[0]), sums[2 : 2 + BANDS], sums[2 + BANDS :], w[order], c[order])
 
 
 def _units(words: np.ndarray, counts: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -161,29 +168,41 @@ def _units(words: np.ndarray, counts: np.ndarray, frequent: np.ndarray) -> np.nd
     return np.where(words == END, 0, unit)
 
 
-def _pairs(frequent: np.ndarray, parts: int = 16):
+def _pairs(frequent: np.ndarray, buckets: int, parts: int = 16):
     """Counts of unit pairs in training texts, a band of rows of the table for each part."""
     units = 1 + len(frequent) + BANDS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = np.zeros(units * units, np.int64), False
-        for batch in batches:
-            for row in batch.to_pylist():
-                unit = _units(np.frombuffer(row["vocabulary"], np.uint64), np.frombuffer(row["counts"], np.int64), frequent)
-                unit = unit[np.frombuffer(row["codes"], np.int32)]
-                taught = np.repeat(np.array(row["train"], bool), np.frombuffer(row["lengths"], np.int32))
-                before = np.r_[0, unit[:-1]]  # the end of the text before stands before each text
-                table += np.bincount(before[taught] * units + unit[taught], minlength=units * units)
-                seen = True
-        if seen:
-            for part, x in enumerate(np.array_split(table, parts)):
-                yield pa.RecordBatch.from_pydict({"part": [part], "pairs": [x.tobytes()]})
+    def run(row: dict, said: list) -> Iterator[dict]:
+        unit = _units(np.frombuffer(row["vocabulary"], np.uint64), _counts(row, said, buckets), frequent)
+        for part, x in enumerate(np.array_split(_table(row, unit, units).ravel(), parts)):
+            yield {"part": part, "pairs": x.astype(np.uint32).tobytes()}
 
     return run
 
 
+def _table(row: dict, unit: np.ndarray, units: int) -> np.ndarray:
+    """Counts of pairs of units in a chunk's training texts; unit holds the vocabulary's."""
+    unit = unit[np.frombuffer(row["codes"], np.int32)]
+    taught = np.repeat(np.array(row["train"], bool), np.frombuffer(row["lengths"], np.int32))
+    before = np.r_[0, unit[:-1]]  # the end of the text before stands before each text
+    return np.bincount(before[taught] * units + unit[taught], minlength=units * units).reshape(units, units)
+
+
+def _told(corpus: Corpus, kinds: DataFrame | None, run, schema: pa.Schema, columns: str) -> DataFrame:
+    """run(chunk, its answers) over all chunks; an answer is (bucket, what, bytes): what is 0 for counts, 1 for classes."""
+    answers = corpus.answers if kinds is None else corpus.answers.unionByName(kinds)
+
+    def both(chunk: pa.Table, said: pa.Table) -> pa.Table:
+        if not chunk.num_rows:
+            return schema.empty_table()
+        found = sorted(zip(*(said.column(k).to_pylist() for k in ("bucket", "what", "answer")), strict=True), key=lambda x: x[:2])
+        return pa.Table.from_pylist(list(run(chunk.to_pylist()[0], found)), schema=schema)
+
+    return corpus.chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(both, columns)
+
+
 def _sum_pairs(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.int64) for x in table.column("pairs").to_pylist())
+    total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("pairs").to_pylist())
     return pa.table({"part": [table.column("part")[0].as_py()], "pairs": [total.tobytes()]})
 
 
@@ -237,21 +256,169 @@ def exchange(pairs: np.ndarray, words: int, classes: int, rounds: int = 10) -> n
     return kind
 
 
+def _kinds(row: dict, said: list, buckets: int, frequent: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(counts, classes, places of the words that are clustered, by bucket) of a chunk's vocabulary."""
+    words, counts = np.frombuffer(row["vocabulary"], np.uint64), _counts(row, said, buckets)
+    held = np.flatnonzero((counts >= MIN_COUNT) & (words != END))
+    held = held[np.argsort(_bucket(words[held], buckets), kind="stable")]
+    kinds = kind[_units(words, counts, frequent)]
+    told = [x for _, what, x in said if what == 1]
+    if told:
+        kinds[held] = np.frombuffer(b"".join(told), np.uint8)
+    return counts, kinds, held
+
+
+def _contexts(corpus: Corpus, frequent: np.ndarray, kind: np.ndarray, n: int):
+    """For each bucket a chunk's clustered words with their class, how often they follow themselves, and their neighbours' classes."""
+    buckets = corpus.buckets
+
+    def run(row: dict, said: list) -> Iterator[dict]:
+        _, kinds, held = _kinds(row, said, buckets, frequent, kind)
+        words, codes = np.frombuffer(row["vocabulary"], np.uint64), np.frombuffer(row["codes"], np.int32)
+        taught = np.flatnonzero(np.repeat(np.array(row["train"], bool), np.frombuffer(row["lengths"], np.int32))[1:]) + 1
+        line = np.full(len(words), -1, np.int64)
+        line[held] = np.arange(len(held))
+        own = np.bincount(line[codes[taught]][(codes[taught] == codes[taught - 1]) & (line[codes[taught]] >= 0)], minlength=len(held))
+        owner, cell, times = [], [], []
+        for side, (of, near) in enumerate(((taught - 1, taught), (taught, taught - 1))):
+            at = line[codes[of]]
+            found = np.bincount((at * n + kinds[codes[near]])[at >= 0], minlength=len(held) * n)
+            if side and len(codes) and _taught_first(row) and line[codes[0]] >= 0:
+                found[line[codes[0]] * n] += 1
+            place = np.flatnonzero(found)
+            owner.append(place // n)
+            cell.append(place % n + side * n)
+            times.append(found[place])
+        owner, cell, times = (np.concatenate(x) for x in (owner, cell, times))
+        order = np.argsort(owner, kind="stable")
+        owner, cell, times = owner[order], cell[order].astype(np.uint16), times[order].astype(np.uint32)
+        cut = np.searchsorted(_bucket(words[held], buckets), np.arange(buckets + 1))
+        edge, size = np.searchsorted(owner, cut), np.bincount(owner, minlength=len(held)).astype(np.uint16)
+        for k, (a, b, c, d) in enumerate(zip(cut, cut[1:], edge, edge[1:], strict=False)):
+            yield {"bucket": k, "chunk": row["chunk"], "words": words[held[a:b]].tobytes(), "kinds": kinds[held[a:b]].astype(np.uint8).tobytes(), "own": own[a:b].astype(np.uint32).tobytes(), "size": size[a:b].tobytes(), "cell": cell[c:d].tobytes(), "times": times[c:d].tobytes()}
+
+    return run
+
+
+def _taught_first(row: dict) -> bool:
+    """Whether a chunk's first token is of a training text; the end token stands before it."""
+    return bool(np.repeat(np.array(row["train"], bool), np.frombuffer(row["lengths"], np.int32))[0])
+
+
+def gains(table: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray, was: np.ndarray, classes: int) -> np.ndarray:
+    """How much the likelihood of the class bigrams table gains by moving each word from was to each of 1 to classes.
+
+    right and left count a word's neighbours by class, own how often it follows itself (counted in both as well).
+    """
+    f = lambda x: x * np.log(np.maximum(x, 1))
+    k, each = np.arange(1, classes + 1), np.arange(len(was))
+    right, left, own = right.astype(float), left.astype(float), own.astype(float)
+    right[each, was] -= own
+    left[each, was] -= own
+    r, l, own = right[:, k], left[:, k], own[:, None]
+    rw, lw = right[each, was][:, None], left[each, was][:, None]
+    stay, gain = np.zeros(len(was)), np.zeros((len(was), classes))
+    for near, t, total in ((right, table, table.sum(axis=1)), (left, table.T, table.sum(axis=0))):
+        i, j = np.nonzero(near)
+        to, c = t[k][:, j].T, near[i, j]
+        part, lost = f(to + c[:, None]) - f(to), f(t[was[i], j]) - f(t[was[i], j] - c)
+        first = np.flatnonzero(np.diff(i, prepend=-1))
+        if len(first):
+            gain[i[first]] += np.add.reduceat(part, first)
+        stay += np.bincount(i, weights=np.where(j == was[i], 0, lost), minlength=len(was))
+        n = near.sum(axis=1) + own[:, 0]
+        gain -= f(total[k] + n[:, None]) - f(total[k])
+        stay -= f(total[was]) - f(total[was] - n)
+    same, kk = table[was, was], table[k, k]
+    stay += f(same) - f(same - (rw + lw + own)[:, 0])
+    gain += f(kk + r + l + own) - f(kk + r) - f(kk + l) + f(kk)
+    a, b = table[k][:, was].T, table[was][:, k]  # cells between the class that the word leaves and the one it comes to
+    gain += f(a - l + rw) - f(a - l) - f(a + rw) + f(a) + f(b - r + lw) - f(b - r) - f(b + lw) + f(b)
+    return np.where(k == was[:, None], 0, gain - stay[:, None])
+
+
+def _moved(table: np.ndarray, classes: int, turn: int, slice_words: int = 8192):
+    """New classes of a bucket's words, answered to the chunks; the row of chunk -1 counts the words of each class."""
+    n = len(table)
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.to_pydict()
+        data = {k: np.frombuffer(b"".join(rows.pop(k)) if k != "words" else b"".join(rows[k]), t) for k, t in (("words", np.uint64), ("kinds", np.uint8), ("own", np.uint32), ("size", np.uint16), ("cell", np.uint16), ("times", np.uint32))}
+        codes, seen, first = distinct(data["words"])
+        was, own = data["kinds"][first].astype(np.int64), np.bincount(codes, weights=data["own"], minlength=len(seen))
+        owner = np.repeat(codes.astype(np.int32), data["size"])
+        order = np.argsort(owner, kind="stable")
+        owner, cell, times = owner[order], data["cell"][order], data["times"][order]
+        kind = was.copy()
+        for a in range(0, len(seen), slice_words):
+            b = min(a + slice_words, len(seen))
+            c, d = np.searchsorted(owner, (a, b))
+            near = np.bincount((owner[c:d].astype(np.int64) - a) * 2 * n + cell[c:d], weights=times[c:d], minlength=(b - a) * 2 * n).reshape(b - a, 2 * n)
+            gain = gains(table, near[:, :n], near[:, n:], own[a:b], was[a:b], classes)
+            best = gain.argmax(axis=1)
+            turns = (seen[a:b] >> np.uint64(turn % 32)) & np.uint64(1) == turn // 32 % 2  # half of the words, so that no two groups swap for ever
+            go = (was[a:b] > classes) | turns & (gain[np.arange(b - a), best] > 1e-9)
+            kind[a:b] = np.where(go, 1 + best, was[a:b])
+        ends = np.cumsum([len(x) // 8 for x in rows["words"]])
+        answers = [kind[codes[b - len(x) // 8 : b]].astype(np.uint8).tobytes() for x, b in zip(rows["words"], ends, strict=True)]
+        sums = np.bincount(kind, minlength=n).astype(np.int64).tobytes()
+        return pa.table({"chunk": pa.array([*rows["chunk"], -1], pa.int64()), "bucket": pa.array([*rows["bucket"], rows["bucket"][0]], pa.int64()), "what": pa.array([1] * (len(ends) + 1), pa.int32()), "answer": pa.array([*answers, sums], pa.binary())})
+
+    return run
+
+
+def _class_pairs(corpus: Corpus, kinds: DataFrame | None, frequent: np.ndarray, kind: np.ndarray, n: int) -> np.ndarray:
+    """Counts of pairs of classes over all training texts."""
+    buckets = corpus.buckets
+
+    def run(row: dict, said: list) -> Iterator[dict]:
+        yield {"part": row["chunk"] % 64, "pairs": _table(row, _kinds(row, said, buckets, frequent, kind)[1], n).astype(np.uint32).tobytes()}
+
+    parts = _told(corpus, kinds, run, PAIRS, "part bigint, pairs binary").groupBy("part").applyInArrow(_sum_pairs, "part bigint, pairs binary").collect()
+    return sum((np.frombuffer(r["pairs"], np.int64) for r in parts), np.zeros(n * n, np.int64)).reshape(n, n).astype(float)
+
+
+def cluster(corpus: Corpus, kind: np.ndarray, classes: int) -> tuple[DataFrame | None, np.ndarray, np.ndarray]:
+    """(classes of the clustered words, pairs of classes, words of each class): the exchange over all words of MIN_COUNT.
+
+    kind is the start: frequent words have classes, the others come to the best one in the first round. In each round
+    the tasks move half of the words by the table of the round before; it ends where the table's mutual information
+    rises by less than LEAST_RISE of it.
+    """
+    n = classes + 1 + BANDS
+    f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+    worth = lambda t: f(t) + f(t.sum()) - f(t.sum(axis=1)) - f(t.sum(axis=0))
+    kinds, table, types = None, _class_pairs(corpus, None, corpus.frequent, kind, n), np.zeros(n)
+    if corpus.types == 0:
+        return kinds, table, types
+    for turn in itertools.count():
+        near = _told(corpus, kinds, _contexts(corpus, corpus.frequent, kind, n), CONTEXTS, "bucket bigint, chunk bigint, words binary, kinds binary, own binary, size binary, cell binary, times binary")
+        new = materialise(near.groupBy("bucket").applyInArrow(_moved(table, classes, turn), "chunk bigint, bucket bigint, what int, answer binary"), "lm-classes")
+        sums = sum((np.frombuffer(r["answer"], np.int64) for r in new.filter("chunk < 0").select("answer").collect()), np.zeros(n, np.int64))
+        new = new.filter("chunk >= 0")
+        then = _class_pairs(corpus, new, corpus.frequent, kind, n)
+        rise = worth(then) - worth(table)
+        if turn == 0 or rise > 0:
+            kinds, table, types = new, then, sums.astype(float)
+        if turn and rise <= LEAST_RISE * worth(table):
+            break
+    return kinds, table, types
+
+
 @dataclass
 class ClassModel:
     frequent: np.ndarray
-    kind: np.ndarray  # class of each unit
+    kind: np.ndarray  # class of each unit at the start
+    kinds: DataFrame | None  # classes of the clustered words, as answers to the chunks
     transition: np.ndarray  # log10 P(class | class before)
     kind_tokens: np.ndarray
     kind_types: np.ndarray
     tokens: int
     types: int
 
-    def score_chunk(self, row: dict) -> dict:
+    def score_chunk(self, row: dict, counts: np.ndarray, kind: np.ndarray) -> dict:
         """Base and model scores of a chunk's texts."""
-        words, counts = np.frombuffer(row["vocabulary"], np.uint64), np.frombuffer(row["counts"], np.int64)
         codes, lengths = np.frombuffer(row["codes"], np.int32), np.frombuffer(row["lengths"], np.int32).astype(np.int64)
-        kind = self.kind[_units(words, counts, self.frequent)]
         emission = np.log10((counts + 0.5) / (self.kind_tokens[kind] + 0.5 * (self.kind_types[kind] + 1)))
         base = np.log10((counts + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
         at = kind[codes]
@@ -265,30 +432,29 @@ def fit(corpus: Corpus, classes: int = CLASSES, inertia: float = 50.0) -> ClassM
     """Cluster the frequent words and estimate transitions; inertia: how many tokens the classes' own shares weigh."""
     words = len(corpus.frequent)
     units = 1 + words + BANDS
-    parts = corpus.chunks.select("vocabulary", "counts", "codes", "lengths", "train").mapInArrow(_pairs(corpus.frequent), "part bigint, pairs binary")
+    parts = _told(corpus, None, _pairs(corpus.frequent, corpus.buckets), PAIRS, "part bigint, pairs binary")
     found = sorted((r["part"], r["pairs"]) for r in parts.groupBy("part").applyInArrow(_sum_pairs, "part bigint, pairs binary").collect())
     pairs = np.frombuffer(b"".join(x for _, x in found), np.int64).reshape(units, units).astype(float) if found else np.zeros((units, units))
-    kind = exchange(pairs, words, max(1, min(classes, words)))
-    n = int(kind.max()) + 1
-    table = np.zeros((n, n))
-    np.add.at(table, (kind[:, None], kind[None, :]), pairs)
+    classes = max(1, min(classes, words))
+    kind = exchange(pairs, words, classes)
+    kinds, table, types = cluster(corpus, kind, classes)
+    n = len(table)
     share = (table.sum(axis=0) + 0.5) / (table.sum() + 0.5 * n)
     transition = np.log10((table + inertia * share) / (table.sum(axis=1, keepdims=True) + inertia))
-    tokens = table.sum(axis=0)
-    types = np.zeros(n)
-    types[kind[0]] = 1
-    np.add.at(types, kind[1 : words + 1], 1)
-    top = np.bincount(_band(corpus.frequent_counts), minlength=BANDS) + np.bincount(_band(np.array([max(table.sum(axis=0)[kind[0]], 0)])), minlength=BANDS) * (tokens[kind[0]] > 0)
-    types[kind[1 + words :]] = np.maximum(corpus.band_types - top, 0)
-    return ClassModel(corpus.frequent, kind, transition, tokens, types, corpus.tokens, corpus.types)
+    types[0] = 1
+    rare = kind[1 + words + 1]  # the band of counts under MIN_COUNT
+    types[rare] += max(corpus.band_types[1] - (0 < table[:, 0].sum() < MIN_COUNT), 0)
+    return ClassModel(corpus.frequent, kind, kinds, transition, table.sum(axis=0), types, corpus.tokens, corpus.types)
 
 
 def scored(corpus: Corpus, model: ClassModel) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every row counted."""
+    kinds, model, buckets = model.kinds, replace(model, kinds=None), corpus.buckets
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pydict(model.score_chunk(row), schema=pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]))
+    def run(row: dict, said: list) -> Iterator[dict]:
+        counts, kind, _ = _kinds(row, said, buckets, model.frequent, model.kind)
+        found = model.score_chunk(row, counts, kind)
+        yield from (dict(zip(found, x, strict=True)) for x in zip(*found.values(), strict=True))
 
-    return corpus.chunks.select("ids", "vocabulary", "counts", "codes", "lengths").mapInArrow(run, SCORED)
+    return _told(corpus, kinds, run, schema, SCORED)
