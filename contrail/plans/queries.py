@@ -300,7 +300,7 @@ def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = ranking.group_metrics(ranking.ranked(_labelled(spark, sf_dir)))
-    return bootstrap.intervals(groups, "group_id", {m: bootstrap.weighted_mean(m) for m in ranking.METRICS}, resamples=200, seed=11)
+    return bootstrap.intervals(groups, "group_id", {m: bootstrap.weighted_mean(m) for m in ranking.METRICS}, resamples=1000, seed=11)
 
 
 def _strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -488,16 +488,24 @@ def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.manifest(rows, ["lang", "source"], "doc_id", "quality")
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Version diff of part, matched through lineitem to orders, propagated to customers, and scored by risk."""
+def _touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol_id of every customer with an order of a part that the version diff changes."""
     part = table(spark, sf_dir, "part")
     old, new = _nodes(part, False), _nodes(part, True)
     changes = diff.removed_properties(old, new).unionByName(diff.changed_nodes(old, new), allowMissingColumns=True)
-    touched = changes.select("change_id", "severity", F.regexp_extract("location", r"\.(\d+)$", 1).cast("bigint").alias("l_partkey"))
-    used = table(spark, sf_dir, "lineitem").join(touched, "l_partkey").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("symbol_id")), "l_orderkey")
-    seeded = used.groupBy("symbol_id", "change_id").agg(F.max("severity").alias("severity"), F.lit(1.0).alias("score"), F.lit("EXACT").alias("certainty"))
-    seeds = seeded.filter("symbol_id % 97 = 0")
-    reach = graph.propagate(seeds.select("symbol_id").distinct(), _order_edges(spark, sf_dir), rounds=2)
-    hit = graph.impacted(reach, seeds).join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("symbol_id"), "c_nationkey"), "symbol_id")
+    touched = changes.select(F.regexp_extract("location", r"\.(\d+)$", 1).cast("bigint").alias("l_partkey"))
+    return table(spark, sf_dir, "lineitem").join(touched, "l_partkey").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("symbol_id")), "l_orderkey").select("symbol_id").distinct()
+
+
+@query()
+def callers_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callers of all touched customers to the fixpoint (callers_closure shows paths from some seeds over two rounds)."""
+    return graph.distances(_touched(spark, sf_dir), _order_edges(spark, sf_dir))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Version diff of part, matched through lineitem to orders, propagated to customers, and scored by risk."""
+    reach = graph.distances(_touched(spark, sf_dir), _order_edges(spark, sf_dir))
+    hit = reach.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("symbol_id"), "c_nationkey"), "symbol_id")
     s = graph.summary(hit, "c_nationkey").withColumns({"severity": F.lit("HIGH"), "score": F.lit(1.0), "incomplete": F.lit(False), "partial": F.lit(False)})
     return risk.assess(s).select("c_nationkey", "direct", "indirect", "max_distance", "risk_score", "risk_level")
