@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._labels import Logistic, training_sample
+from ._labels import Logistic, class_weights, training_sample
 from ._text import text_udf
 
 PER_CLASS, MAX_TEXT_BYTES, DICTIONARY_BYTES, LEVEL = 2000, 65_536, 16_384, 3
@@ -73,12 +73,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     """Learn from a bounded sample of labelled documents outside of fold 0."""
     rows = sorted((r["doc_id"], r["y"], r["text"].encode()) for r in training_sample(docs, labels, label, per_class, max_text_bytes).collect())
     side = {y: [t for _, k, t in rows if k == y] for y in (0, 1)}
+    weight = class_weights(labels, label, per_class)
     if min(map(len, side.values())) < 4:
-        return CompressionModel(b"", b"", Constant((len(side[1]) + 1) / (len(rows) + 2)))
+        bad, good = weight * [len(side[0]), len(side[1])]
+        return CompressionModel(b"", b"", Constant((good + 1) / (bad + good + 2)))
     build, rest = ({y: x[k::2] for y, x in side.items()} for k in (0, 1))
     model = CompressionModel(dictionary(build[1]), dictionary(build[0]), Constant(0.5))
     y = np.r_[np.zeros(len(rest[0])), np.ones(len(rest[1]))]
-    return CompressionModel(model.good, model.bad, Logistic(model.columns(rest[0] + rest[1]), y))
+    return CompressionModel(model.good, model.bad, Logistic(model.columns(rest[0] + rest[1]), y, weight=weight[y.astype(int)]))
 
 
 def scored(docs: DataFrame, model: CompressionModel, text: str = "text", name: str = "score") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._labels import Logistic, training_sample
+from ._labels import Logistic, class_weights, training_sample
 from ._store import materialise
 from ._text import Words, distinct, mix, owners, prefix_hash, range_hash, steps, text_udf
 
@@ -100,11 +100,13 @@ class ToxicityModel:
     weights: np.ndarray
     calibration: Logistic | None = None
     neighbours: int = NEIGHBOURS
+    stands_for: np.ndarray = field(default_factory=lambda: np.ones(2))  # labelled rows for each example of label 0 and 1
     index: tuple | None = field(default=None, repr=False, compare=False)
 
     @property
     def prior(self) -> float:
-        return (self.labels.sum() + 1) / (len(self.labels) + 2)
+        clean, toxic = self.stands_for * [(self.labels == 0).sum(), (self.labels == 1).sum()]
+        return (toxic + 1) / (clean + toxic + 2)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"index": None}
@@ -168,9 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     sample = materialise(training_sample(docs, labels, label, per_class, max_text_bytes), "toxicity-sample")
     size = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     n1, n = size.get(1, 0), sum(size.values())
-    none = np.empty(0, np.int64)
+    none, weight = np.empty(0, np.int64), class_weights(labels, label, per_class)
     if not n1 or n1 == n:
-        return ToxicityModel(none.astype(np.uint64), none, none, np.r_[np.zeros(n - n1), np.ones(n1)], none, none, none)
+        return ToxicityModel(none.astype(np.uint64), none, none, np.r_[np.zeros(n - n1), np.ones(n1)], none, none, none, stands_for=weight)
     a = F.col("n1").cast("double")
     b, c, d = F.col("n") - a, n1 - a, (n - n1) - (F.col("n") - a)
     chi2 = n * F.pow(a * d - b * c, F.lit(2)) / (n1 * (n - n1) * F.col("n") * (n - F.col("n")) + 1e-9)
@@ -179,13 +181,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     chosen = counts.filter(common).select("term", chi2.alias("chi2")).filter(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").limit(max_terms).collect()
     known = np.sort(np.array([r["term"] for r in chosen], np.int64).view(np.uint64))
     if not len(known):
-        return ToxicityModel(none.astype(np.uint64), none, none, np.r_[np.zeros(n - n1), np.ones(n1)], none, none, none)
+        return ToxicityModel(none.astype(np.uint64), none, none, np.r_[np.zeros(n - n1), np.ones(n1)], none, none, none, stands_for=weight)
     seen = docs.select("text").mapInArrow(_frequencies(known), "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()
     df, rows = np.zeros(len(known)), sum(r["n"] for r in seen if r["place"] < 0)
     for r in seen:
         if r["place"] >= 0:
             df[r["place"]] = r["n"]
-    model = ToxicityModel(known, np.log((1 + rows) / (1 + df)) + 1, none, none, none, none, none, neighbours=neighbours)
+    model = ToxicityModel(known, np.log((1 + rows) / (1 + df)) + 1, none, none, none, none, none, neighbours=neighbours, stands_for=weight)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -202,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     for i, r in enumerate(found):
         if r["terms"]:
             votes[i] = model.vote(*model.nearest(np.asarray(r["terms"]), np.asarray(r["weights"]), without=i))
-    model.calibration = Logistic(votes, model.labels)
+    model.calibration = Logistic(votes, model.labels, weight=weight[model.labels.astype(int)])
     return model
 
 
