@@ -55,7 +55,9 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     if have is None or len(have) < n:
         have = np.full(max(n, STEP_BYTES + 1024), pow(RADIX, -1, 2**64) if inverse else RADIX, np.uint64)
         have[0] = 1
-        have = _POWERS[inverse] = np.cumprod(have, dtype=np.uint64)
+        have = np.cumprod(have, dtype=np.uint64)
+        if n <= STEP_BYTES + 1024:  # tables for one very long text are not kept
+            _POWERS[inverse] = have
     return have[:n]
 
 

@@ -19,14 +19,13 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import materialise
@@ -34,9 +33,11 @@ from ._text import Words, distinct, steps
 
 SEQUENCE, WINDOW, MIN_RUN, END_ID = 2048, 32, 64, 1
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-TOKENS = "doc_id bigint, source string, part bigint, place bigint, n bigint, ids binary"
-#: Words whose ids a Python worker remembers, over all of its tasks; then it starts anew.
-REMEMBERED = 2_000_000
+TOKENS = "doc_id bigint, source string, part string, place bigint, n bigint, ids binary"
+#: Words whose ids a Python worker remembers over all of its tasks; beyond it, those not met again are dropped.
+REMEMBERED, STEP = 400_000, 2 << 20
+#: Control characters; the first that is a token of its own tells the words of a block apart.
+SEPARATORS = "\x01\x02\x03\x04\x05\x06\x07\x0e\x0f"
 
 
 @lru_cache(maxsize=2)
@@ -50,66 +51,99 @@ def _tokenizer(path: str):
 class Encoder:
     """Ids of whole texts. The tokenizer drops white space and never joins across it, so each word is encoded once.
 
-    Words of which the tokenizer's special tokens are a part go the same way: these tokens hold no white space.
+    Memory is bounded: the ids of at most REMEMBERED words, sorted by hash, and one step of text.
     """
 
-    def __init__(self, path: str) -> None:
-        self.path, self.tokenizer = path, _tokenizer(path)
-        marks = [(t.content, k) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
-        self.mark, self.mark_id = marks[0] if marks else (None, None)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.hashes, self.lists = np.empty(0, np.uint64), (np.empty(0, np.int64), np.empty(0, np.uint32))
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+        self.tokenizer, self.remembered = _tokenizer(path), remembered
+        self.mark, self.mark_id = None, -1
+        plain = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        for c in SEPARATORS:
+            ids = plain(c)
+            if len(ids) == 1 and plain(f"a {c} b") == [*plain("a"), *ids, *plain("b")]:
+                self.mark, self.mark_id = f" {c} ", ids[0]
+                break
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        tokens = self.tokenizer.get_vocab() if suffix else {}
+        self.last = np.zeros(max(tokens.values(), default=-1) + 1, bool)  # ids that end a piece
+        self.last[[k for t, k in tokens.items() if t.endswith(suffix)] if suffix else []] = True
+        self.hashes, self.starts, self.counts = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.again, self.flat = np.empty(0, bool), np.empty(0, np.uint32)
 
     def _encode(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids per word, ids). A special token between the words of a block shows where their ids end."""
-        blocks = [names[k : k + 1000] for k in range(0, len(names), 1000)]
-        joined = self.tokenizer.encode_batch_fast([self.mark.join(x) for x in blocks], add_special_tokens=False) if self.mark else [None] * len(blocks)
-        counts, flat = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
-        for block, found in zip(blocks, joined, strict=True):
-            ids = np.array(found.ids if found else [], np.uint32)
-            cut = np.flatnonzero(ids == self.mark_id) if found else np.empty(0, np.int64)
-            if len(cut) == len(block) - 1 and found:
-                counts.append(np.diff(np.r_[-1, cut, len(ids)]) - 1)
-                flat.append(ids[ids != self.mark_id])
-            else:  # no such token, or one of the words holds it
-                each = [x.ids for x in self.tokenizer.encode_batch_fast(block, add_special_tokens=False)]
-                counts.append(np.array([len(x) for x in each], np.int64))
-                flat.append(np.fromiter((y for x in each for y in x), np.uint32))
-        return np.concatenate(counts), np.concatenate(flat)
+        """(ids per word, ids).
+
+        Words of letters are one piece each; where the model marks the last id of a piece, the marks tell them apart.
+        Other words have the separator between them.
+        """
+        plain = np.array([x.isalpha() for x in names], bool) if len(self.last) else np.zeros(len(names), bool)
+        counts, flat = np.zeros(len(names), np.int32), []
+        for which, mark in ((plain, " "), (~plain, self.mark)):
+            place = np.flatnonzero(which)
+            blocks = [place[k : k + 200] for k in range(0, len(place), 200)]
+            texts = [[names[k] for k in block] for block in blocks]
+            joined = self.tokenizer.encode_batch_fast([mark.join(x) for x in texts], add_special_tokens=False) if mark else [None] * len(blocks)
+            for block, text, found in zip(blocks, texts, joined, strict=True):
+                ids = np.array(found.ids if found else [], np.uint32)
+                if mark == " ":
+                    cut = np.flatnonzero(self.last[ids])
+                    good, size = len(cut) == len(block) and cut[-1] == len(ids) - 1, np.diff(cut, prepend=-1)
+                else:
+                    cut = np.flatnonzero(ids == self.mark_id) if found else np.empty(0, np.int64)
+                    good, size = found and len(cut) == len(block) - 1, np.diff(np.r_[-1, cut, len(ids)]) - 1
+                    ids = ids[ids != self.mark_id] if good else ids
+                if not good:  # no separator, or one of the words holds it
+                    each = [x.ids for x in self.tokenizer.encode_batch_fast(text, add_special_tokens=False)]
+                    size, ids = np.array([len(x) for x in each]), np.fromiter((y for x in each for y in x), np.uint32)
+                counts[block] = size
+                flat.append(ids)
+        order = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]
+        out, starts = np.concatenate([np.empty(0, np.uint32), *flat]), np.empty(len(names), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return counts, out[_ranges(starts, counts)]
 
     def _learn(self, names: list[str], hashes: np.ndarray) -> None:
-        counts, flat = self._encode(names)
-        counts, flat, known = np.r_[self.lists[0], counts], np.r_[self.lists[1], flat], np.r_[self.hashes, hashes]
-        order = np.argsort(known, kind="stable")
-        starts = (np.cumsum(counts) - counts)[order]
-        counts = counts[order]
-        self.hashes, self.lists = known[order], (counts, flat[_ranges(starts, counts)])
+        order = np.argsort(hashes)
+        counts, flat = self._encode([names[k] for k in order])
+        starts = len(self.flat) + np.cumsum(counts) - counts
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.again = np.insert(self.hashes, at, hashes[order]), np.insert(self.again, at, False)
+        self.starts, self.counts = np.insert(self.starts, at, starts.astype(np.int32)), np.insert(self.counts, at, counts)
+        self.flat = np.concatenate([self.flat, flat])
+
+    def _drop(self) -> None:
+        """Keep the words that were met again since they were last kept, or none where these are too many."""
+        keep = self.again if self.again.sum() <= self.remembered // 2 else np.zeros(len(self.again), bool)
+        self.hashes, starts, self.counts = self.hashes[keep], self.starts[keep], self.counts[keep]
+        self.flat = self.flat[_ranges(starts, self.counts)]
+        self.starts, self.again = (np.cumsum(self.counts) - self.counts).astype(np.int32), np.zeros(len(self.hashes), bool)
+
+    def _known(self, seen: np.ndarray) -> np.ndarray:
+        place = np.searchsorted(self.hashes, seen)
+        place[place == len(self.hashes)] = 0
+        return np.where(self.hashes[place] == seen, place, -1) if len(self.hashes) else np.full(len(seen), -1)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids per text, ids of all texts in a row), END_ID after each text's own."""
         words = Words(texts)
         codes, seen, first = distinct(words.hashes())
-        place = np.searchsorted(self.hashes, seen)
-        new = np.ones(len(seen), bool)
-        inside = place < len(self.hashes)
-        new[inside] = self.hashes[place[inside]] != seen[inside]
+        place = self._known(seen)
+        if (place < 0).sum() + len(self.hashes) > self.remembered:
+            self.again[place[place >= 0]] = True
+            self._drop()
+            place = self._known(seen)
+        self.again[place[place >= 0]] = True
+        new = place < 0
         if new.any():
-            if new.sum() + len(self.hashes) > REMEMBERED:
-                new[:] = True
-                self._forget()
             self._learn(_names(words, first[new]), seen[new])
-        counts, flat = self.lists
-        starts = np.cumsum(counts) - counts
-        place = np.searchsorted(self.hashes, seen)[codes]
-        size = counts[place]
-        of_text = np.diff(np.r_[0, np.cumsum(size)][words.offsets]) + 1
+            place = self._known(seen)
+        size = self.counts[place][codes]
+        start = self.starts[place][codes]
+        of_text = np.diff(np.r_[0, np.cumsum(size, dtype=np.int64)][words.offsets]) + 1
         out = np.full(int(of_text.sum()), END_ID, np.uint32)
-        ends = np.cumsum(of_text) - 1
         body = np.ones(len(out), bool)
-        body[ends] = False
-        out[body] = flat[_ranges(starts[place], size)]
+        body[np.cumsum(of_text) - 1] = False
+        out[body] = self.flat[_ranges(start, size)]
         return of_text, out
 
 
@@ -125,36 +159,44 @@ def _names(words: Words, places: np.ndarray) -> list[str]:
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... counts[0] of them, then those of starts[1], and so on."""
-    total = int(counts.sum())
-    first = np.cumsum(counts) - counts
-    return np.arange(total) + np.repeat(starts - first, counts)
+    ends = np.cumsum(counts, dtype=np.int64)
+    out = np.arange(ends[-1] if len(ends) else 0)
+    out += np.repeat(starts - (ends - counts), counts)
+    return out
 
 
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
     return Encoder(path)
 
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, queues = Encoder(path), TaskContext.get().partitionId(), {}
-        for batch in steps(batches, limit=8 << 20):
+        encoder, queues = _encoder(path), {}
+        for batch in steps(batches, limit=STEP):
             counts, ids = encoder(batch.column("text"))
             ids = ids.astype(np.uint16) if len(ids) and ids.max() < 65536 else ids
             cuts, width = np.r_[0, np.cumsum(counts)], ids.dtype.itemsize
-            place, sources = np.empty(len(counts), np.int64), batch.column("source").to_pylist()
-            for i, source in enumerate(sources):
-                place[i] = queues.get(source, 0)
-                queues[source] = int(place[i] + counts[i])
+            place, parts = np.empty(len(counts), np.int64), batch.column("part").to_pylist()
+            for i, queue in enumerate(zip(parts, batch.column("source").to_pylist(), strict=True)):
+                place[i] = queues.get(queue, 0)
+                queues[queue] = int(place[i] + counts[i])
             data = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer((cuts * width).astype(np.int64).tobytes()), pa.py_buffer(ids.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(np.full(len(counts), part, np.int64)), pa.array(place), pa.array(counts.astype(np.int64)), data.cast(pa.binary())], ["doc_id", "source", "part", "place", "n", "ids"])
+            columns = [batch.column("doc_id"), batch.column("source"), batch.column("part"), pa.array(place), pa.array(counts.astype(np.int64)), data.cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "part", "place", "n", "ids"])
 
     return run
 
 
-def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, source, part, place, n, ids): ids of each document, and its place in its source's queue of the partition."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+def tokenised(docs: DataFrame, tokenizer: str, part: Column | None = None) -> DataFrame:
+    """(doc_id, source, part, place, n, ids): ids of each document, and its place in its source's queue of the part.
+
+    part: text that orders the queues; rows of one part stand in one task, in the order in which they are served (None:
+    the tasks' numbers). Rows of one file split are such a part.
+    """
+    part = F.lpad(F.spark_partition_id().cast("string"), 10, "0") if part is None else part
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", part.alias("part"))
     return rows.mapInArrow(_encode(tokenizer), TOKENS)
 
 
@@ -256,15 +298,18 @@ def _cut(schedule: Schedule, number: Mapping, size: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, weights: Mapping[str | None, float] | None = None, size: int = SEQUENCE, window: int = WINDOW, quantum: int = MIN_RUN) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, weights: Mapping[str | None, float] | None = None, size: int = SEQUENCE, window: int = WINDOW, quantum: int = MIN_RUN, part: Column | None = None, repeating: Sequence[float] = ()) -> DataFrame:
     """Pieces of all documents (doc_id, source, text) in sequences of at most size tokens.
 
-    weights: the sources' shares while they last (None: their own sizes). The driver holds one number for each source.
+    weights: the sources' shares while they last (None: their own sizes); repeating: shares for the sources in code-point
+    order, null last, over and over. The driver holds one number for each source.
     """
-    tokens = materialise(tokenised(docs, tokenizer), "packing-tokens")
+    tokens = materialise(tokenised(docs, tokenizer, part), "packing-tokens")
     sums = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
     totals = {r["source"]: r["n"] for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     names = sorted(totals, key=lambda x: (x is None, (x or "").encode()))
+    if repeating:
+        weights = {x: repeating[k % len(repeating)] for k, x in enumerate(names)}
     schedule = Schedule.of([totals[x] for x in names], [weights.get(x, 0.0) for x in names] if weights else None, window * size, quantum)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select(F.col("source").alias("_source"), F.col("part").alias("_part"), before.alias("_before"))

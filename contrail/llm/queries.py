@@ -61,7 +61,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), repeating=(5, 2, 1))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
