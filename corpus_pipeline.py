@@ -32,10 +32,10 @@ def _with_text(docs: DataFrame, columns: list[str], text: str) -> list:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that the rules' posterior finds good."""
-    model = quality_rules.learn(quality_rules.with_counts(docs.select("text")))
+    """Texts that the rules' posterior finds good. Texts are counted once; null, empty and too short ones go."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    return quality_rules.judged(quality_rules.with_counts(rows, "_doc.text"), model).filter("kept").select("_doc.*")
+    rows = materialise(quality_rules.with_counts(rows, "_doc.text"), "pipeline-counts")
+    return quality_rules.judged(rows, quality_rules.learn(rows)).filter("kept").select("_doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,8 +85,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences that hold the sources in the mix's proportions."""
-    return packing.pack(docs, tokenizer_file())
+    """Pieces of sequences that hold the sources in the mix's proportions, each source served in training order.
+
+    That order is the one of the rows in the files of the stage before; Spark may deal the files out to tasks as it likes.
+    """
+    at = docs.metadataColumn("_metadata") if docs.inputFiles() else None
+    part = None if at is None else F.concat(at["file_name"], F.lit("#"), F.lpad(at["file_block_start"].cast("string"), 20, "0"))
+    return packing.pack(docs, tokenizer_file(), part=part)
 
 
 STAGES = [
