@@ -9,15 +9,17 @@ No list is expanded into all of its pairs, and none is capped:
 2. rare lists (at most RARE members): pairs that are not yet in one component. Members of frequent lists get further
    rare values from their whole sketch, so that a shared line or passage does not crowd out the rest of a text.
 3. frequent lists: only texts that consist mostly of frequent values can be similar without sharing rare ones. Where such
-   a list still holds several components, the full sets of its members are counted: those that share a rare shingle are
-   compared; two others have at most their frequent shingles in common and all their rare ones apart, which bounds their
-   similarity. Members outside of the list's largest component are compared with those that the bound admits. A group
-   of copies is one component by then, and most texts next to it have too many shingles of their own to be admitted.
+   a list still holds several components, the full sets of its members are cut into frequent shingles and others. Members
+   that share one of the others are compared. Of members with equal frequent shingles, the one with the fewest others is
+   the nearest to all, so it stands for them: a star around it decides them exactly. Between such representatives, a star
+   around the one with the fewest others comes first; what is then still outside of its list's largest component is held
+   against the list, pair by pair only where the frequent shingles that both have, counted in full, allow a link.
 
 Two sets of similarity 0.8 share none of 12 values with a probability of about 0.2 ** 12, and fall below the estimate's
 bound (5.5 standard deviations) with one of about 2e-8; all else is exact.
 
-Null texts and texts without words have an empty set and are linked with nothing. Texts with fewer words than a shingle
+Null ids are linked like others; rows with a null id are kept only if no row that they reach has an id. Ties have no part.
+Very long texts are read whole, one a step. Null texts and texts without words have an empty set and are linked with nothing. Texts with fewer words than a shingle
 have one shingle, all their words. Repeated rows, of one id or several, fall into one component. An empty table gives an
 empty result. Extra columns are dropped.
 """
@@ -37,7 +39,7 @@ from ._text import Words, gram_hashes, gram_places, mix, steps
 from .components import components
 
 SHINGLE, SKETCH, INDEX, RARE, PERCENT = 5, 48, 12, 16, 80
-MOSTLY_FREQUENT, SIGMAS = 0.5, 5.5
+MOSTLY_FREQUENT, SIGMAS, SALTS = 0.5, 5.5, 32
 #: Ids up to this number are broadcast to the scan of texts; more are joined.
 BROADCAST_IDS = 1_000_000
 
@@ -99,7 +101,12 @@ class _Search:
         self.base = materialise(rows, "neardup-sketches")
         nodes = self.base.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         self.nodes = materialise(nodes, "neardup-nodes")
-        self.links = None
+        self.found = None
+
+    def _rows_of(self, ids: DataFrame) -> DataFrame:
+        """Texts of the rows with these ids; a null id stands for all rows without one, which their nodes tell apart."""
+        ids = ids.select(F.col("doc_id").alias("_wanted"))
+        return self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi").select("text")
 
     def _lists(self, values: DataFrame) -> DataFrame:
         """(value, node, n) -> lists of two members or more, with their length and first member."""
@@ -107,10 +114,7 @@ class _Search:
         return materialise(values.join(heads, "value"), "neardup-lists")
 
     def _with_components(self, lists: DataFrame) -> DataFrame:
-        if self.links is None:
-            return lists.withColumn("component", F.col("node"))
-        found = self.found
-        return lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return lists.join(self.found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     def _with_largest(self, lists: DataFrame) -> DataFrame:
         """Members of the lists that hold several components, with their own and the list's largest component."""
@@ -131,6 +135,8 @@ class _Search:
         share = self.percent / 100
         bound = share - SIGMAS * (share * (1 - share) / self.sketch_size) ** 0.5
         likely = materialise(both.filter(common >= bound * F.size(union)).select("a", "b", "rep_a", "rep_b"), "neardup-likely")
+        if self.found is not None and likely.isEmpty():
+            return
         ids = materialise(likely.select(F.col("rep_a").alias("doc_id")).unionByName(likely.select(F.col("rep_b").alias("doc_id"))).distinct(), "neardup-ids")
         wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         shingle, percent = self.shingle, self.percent
@@ -141,7 +147,7 @@ class _Search:
                 nodes = [node_of(values[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), batch.column("text")], ["node", "text"])
 
-        held = self.docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(texts, "node binary, text string")
+        held = self._rows_of(wanted).mapInArrow(texts, "node binary, text string")
         held = materialise(held.dropDuplicates(["node"]), "neardup-texts")
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,8 +162,23 @@ class _Search:
         for side in ("a", "b"):
             full = full.join(held.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
         links = materialise(full.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a binary, b binary"), "neardup-links")
-        self.links = links if self.links is None else self.links.unionByName(links)
-        self.found = materialise(components(self.links), "neardup-components")
+        self._add(links)
+
+    def _add(self, links: DataFrame) -> None:
+        """Join the components that links connect; only these links take part, not those of the steps before."""
+        if self.found is None:
+            self.found = materialise(components(links), "neardup-components")
+            return
+        known = self.found
+        for side in ("a", "b"):
+            of = self.found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+            links = links.join(of, side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
+        links = materialise(links, "neardup-links")
+        alone = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct().join(known, "node", "left_anti")
+        known = known.unionByName(alone.select("node", F.col("node").alias("component")))
+        met = components(links.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("_met"))
+        joined = known.join(met, "component", "left").select("node", F.coalesce("_met", "component").alias("component"))
+        self.found = materialise(joined, "neardup-components")
 
     def run(self) -> DataFrame:
         """Stars, rare lists, frequent lists; gives (node, component)."""
@@ -179,23 +200,46 @@ class _Search:
         hot = materialise(self._with_largest(frequent.select("value", "node", "n").join(mostly, "node", "left_semi")), "neardup-frequent")
         if hot.isEmpty():
             return self.found
-        full = self._full_sets(hot.select("node").distinct())
-        lists = materialise(full.groupBy("value").agg(F.count("*").alias("members")), "neardup-values").filter("members > 1")
-        share = full.join(lists.filter(F.col("members") > self.rare), "value").groupBy("node").agg(F.count("*").alias("common"))
-        full_rare = full.join(lists.filter(F.col("members") <= self.rare), "value").select("value", "node").join(self.nodes.select("node", "n"), "node")
-        hot = materialise(hot.join(share, "node").withColumn("own", F.col("n") - F.col("common")).drop("component", "largest"), "neardup-frequent")
-        admitted = (F.col("component") != F.col("c_a")) & (100 * F.least("common", "common_a") >= self.percent * (F.greatest("common", "common_a") + F.col("own") + F.col("own_a")))
-        mine = lambda c: [F.col(c)[k].alias(f"{k}_a") for k in ("common", "own")] + [F.col(c)["node"].alias("a"), F.col(c)["component"].alias("c_a")]
-        known = materialise(self._with_largest(hot), "neardup-frequent")
-        heads = known.groupBy("value").agg(F.min(F.struct("own", "common", "node", "component")).alias("head"))
-        star = known.join(heads.select("value", *mine("head")), "value").filter(admitted)  # around the member with the fewest shingles of its own
-        self._test(self._pairs_in(full_rare).unionByName(star.select("a", F.col("node").alias("b"))))
-        hot = materialise(self._with_largest(hot), "neardup-frequent")
-        apart = hot.filter((F.col("component") != F.col("largest")) & (100 * F.col("common") >= self.percent * F.col("n"))).select("value", F.col("node").alias("a"), F.col("common").alias("common_a"), F.col("own").alias("own_a"), F.col("component").alias("c_a"))
-        pairs = apart.join(hot, "value").filter(admitted)
-        self._test(pairs.select("a", F.col("node").alias("b")))
+        sets, rare = self._frequent_parts(hot.select("node").distinct())
+        hot = hot.select("value", "node").join(sets, "node")
+        admitted = 100 * F.least("common", "common_a") >= self.percent * (F.greatest("common", "common_a") + F.col("own") + F.col("own_a"))
+        mine = lambda *more: [F.col(c).alias(f"{c}_a") for c in ("node", "common", "own", *more)]
+        heads = hot.groupBy("digest").agg(F.min(F.struct("own", "node", "common")).alias("h")).select("digest", "h.*")
+        alike = sets.join(heads.select("digest", *mine()), "digest").filter((F.col("node") != F.col("node_a")) & admitted)
+        reps = materialise(hot.join(heads.select("node"), "node", "left_semi"), "neardup-frequent")
+        heads = reps.groupBy("value").agg(F.min(F.struct("own", "common", "node")).alias("h")).select("value", "h.*")
+        star = reps.join(heads.select("value", *mine()), "value").filter((F.col("node") != F.col("node_a")) & admitted)
+        pairs = alike.unionByName(star, allowMissingColumns=True).select(F.col("node_a").alias("a"), F.col("node").alias("b"))
+        self._test(self._pairs_in(rare).unionByName(pairs))
+
+        reps = materialise(self._with_largest(reps), "neardup-frequent")
+        apart = reps.filter((F.col("component") != F.col("largest")) & (100 * F.col("common") >= self.percent * (F.col("common") + F.col("own"))))
+        apart = apart.select("value", *mine("component", "index", "part", "lost"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = reps.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        first = F.col("value") == F.array_min(F.array_intersect("index", "index_a"))  # each pair once, in its first list
+        shared = F.size(F.array_intersect("part", "part_a")) + F.least("lost", "lost_a")  # at most that many
+        close = 100 * shared >= self.percent * (F.col("common") + F.col("common_a") - shared + F.col("own") + F.col("own_a"))
+        pairs = salted.join(apart, ["value", "salt"]).filter((F.col("component") != F.col("component_a")) & admitted & first & close)
+        self._test(pairs.select(F.col("node_a").alias("a"), F.col("node").alias("b")))
         return self.found
 
+    def _frequent_parts(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Full sets of some nodes, cut at the shingles that over rare of them have.
+
+        (node, common, own, digest, index, part, lost): how many frequent and other shingles a set has, a digest of the
+        frequent ones, the sketch's index values, the frequent ones in 16 bits, and how many of them these bits confuse.
+        (value, node, n): the lists of the other shingles that two sets or more have.
+        """
+        full = self._full_sets(nodes)
+        lists = materialise(full.groupBy("value").agg(F.count("*").alias("members")), "neardup-values").filter("members > 1")
+        held = full.join(lists.filter(F.col("members") > self.rare), "value").groupBy("node").agg(F.sort_array(F.collect_list("value")).alias("set"))
+        bits = F.array_distinct(F.transform("set", lambda x: (F.pmod(x, F.lit(65536)) - 32768).cast("smallint")))
+        held = held.join(self.nodes.select("node", "n", F.slice("sketch", 1, self.index).alias("index")), "node")
+        held = held.select("node", F.size("set").cast("long").alias("common"), F.md5(F.to_json("set")).alias("digest"), "n", "index", bits.alias("part"))
+        held = held.select("node", "common", (F.col("n") - F.col("common")).alias("own"), "digest", "index", "part", (F.col("common") - F.size("part")).alias("lost"))
+        rare = full.join(lists.filter(F.col("members") <= self.rare), "value").select("value", "node").join(self.nodes.select("node", "n"), "node")
+        return materialise(held, "neardup-parts"), rare
+
     def _pairs_in(self, rare_lists: DataFrame) -> DataFrame:
         """(a, b): pairs of different components and like sizes within lists (value, node, n) of at most rare members."""
         groups = self._with_components(rare_lists).groupBy("value").agg(F.sort_array(F.collect_list(F.struct("node", "n", "component"))).alias("x"), F.count_distinct("component").alias("k")).filter("k > 1")
@@ -215,7 +259,7 @@ class _Search:
                 held = [node_of(values[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))], ["node", "values"])
 
-        rows = self.docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(sets, "node binary, values array<bigint>").dropDuplicates(["node"])
+        rows = self._rows_of(wanted).mapInArrow(sets, "node binary, values array<bigint>").dropDuplicates(["node"])
         return materialise(rows.join(nodes, "node", "left_semi").select("node", F.explode("values").alias("value")), "neardup-full")
 
 
@@ -232,4 +276,4 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     of_node = smallest.join(least, "component").select("node", "component_id")
     rows = search.base.select("doc_id", F.col("n").alias("n_shingles"), "node").join(of_node, "node", "left")
     out = rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
