@@ -1,14 +1,17 @@
 """Toxicity by nearest labelled examples (operator 5).
 
-Texts are TF-IDF vectors over the words and word beginnings that tell the labels apart (chi-square on the labelled sample); document
-frequencies come from the whole corpus. The labelled examples lie in an inverted index whose lists are cut into blocks
-of BLOCK examples with each block's largest weight. A text visits the blocks in the order of their bounds and stops when no
-bound beats its k-th cosine, so the neighbours are exact. Their votes, weighted by cosine and smoothed by the prior, are
-calibrated by a logistic fit on the examples themselves, each without its own vote.
-
-A text without any term of the index (null and empty ones too) has no neighbours: its vote is the prior's. Without
-labels of both kinds every score is the smoothed share of toxic labels. Ties go to the smaller example id. Repeated rows
-get equal scores. Extra columns pass through; a column that has the name of a result is replaced.
+Texts are TF-IDF vectors over all words of the labelled examples; document frequencies come from the whole corpus, and a
+word that one label has more often than the other weighs more, by the logarithm of the ratio. Words of the examples are
+never dropped. The labelled examples, at most per_class of each label, lie in an inverted index whose lists are cut into
+blocks of BLOCK examples, with each block's largest weight. Short lists are added up whole. For long ones the block maxima
+bound the cosines of a block; only blocks whose bound can beat a text's k-th cosine so far are scored, so the neighbours
+are exact. Their votes, weighted by cosine and smoothed by the prior, are calibrated by a logistic fit on the examples
+themselves, each without its own vote.
+
+A text without any word of the index (null and empty ones too) has no neighbours: its vote is the prior's. Very long
+texts are scored whole. Without labels of both kinds every score is the smoothed share of toxic labels. Cosines are
+compared to six digits; ties go to the smaller example id. Repeated rows get equal scores. An empty table gives an empty
+result. Extra columns pass through; a column that has the name of a result is replaced.
 """
 
 from __future__ import annotations
@@ -23,56 +26,64 @@ from pyspark.sql import functions as F
 
 from ._labels import Logistic, class_weights, training_sample
 from ._store import materialise
-from ._text import Words, distinct, mix, owners, prefix_hash, range_hash, steps, text_udf
+from ._text import Words, owners, prefix_hash, range_hash, steps, text_udf
 
-PER_CLASS, MAX_TEXT_BYTES, MAX_TERMS, NEIGHBOURS, BLOCK = 2000, 65_536, 1024, 15, 64
-MIN_CHI2, MIN_SHARE, PRIOR_WEIGHT, PREFIXES = 40.0, 0.015, 0.5, (4, 5, 6, 7, 8, 9)
+PER_CLASS, MAX_TEXT_BYTES, NEIGHBOURS, BLOCK = 2000, 65_536, 15, 64
+#: Examples that must have a word before its labels count; share of the examples from which on a list is a long one;
+#: texts that are scored at once.
+MIN_EXAMPLES, LONG_LIST, TEXTS, PRIOR_WEIGHT = 3, 0.05, 256, 0.5
+DIGITS, ROOM = 1_000_000, 1 << 20
 _MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, hash) of the terms of texts.
-
-    Terms are words, in lower case and without punctuation at their ends, and the first PREFIXES bytes of longer words,
-    which catch the forms of a word that the labelled sample doesn't have.
-    """
+    """(owner, hash) of the words of texts, in lower case and without punctuation at their ends."""
     words = Words(texts, fold=True)
     start, end, of = words.start.copy(), words.end.copy(), owners(words.offsets)
-    if not len(start):
-        return of, np.empty(0, np.uint64)
-    for _ in range(int((end - start).max())):
-        left = (start < end) & _MARK[words.data[np.minimum(start, len(words.data) - 1)]]
-        right = (start < end) & ~left & _MARK[words.data[np.maximum(end - 1, 0)]]
-        if not (left.any() or right.any()):
-            break
-        start += left
-        end -= right
+    open_ = np.arange(len(start))
+    while len(open_):
+        left = _MARK[words.data[start[open_]]]
+        start[open_[left]] += 1
+        open_ = open_[left]
+        open_ = open_[start[open_] < end[open_]]
+    open_ = np.flatnonzero(start < end)
+    while len(open_):
+        right = _MARK[words.data[end[open_] - 1]]
+        end[open_[right]] -= 1
+        open_ = open_[right]
     keep = start < end
-    of, start, end, sums = of[keep], start[keep], end[keep], prefix_hash(words.data, True)
-    owner, found = [of], [range_hash(sums, start, end)]
-    for n in PREFIXES:
-        longer = end - start > n
-        of, start, end = of[longer], start[longer], end[longer]
-        owner.append(of)
-        found.append(mix(range_hash(sums, start, start + n) + np.uint64(n)))
-    return np.concatenate(owner), np.concatenate(found)
+    return of[keep], range_hash(prefix_hash(words.data, True), start[keep], end[keep])
+
+
+def _counted(owner: np.ndarray, code: np.ndarray, codes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, code, times) of each pair, sorted."""
+    pair, times = np.unique(owner * codes + code, return_counts=True)
+    return pair // codes, pair % codes, times
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches):
         owner, hashes = terms(batch.column("text"))
-        _, _, first = distinct(mix(hashes + mix(owner.astype(np.uint64))))
-        y = np.asarray(batch.column("y")).astype(np.int64)[owner[first]]
-        codes, seen, _ = distinct(hashes[first])
-        yield pa.RecordBatch.from_pydict({"term": seen.view(np.int64), "n1": np.bincount(codes, weights=y, minlength=len(seen)).astype(np.int64), "n": np.bincount(codes, minlength=len(seen)).astype(np.int64)})
+        seen, code = np.unique(hashes, return_inverse=True)
+        owner, code, times = _counted(owner, code, max(len(seen), 1))
+        cut = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int64))) for x in (seen[code].view(np.int64), times)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("y").cast(pa.int64()), *lists], ["doc_id", "y", "terms", "times"])
+
+
+def _known_terms(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    owner, hashes = terms(texts)
+    code = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    hit = known[code] == hashes
+    return owner[hit], code[hit]
 
 
 def _frequencies(known: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, rows = np.zeros(len(known), np.int64), 0
         for batch in steps(batches):
-            owner, code = _known_terms(batch.column("text"), known)
-            count += np.bincount(np.unique(owner * len(known) + code) % len(known), minlength=len(known))
+            _, code, _ = _counted(*_known_terms(batch.column("text"), known), len(known))
+            count += np.bincount(code, minlength=len(known))
             rows += batch.num_rows
         place = np.flatnonzero(count)
         yield pa.RecordBatch.from_pydict({"place": np.r_[-1, place].astype(np.int64), "n": np.r_[rows, count[place]].astype(np.int64)})
@@ -80,19 +91,44 @@ def _frequencies(known: np.ndarray):
     return run
 
 
-def _known_terms(texts: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    owner, hashes = terms(texts)
-    code = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    hit = known[code] == hashes
-    return owner[hit], code[hit]
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... counts[0] of them, then those of starts[1], and so on."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
+@dataclass
+class Index:
+    """Inverted lists of the examples: short ones as postings, long ones as rows of a table with the maxima of its blocks."""
+
+    starts: np.ndarray
+    example: np.ndarray
+    weight: np.ndarray
+    row: np.ndarray  # of each term in the table of long lists, or -1
+    table: np.ndarray
+    most: np.ndarray
+
+    @staticmethod
+    def of(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, examples: int, terms: int) -> Index:
+        length = np.bincount(cols, minlength=terms)
+        long = length >= LONG_LIST * examples
+        row = np.where(long, np.cumsum(long) - 1, -1)
+        width = -(-examples // BLOCK) * BLOCK
+        table = np.zeros((int(long.sum()), width), np.float32)
+        of_long = long[cols]
+        table[row[cols[of_long]], rows[of_long]] = weights[of_long]
+        rest = np.flatnonzero(~of_long)
+        rest = rest[np.argsort(cols[rest], kind="stable")]
+        starts = np.r_[0, np.cumsum(np.where(long, 0, length))]
+        return Index(starts, rows[rest].astype(np.int32), weights[rest].astype(np.float32), row, table, table.reshape(len(table), -1, BLOCK).max(axis=2))
 
 
 @dataclass
 class ToxicityModel:
-    """known: sorted term hashes; idf; examples: their ids, labels and unit vectors as (example, term, weight)."""
+    """known: sorted term hashes; factor: their weight; examples: ids, labels and unit vectors as (example, term, weight)."""
 
     known: np.ndarray
-    idf: np.ndarray
+    factor: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     rows: np.ndarray
@@ -101,7 +137,7 @@ class ToxicityModel:
     calibration: Logistic | None = None
     neighbours: int = NEIGHBOURS
     stands_for: np.ndarray = field(default_factory=lambda: np.ones(2))  # labelled rows for each example of label 0 and 1
-    index: tuple | None = field(default=None, repr=False, compare=False)
+    index: Index | None = field(default=None, repr=False, compare=False)
 
     @property
     def prior(self) -> float:
@@ -111,99 +147,133 @@ class ToxicityModel:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"index": None}
 
-    def lists(self) -> tuple[np.ndarray, np.ndarray]:
-        """(tiles, bounds): tiles[b] holds each term's weights in block b; bounds[b, t] is the largest of them."""
+    def lists(self) -> Index:
         if self.index is None:
-            blocks = -(-len(self.ids) // BLOCK)
-            tiles = np.zeros((blocks, len(self.known), BLOCK), np.float32)
-            tiles[self.rows // BLOCK, self.cols, self.rows % BLOCK] = self.weights
-            self.index = tiles, tiles.max(axis=2)
+            self.index = Index.of(self.rows, self.cols, self.weights, len(self.ids), len(self.known))
         return self.index
 
     def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(owner, term, weight) of unit TF-IDF vectors, sorted by owner."""
-        owner, code = _known_terms(texts, self.known)
-        pair, tf = np.unique(owner * len(self.known) + code, return_counts=True)
-        owner, code = pair // len(self.known), pair % len(self.known)
-        weight = (1 + np.log(tf)) * self.idf[code]
-        norm = np.sqrt(np.bincount(owner, weights=weight**2, minlength=len(texts)))
-        return owner, code, weight / np.maximum(norm[owner], 1e-12)
-
-    def nearest(self, code: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Exact (cosines, examples) of the nearest examples with a cosine over 0."""
-        tiles, bounds = self.lists()
-        weight = weight.astype(np.float32)
-        bound = bounds[:, code] @ weight
-        k, best, who = self.neighbours, np.empty(0, np.float32), np.empty(0, np.int64)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] * (1 + 1e-5) < best[-1]:
-                break
-            cosine = weight @ tiles[b, code]
-            place = np.flatnonzero(cosine > (best[-1] * (1 - 1e-6) if len(best) == k else 0))
-            best, who = np.r_[best, cosine[place]], np.r_[who, b * BLOCK + place]
-            if without >= 0:
-                best, who = best[who != without], who[who != without]
-            top = np.lexsort((who, -best))[:k]
-            best, who = best[top], who[top]
-        return best, who
-
-    def vote(self, cosine: np.ndarray, who: np.ndarray) -> float:
-        return float((cosine @ self.labels[who] + PRIOR_WEIGHT * self.prior) / (cosine.sum() + PRIOR_WEIGHT))
-
-    def look_up(self, texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """(votes, neighbours, cosines) of texts."""
-        votes, who, cosines = np.full(len(texts), self.prior), [np.empty(0, np.int64)] * len(texts), [np.empty(0)] * len(texts)
-        if len(self.known) and len(texts):
-            owner, code, weight = self.vectors(texts)
-            cuts = np.flatnonzero(np.diff(owner)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(owner)], strict=True) if len(owner) else ():
-                cosines[owner[a]], who[owner[a]] = self.nearest(code[a:b], weight[a:b])
-                votes[owner[a]] = self.vote(cosines[owner[a]], who[owner[a]])
-        return votes, who, cosines
+        """(owner, term, weight) of unit vectors, sorted by owner."""
+        owner, code, times = _counted(*_known_terms(texts, self.known), len(self.known))
+        return owner, code, unit(owner, times, self.factor[code], len(texts))
+
+    def nearest(self, owner: np.ndarray, code: np.ndarray, weight: np.ndarray, n: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines, examples), n rows of at most neighbours columns, best first; -1 for no example.
+
+        Scores of one text are keys: its cosine in DIGITS, then the example's place, the smaller the better.
+        """
+        lists, width, k = self.lists(), self.lists().table.shape[1], self.neighbours
+        row = lists.row[code]
+        long = row >= 0
+        start, size = lists.starts[code[~long]], np.diff(lists.starts)[code[~long]]
+        at = _spread(start, size)
+        cell = np.repeat(owner[~long], size) * width + lists.example[at]
+        short = np.bincount(cell, weights=lists.weight[at] * np.repeat(weight[~long], size), minlength=n * width).reshape(n, -1, BLOCK).astype(np.float32)
+        dense = np.zeros((n, len(lists.table)), np.float32)
+        dense[owner[long], row[long]] = weight[long]
+        bound = short.max(axis=2) + dense @ lists.most
+        best = np.zeros((n, k), np.int64)
+        done = np.zeros(bound.shape, bool)
+
+        def score(b: int, who: np.ndarray) -> None:
+            done[who, b] = True
+            cosine = short[who, b] + dense[who] @ lists.table[:, b * BLOCK : (b + 1) * BLOCK]
+            keys = np.rint(cosine * DIGITS).astype(np.int64) * ROOM + (ROOM - 1 - np.arange(b * BLOCK, (b + 1) * BLOCK))
+            if without is not None:
+                mine = without[who] - b * BLOCK
+                inside = np.flatnonzero((mine >= 0) & (mine < BLOCK))
+                keys[inside, mine[inside]] = 0
+            keys[keys < ROOM] = 0
+            best[who] = np.partition(np.hstack([best[who], keys]), BLOCK, axis=1)[:, BLOCK:]
+
+        first = bound.argmax(axis=1)
+        for b in range(bound.shape[1]):
+            who = np.flatnonzero(first == b)
+            if len(who):
+                score(b, who)
+        for b in np.argsort(-bound.sum(axis=0), kind="stable"):
+            least = best.min(axis=1)
+            who = np.flatnonzero(~done[:, b] & (bound[:, b] > 0) & ((bound[:, b] + 1e-5) * DIGITS >= least // ROOM))
+            if len(who):
+                score(b, who)
+        best = -np.sort(-best, axis=1)
+        return best // ROOM / DIGITS, np.where(best > 0, ROOM - 1 - best % ROOM, -1)
+
+    def votes(self, cosine: np.ndarray, who: np.ndarray) -> np.ndarray:
+        toxic = np.where(who >= 0, self.labels[who] if len(self.labels) else 0, 0)
+        return ((cosine * toxic).sum(axis=1) + PRIOR_WEIGHT * self.prior) / (cosine.sum(axis=1) + PRIOR_WEIGHT)
+
+    def look_up(self, texts: pa.Array, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(votes, neighbours, cosines) of texts; without: an example for each text that is none of its neighbours."""
+        found = []
+        for a in range(0, len(texts) if len(self.known) else 0, TEXTS):
+            part = texts.slice(a, TEXTS)
+            cosine, who = self.nearest(*self.vectors(part), len(part), None if without is None else without[a : a + TEXTS])
+            found.append((self.votes(cosine, who), who, cosine))
+        if not found:
+            return np.full(len(texts), self.prior), np.full((len(texts), 1), -1), np.zeros((len(texts), 1))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def score(self, votes: np.ndarray) -> np.ndarray:
         return self.calibration(votes) if self.calibration else votes
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, max_text_bytes: int = MAX_TEXT_BYTES, max_terms: int = MAX_TERMS, neighbours: int = NEIGHBOURS) -> ToxicityModel:
-    """Learn from a bounded sample of labelled documents outside of fold 0; document frequencies count all of docs."""
+def unit(owner: np.ndarray, times: np.ndarray, factor: np.ndarray, n: int) -> np.ndarray:
+    weight = (1 + np.log(times)) * factor
+    return weight / np.maximum(np.sqrt(np.bincount(owner, weights=weight**2, minlength=n)), 1e-12)[owner]
+
+
+def _alike(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """Order of the examples by their main direction over the long lists, so that a block holds examples that are alike."""
+    index = Index.of(rows, cols, weights, n, int(cols.max()) + 1 if len(cols) else 1)
+    table = index.table[:, :n] - index.table[:, :n].mean(axis=1, keepdims=True)
+    side = np.cos(np.arange(len(table)))
+    for _ in range(20):
+        side = table @ (side @ table)
+        side /= np.abs(side).max() + 1e-12 if len(side) else 1
+    return np.argsort(np.round(side @ table, 6), kind="stable")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, max_text_bytes: int = MAX_TEXT_BYTES, neighbours: int = NEIGHBOURS) -> ToxicityModel:
+    """Learn from a bounded sample of labelled documents outside of fold 0; document frequencies count all of docs.
+
+    The driver holds the sample's words: at most 2 * per_class * max_text_bytes bytes of text whatever the corpus.
+    """
     sample = materialise(training_sample(docs, labels, label, per_class, max_text_bytes), "toxicity-sample")
-    size = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    n1, n = size.get(1, 0), sum(size.values())
-    none, weight = np.empty(0, np.int64), class_weights(labels, label, per_class)
-    if not n1 or n1 == n:
-        return ToxicityModel(none.astype(np.uint64), none, none, np.r_[np.zeros(n - n1), np.ones(n1)], none, none, none, stands_for=weight)
-    a = F.col("n1").cast("double")
-    b, c, d = F.col("n") - a, n1 - a, (n - n1) - (F.col("n") - a)
-    chi2 = n * F.pow(a * d - b * c, F.lit(2)) / (n1 * (n - n1) * F.col("n") * (n - F.col("n")) + 1e-9)
-    counts = sample.select("text", "y").mapInArrow(_term_counts, "term bigint, n1 bigint, n bigint").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n"))
-    common = (a >= MIN_SHARE * n1) | (b >= MIN_SHARE * (n - n1))  # a term of one group of copies tells nothing
-    chosen = counts.filter(common).select("term", chi2.alias("chi2")).filter(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").limit(max_terms).collect()
-    known = np.sort(np.array([r["term"] for r in chosen], np.int64).view(np.uint64))
-    if not len(known):
-        return ToxicityModel(none.astype(np.uint64), none, none, np.r_[np.zeros(n - n1), np.ones(n1)], none, none, none, stands_for=weight)
-    seen = docs.select("text").mapInArrow(_frequencies(known), "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect()
-    df, rows = np.zeros(len(known)), sum(r["n"] for r in seen if r["place"] < 0)
-    for r in seen:
-        if r["place"] >= 0:
-            df[r["place"]] = r["n"]
-    model = ToxicityModel(known, np.log((1 + rows) / (1 + df)) + 1, none, none, none, none, none, neighbours=neighbours, stands_for=weight)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = sample.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "y").mapInArrow(_example_terms, "doc_id bigint, y bigint, terms array<bigint>, times array<bigint>")
+    found = found.toArrow().sort_by("doc_id").combine_chunks()
+    ids, y = (found.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "y"))
+    n, none, weight = len(ids), np.empty(0, np.int64), class_weights(labels, label, per_class)
+    flat = lambda c: np.concatenate([x.flatten().to_numpy() for x in found.column(c).chunks] or [none]).astype(np.int64)
+    rows = np.repeat(np.arange(n), found.column("terms").combine_chunks().value_lengths().to_numpy().astype(np.int64)) if n else none
+    known, cols = np.unique(flat("terms").view(np.uint64), return_inverse=True)
+    if not 0 < y.sum() < n or not len(known):
+        return ToxicityModel(none.astype(np.uint64), none, none, y.astype(float), none, none, none, stands_for=weight)
+    seen = docs.select("text").mapInArrow(_frequencies(known), "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    place, count = seen.column("place").to_numpy(), seen.column("n").to_numpy()
+    df, total = np.zeros(len(known)), count[place < 0].sum()
+    df[place[place >= 0]] = count[place >= 0]
+    has = np.stack([np.bincount(cols[y[rows] == k], minlength=len(known)) for k in (0, 1)])
+    share = (has + 0.5) / (np.array([(y == 0).sum(), y.sum()]) + 1)[:, None]
+    told = np.where(has.sum(axis=0) >= MIN_EXAMPLES, np.abs(np.log(share[1] / share[0])), 0)
+    factor = (np.log((1 + total) / (1 + df)) + 1) * (1 + told)
+    weights = unit(rows, flat("times"), factor[cols], n)
+
+    order = _alike(rows, cols, weights, n)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    again = np.argsort(place[rows], kind="stable")
+    model = ToxicityModel(known, factor, ids[order], y[order].astype(float), place[rows][again], cols[again], weights[again].astype(np.float32), neighbours=neighbours, stands_for=weight)
+    place = {int(x): k for k, x in enumerate(model.ids)}
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            owner, code, weight = model.vectors(batch.column("text"))
-            cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x)) for x in (code.astype(np.int64), weight)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("y").cast(pa.int64()), *lists], ["doc_id", "y", "terms", "weights"])
-
-    found = sorted(sample.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "y").mapInArrow(vectors, "doc_id bigint, y bigint, terms array<bigint>, weights array<double>").collect())
-    model.ids, model.labels = np.array([r["doc_id"] for r in found], np.int64), np.array([r["y"] for r in found], float)
-    model.rows = np.repeat(np.arange(len(found)), [len(r["terms"]) for r in found])
-    model.cols, model.weights = (np.concatenate([np.asarray(r[k], t) for r in found]) for k, t in (("terms", np.int64), ("weights", float)))
-    votes = np.full(len(found), model.prior)
-    for i, r in enumerate(found):
-        if r["terms"]:
-            votes[i] = model.vote(*model.nearest(np.asarray(r["terms"]), np.asarray(r["weights"]), without=i))
+            own = np.array([place[x] for x in batch.column("doc_id").to_pylist()], np.int64)
+            yield pa.RecordBatch.from_pydict({"place": own, "vote": model.look_up(batch.column("text"), own)[0]})
+
+    told = sample.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(vote, "place bigint, vote double").toArrow()
+    votes = np.empty(n)
+    votes[told.column("place").to_numpy()] = told.column("vote").to_numpy()
     model.calibration = Logistic(votes, model.labels, weight=weight[model.labels.astype(int)])
     return model
 
@@ -213,10 +283,9 @@ def scored(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFra
 
     def run(texts: pa.Array) -> pa.Array:
         votes, who, cosines = model.look_up(texts)
-        cut = np.concatenate([[0], np.cumsum([len(x) for x in who])]).astype(np.int32)
-        flat, cosine = (np.concatenate(x) if x else np.empty(0) for x in (who, cosines))
-        flat = flat.astype(np.int64)
-        pairs = pa.StructArray.from_arrays([pa.array(model.ids[flat]), pa.array(model.labels[flat].astype(np.int32)), pa.array(cosine.astype(np.float64))], ["doc_id", "label", "cosine"])
+        held = who >= 0
+        cut, flat = np.r_[0, np.cumsum(held.sum(axis=1))].astype(np.int32), who[held]
+        pairs = pa.StructArray.from_arrays([pa.array(model.ids[flat].astype(np.int64)), pa.array(model.labels[flat].astype(np.int32)), pa.array(cosines[held])], ["doc_id", "label", "cosine"])
         return pa.StructArray.from_arrays([pa.array(model.score(votes)), pa.ListArray.from_arrays(pa.array(cut), pairs)], ["score", "evidence"])
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "evidence")]
