@@ -1,11 +1,13 @@
 """Quality rules by weak supervision (operator 8).
 
 Each rule looks at counts of a whole text and votes good (1), bad (-1) or abstains (0). Expectation-maximisation over the
-counts of vote patterns estimates how each rule votes on good texts and on each kind of bad text (one kind a rule, so
-that faults which one rule alone can see are not outvoted); a text is kept when its posterior probability of being good
-reaches a threshold. Spark counts the patterns, so that the driver sees at most 3 ** rules
-rows whatever the corpus.
+counts of vote patterns estimates how each rule votes on good texts and on each kind of bad text: rules that look at the
+same fault are a family and share a kind, so that rules of one family correct one another and a fault of another family
+is not outvoted. A text is kept when its posterior probability of being good reaches a threshold; a bad vote that the
+rest of its family denies does not reject it. Spark counts the patterns, so that the driver sees at most 3 ** rules rows
+whatever the corpus.
 
+Very long texts are counted whole. Ties (a posterior equal to the threshold) are kept.
 Null and empty texts have zero counts, fail the base test and are not kept. Repeated rows get equal results each. An empty
 table gives an empty result (the model is then the prior one). Extra columns pass through; a column that has the name of
 a result is replaced.
@@ -13,6 +15,7 @@ a result is replaced.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -90,6 +93,7 @@ class Rule:
     under: str | None
     good: float
     bad: float
+    family: str
 
     def vote(self) -> Column:
         x = F.col(self.over) / F.greatest(F.col(self.under), F.lit(1)) if self.under else F.col(self.over).cast("double")
@@ -99,21 +103,21 @@ class Rule:
 
 
 RULES = (
-    Rule("long_enough", "n_words", None, 40, 20),
-    Rule("word_length", "word_chars", "n_words", 10, 14),
-    Rule("word_not_tiny", "word_chars", "n_words", 3, 2),
-    Rule("few_symbols", "n_symbols", "n_words", 0.05, 0.1),
-    Rule("few_dup_lines", "n_dup_lines", "n_lines", 0.1, 0.3),
-    Rule("few_repeats", "n_repeat_words", "n_words", 0.1, 0.25),
-    Rule("few_twins", "n_twins", "n_words", 0.05, 0.15),
-    Rule("rich_words", "n_distinct", "n_words", 0.3, 0.12),
-    Rule("lower_case", "n_upper", "n_letters", 0.2, 0.5),
+    Rule("long_enough", "n_words", None, 40, 20, "short"),
+    Rule("word_length", "word_chars", "n_words", 10, 14, "words"),
+    Rule("word_not_tiny", "word_chars", "n_words", 3, 2, "words"),
+    Rule("few_symbols", "n_symbols", "n_words", 0.05, 0.1, "symbols"),
+    Rule("few_dup_lines", "n_dup_lines", "n_lines", 0.1, 0.3, "repetition"),
+    Rule("few_repeats", "n_repeat_words", "n_words", 0.1, 0.25, "repetition"),
+    Rule("few_twins", "n_twins", "n_words", 0.05, 0.15, "repetition"),
+    Rule("rich_words", "n_distinct", "n_words", 0.3, 0.12, "repetition"),
+    Rule("lower_case", "n_upper", "n_letters", 0.2, 0.5, "case"),
 )
 
 
 @dataclass(frozen=True)
 class RuleModel:
-    """P(kind) and P(vote | kind) for each rule over the votes -1, 0, 1; kind 0 is good, kind k is bad as rule k - 1 sees it."""
+    """P(kind) and P(vote | kind) for each rule over the votes -1, 0, 1; kind 0 is good, the others are bad, one a family."""
 
     prior: np.ndarray
     votes: np.ndarray = field(repr=False)
@@ -136,27 +140,31 @@ class RuleModel:
         return right / (right + self.prior[0] * self.votes[:, 0, 0] + self.votes[:, 1:, 2] @ self.prior[1:])
 
 
-#: How a rule votes (bad, abstain, good) before anything is seen: on good texts, on bad texts of its own kind, on other bad texts.
-ON_GOOD, ON_OWN, ON_BAD = (0.002, 0.048, 0.95), (0.9, 0.07, 0.03), (0.1, 0.1, 0.8)
+#: How a rule votes (bad, abstain, good) before anything is seen: on good texts, on bad texts of its own family, on other bad texts.
+ON_GOOD, ON_OWN, ON_BAD = (0.002, 0.018, 0.98), (0.9, 0.05, 0.05), (0.02, 0.02, 0.96)
 START_GOOD = 0.85
-#: Bad votes that a rule may cast on good texts; else a rule that alone sees one kind of bad text would pass for noise.
-FALSE_ALARM = 0.005
 
 
-def start(rules: int) -> tuple[np.ndarray, np.ndarray]:
-    table = np.tile(np.array(ON_BAD), (rules, rules + 1, 1))
+def start(families: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    kinds = list(dict.fromkeys(families))
+    table = np.tile(np.array(ON_BAD), (len(families), len(kinds) + 1, 1))
     table[:, 0] = ON_GOOD
-    table[np.arange(rules), np.arange(rules) + 1] = ON_OWN
-    return np.array([START_GOOD, *[(1 - START_GOOD) / rules] * rules]), table
+    table[np.arange(len(families)), [kinds.index(f) + 1 for f in families]] = ON_OWN
+    return np.array([START_GOOD, *[(1 - START_GOOD) / len(kinds)] * len(kinds)]), table
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 200, strength: float = 0.001) -> RuleModel:
-    """Expectation-maximisation over (votes, count). The start weighs as strength of all rows (1 row at least)."""
-    votes = np.array([p for p, _ in patterns], np.int64).reshape(len(patterns), rules) + 1
+def fit(patterns: list[tuple[tuple[int, ...], int]], families: Sequence[str], rounds: int = 200, strength: float = 0.05) -> RuleModel:
+    """Expectation-maximisation over (votes, count). The start weighs as strength of all rows (1 row at least).
+
+    No vote can tell the false alarms of a rule without family from the faults that it alone sees: its votes on good
+    texts stay at ON_GOOD. All other tables are estimated.
+    """
+    votes = np.array([p for p, _ in patterns], np.int64).reshape(len(patterns), len(families)) + 1
     count = np.array([n for _, n in patterns], float)
     pseudo = max(1.0, strength * count.sum())
-    first, begin = start(rules)
+    first, begin = start(families)
     prior, table = first, begin
+    alone = [list(families).count(f) == 1 for f in families]
     hot = np.stack([votes == v for v in range(3)], axis=2).astype(float)  # pattern, rule, vote
     for _ in range(rounds):
         logs = np.log(prior) + np.einsum("prv,rkv->pk", hot, np.log(table))
@@ -164,9 +172,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 2
         share = count[:, None] * share / np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
         fresh = np.einsum("pk,prv->rkv", share, hot) + pseudo * begin
         fresh /= fresh.sum(axis=2, keepdims=True)
-        over = np.maximum(fresh[:, 0, 0] - FALSE_ALARM, 0)
-        fresh[:, 0, 0] -= over
-        fresh[:, 0, 1:] *= ((1 - fresh[:, 0, 0]) / (1 - fresh[:, 0, 0] - over))[:, None]
+        fresh[alone, 0] = begin[alone, 0]
         known = share.sum(axis=0) + pseudo * first
         known /= known.sum()
         moved = max(np.abs(fresh - table).max(), np.abs(known - prior).max())
@@ -183,7 +189,7 @@ def votes_of(rules: tuple[Rule, ...] = RULES) -> Column:
 def learn(counted: DataFrame, rules: tuple[Rule, ...] = RULES) -> RuleModel:
     """Fit on the vote patterns of all rows; Spark counts them, 3 ** len(rules) rows at most."""
     rows = counted.groupBy(votes_of(rules).alias("votes")).agg(F.count("*").alias("n")).collect()
-    return fit(sorted((tuple(r["votes"]), r["n"]) for r in rows), len(rules))
+    return fit(sorted((tuple(r["votes"]), r["n"]) for r in rows), [r.family for r in rules])
 
 
 def base_failed() -> Column:
@@ -194,6 +200,7 @@ def judged(counted: DataFrame, model: RuleModel, rules: tuple[Rule, ...] = RULES
     """counted rows with votes, quality (posterior), base_failed and kept."""
     kept = [F.col(f"`{c}`") for c in counted.columns if c not in ("votes", "quality", "base_failed", "kept")]
     code = sum((r.vote().cast("long") + 1) * 3 ** (len(rules) - 1 - k) for k, r in enumerate(rules))
-    out = counted.select(*kept, votes_of(rules).alias("votes"), base_failed().alias("base_failed"), code.alias("pattern"))
-    out = out.join(F.broadcast(model.table(counted.sparkSession)), "pattern").drop("pattern")
+    out = counted.select(*kept, votes_of(rules).alias("votes"), base_failed().alias("base_failed"), code.alias("_pattern"))
+    known = model.table(counted.sparkSession).withColumnsRenamed({"pattern": "_pattern"})
+    out = out.join(F.broadcast(known), "_pattern").drop("_pattern")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
