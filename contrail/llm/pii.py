@@ -2,17 +2,22 @@
 
 Detected entities are replaced by keyed surrogates of the same kind: digits for digits in the mention's own format (card
 numbers stay valid if they were), addresses for addresses, mail names of the same shape, secrets of the same character
-classes, person names of the same gender and script. An entity is its canonical form (lower case, digits only, ...), so
-that all mentions of it, in whatever format and document, get one surrogate: coreference holds. Distinct entities keep
+classes, person names of the same gender and script. An entity is its canonical form (lower case, digits only, a name
+without its title, ...), so that all mentions of it, in whatever format and document, get one surrogate: coreference holds.
+Within a document, the full name or a part of it stands for a person who is named in full there, with or without a title.
+A person's gender is the one that a title tells anywhere in the corpus, else the given name's. Distinct entities keep
 distinct surrogates: Spark collects the corpus's entities as a table, draws a surrogate for each, and draws again, with the
 next counter, for those whose surrogate is another entity's surrogate or a real entity of the corpus, until none is.
 
-Null texts stay null, empty ones empty, texts without an entity are returned as they are. Repeated rows get equal results.
+Persons are detected after a title or by a listed given name; names that have neither are not.
+Very long texts are searched whole. Ties: of two persons in a document who share a part of their names, the part alone
+stands for the first. Null texts stay null, empty ones empty, texts without an entity are returned as they are. Repeated rows get equal results.
 An empty table gives an empty result. Extra columns pass through; a column that has the name of a result is replaced.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -50,37 +55,91 @@ SYLLABLES = {
 }
 _TITLE = "|".join(sorted((t for x in TITLES.values() for t in x), key=len, reverse=True))
 _SECRET = r"token|secret|passwd|password|api[_-]?key|access[_-]?key|auth"
+_GENDER = {x.casefold(): gender for (_, gender), names in GIVEN.items() for x in names}
+_GIVEN = "|".join(sorted((x for names in GIVEN.values() for x in names), key=len, reverse=True))
+_CAPITAL = r"[^\W\d_a-zа-яα-ω][^\W\d_]+"
+#: Beginnings of well-known kinds of keys.
+_KEYS = r"AKIA[0-9A-Z]{16}|gh[pousr]_\w{36,}|xox[abprs]-[\w-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]*|-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
 ENTITY = re.compile(
-    rf"""(?P<secret>(?i:\b(?:{_SECRET}))["']?\s*[:=]\s*["']?(?P<value>[\w\-./+]{{8,}}))
+    rf"""(?P<secret>(?i:(?<![A-Za-z0-9])(?:{_SECRET}))["']?\s*[:=]\s*(?:"(?P<quoted>[^"\n]{{6,}})"|'(?P<single>[^'\n]{{6,}})'|["']?(?P<value>[\w\-./+]{{8,}}[^\s"',;<>)]*)))
+    |(?P<bare>(?<![A-Za-z0-9])(?:{_KEYS}))
     |(?P<email>(?<![\w.+-])[\w.+%-]{{1,64}}@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{{2,24}})
     |(?P<iban>\b[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?\b)
     |(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))
+    |(?P<ipv6>(?<![\w:])(?:(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}|(?:[0-9A-Fa-f]{{1,4}}:){{1,6}}(?::[0-9A-Fa-f]{{1,4}}){{1,6}})(?![\w:]))
     |(?P<phone>(?<![\w+])\+\d{{1,3}}(?:[ .-]?\(\d{{1,5}}\))?(?:[ .-]?\d{{2,5}}){{2,5}}(?!\d)|(?<![\w(])\(\d{{3}}\)[ ]?\d{{3}}[ .-]\d{{4}}(?!\d)|(?<![\w.-])\d{{3}}[.-]\d{{3}}[.-]\d{{4}}(?![\w-]))
     |(?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))
     |(?P<card>(?<![\w.-])\d(?:[ -]?\d){{12,18}}(?![\w]))
-    |(?P<person>\b(?P<title>{_TITLE})\.?[ ](?P<name>[^\W\d_a-zа-яα-ω][^\W\d_]+(?:[ -][^\W\d_a-zа-яα-ω][^\W\d_]+){{0,2}}))""",
+    |(?P<person>\b(?P<title>{_TITLE})\.?[ ](?P<name>{_CAPITAL}(?:[ -]{_CAPITAL}){{0,2}})|\b(?P<untitled>(?:{_GIVEN})(?:[ -]{_CAPITAL}){{1,2}}))""",
     re.VERBOSE,
 )
-#: A text without any of these holds no entity.
-HINT = re.compile(rf"[@\d]|(?i:{_SECRET})|\b(?:{_TITLE})\b")
-KINDS = ("secret", "email", "iban", "ip", "phone", "ssn", "card", "person")
+_SIGN, _NAME = re.compile(r"[@\d]"), re.compile(r"[A-Z\u00c0-\u00de\u0370-\u03ff\u0410-\u042f][^\W\d_]+")
+_NAMES = frozenset(x for names in [*TITLES.values(), *GIVEN.values()] for x in names)
+_PLAIN = ("::", "-----BEGIN", "eyJ", "xox", *sorted(x for x in _NAMES if not _NAME.fullmatch(x)))
+_WORDS = ("token", "secret", "passw", "api", "access", "auth")
 
 
-def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical form) of the entities of a text; start to end is what gets replaced."""
-    if not HINT.search(text):
-        return
+def may_hold(text: str) -> bool:
+    """False for most texts without an entity, by searches much faster than ENTITY; never for one that holds any."""
+    if _SIGN.search(text) or any(x in text for x in _PLAIN) or not _NAMES.isdisjoint(_NAME.findall(text)):
+        return True
+    low = text.lower()
+    return any(x in low for x in _WORDS)
+
+
+KINDS = ("secret", "bare", "email", "iban", "ip", "ipv6", "phone", "ssn", "card", "person")
+_TOLD = {title: gender for gender, titles in TITLES.items() for title in titles if gender != "n"}
+
+
+def mentions(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, canonical form) of the entities of a text, in order; start to end is what gets replaced."""
+    return [x[:4] for x in found(text)]
+
+
+def found(text: str) -> list[tuple[int, int, str, str, str | None]]:
+    """mentions with the gender that a title tells."""
+    out: list[tuple[int, int, str, str, str | None]] = []
+    if not may_hold(text):
+        return out
+    persons = False
     for m in ENTITY.finditer(text):
-        kind = next(k for k in KINDS if m[k] is not None)
+        kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k] is not None)
         if kind == "secret":
-            yield *m.span("value"), kind, m["value"]
+            group = next(g for g in ("quoted", "single", "value") if m[g] is not None)
+            out.append((*m.span(group), kind, m[group], None))
+        elif kind == "bare":
+            out.append((*m.span(), "secret", m[0], None))
         elif kind == "person":
-            gender = next(g for g, titles in TITLES.items() if m["title"] in titles)
-            yield *m.span("name"), f"person {gender} {script(m['name'])}", " ".join(m["name"].casefold().split())
+            persons, group = True, "name" if m["name"] else "untitled"
+            out.append((*m.span(group), kind, " ".join(m[group].casefold().split()), _TOLD.get(m["title"])))
         elif kind in ("phone", "ssn", "card"):
-            yield *m.span(), kind, re.sub(r"\D", "", m[0])
+            out.append((*m.span(), kind, re.sub(r"\D", "", m[0]), None))
         else:
-            yield *m.span(), kind, m[0].replace(" ", "").upper() if kind == "iban" else m[0].lower()
+            out.append((*m.span(), kind, m[0].replace(" ", "").upper() if kind == "iban" else m[0].lower(), None))
+    return _coreferent(text, out) if persons else out
+
+
+def _coreferent(text: str, out: list) -> list:
+    """Parts of a name that stands in full somewhere in the text are that person, wherever they stand."""
+    whole: dict[str, str] = {}
+    for *_, kind, name, _ in out:
+        if kind == "person" and " " in name:
+            for x in (name, *(p for p in name.split() if len(p) > 2)):
+                whole.setdefault(x, name)
+    if not whole:
+        return out
+    out = [(a, b, kind, whole.get(x, x) if kind == "person" else x, told) for a, b, kind, x, told in out]
+    taken, known = [(a, b) for a, b, *_ in out], re.compile(r"(?<!\w)(?:" + "|".join(re.escape(x).replace(r"\ ", r"\s") for x in sorted(whole, key=len, reverse=True)) + r")(?!\w)", re.IGNORECASE)
+    for m in known.finditer(text):
+        place = bisect.bisect_right(taken, (m.start(), len(text)))
+        free = (place == 0 or taken[place - 1][1] <= m.start()) and (place == len(taken) or taken[place][0] >= m.end())
+        if free and m[0][0].isupper():
+            out.append((*m.span(), "person", whole[" ".join(m[0].casefold().split())], None))
+    return sorted(out)
+
+
+def gender_of(name: str) -> str:
+    return next((_GENDER[x] for x in re.split(r"[ -]", name) if x in _GENDER), "n")
 
 
 def script(text: str) -> str:
@@ -123,7 +182,7 @@ def luhn(digits: str) -> int:
     return sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(digits))) % 10
 
 
-def surrogate(kind: str, canonical: str, attempt: int = 0, key: bytes = KEY) -> str:
+def surrogate(kind: str, canonical: str, attempt: int = 0, key: bytes = KEY, gender: str | None = None) -> str:
     """The attempt-th surrogate of an entity, in canonical form. Later attempts draw from ever more names."""
     draw = Stream(key, kind, canonical, attempt)
     if kind == "email":
@@ -134,8 +193,10 @@ def surrogate(kind: str, canonical: str, attempt: int = 0, key: bytes = KEY) ->
         return "".join(a + b for a, b in zip(parts, [*marks, ""], strict=True)) + f"@{site.word('latin', 3)}{site.below(1000)}.example"
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
-    if kind.startswith("person"):
-        _, gender, letters = kind.split(" ")
+    if kind == "ipv6":
+        return "".join("0123456789abcdef"[draw.below(16)] if c != ":" else c for c in canonical)
+    if kind == "person":
+        gender, letters = gender or gender_of(canonical), script(canonical)
         count = len(re.split(r"[ -]", canonical))
         given = [GIVEN[letters, gender][draw.below(len(GIVEN[letters, gender]))] for _ in range(count - 1)]
         return " ".join([*given, draw.word(letters, 3 + min(attempt, 6)).capitalize()]).casefold()
@@ -158,13 +219,16 @@ def _mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
-def render(mention: str, kind: str, canonical: str) -> str:
-    """A canonical surrogate in the format of the mention that it replaces."""
+def render(mention: str, kind: str, canonical: str, of: str = "") -> str:
+    """A canonical surrogate in the format of the mention that it replaces; of: the entity's own canonical form."""
     if kind in ("phone", "ssn", "card", "iban"):
         left = iter(canonical)
         return "".join(next(left) if c.isalnum() else c for c in mention)
-    if kind.startswith("person"):
-        names = canonical.split(" ")
+    if kind == "person":
+        names, mine, own = canonical.split(" "), re.split(r"[ -]", mention.casefold()), re.split(r"[ -]", of)
+        if len(mine) < len(own):
+            at = next((k for k in range(len(own)) if own[k : k + len(mine)] == mine), 0)
+            names = names[at : at + len(mine)]
         marks = [*re.findall(r"[ -]", mention), ""]
         return "".join((x.upper() if mention.isupper() else x.capitalize()) + m for x, m in zip(names, marks, strict=False))
     return canonical.upper() if mention.isupper() and kind == "email" else canonical
@@ -175,44 +239,48 @@ def rewrite(text: str, redrawn: dict[tuple[str, str], str], key: bytes = KEY) ->
     out, at, kinds = [], 0, []
     for start, end, kind, canonical in mentions(text):
         new = redrawn.get((kind, canonical)) or surrogate(kind, canonical, 0, key)
-        out += [text[at:start], render(text[start:end], kind, new)]
+        out += [text[at:start], render(text[start:end], kind, new, canonical)]
         at = end
-        kinds.append(kind.split(" ")[0])
+        kinds.append(kind)
     return ("".join([*out, text[at:]]), kinds) if kinds else (text, kinds)
 
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches):
-        found = sorted({(k, c) for text in batch.column("text").to_pylist() if text for _, _, k, c in mentions(text)})
-        if found:
-            yield pa.RecordBatch.from_pydict({"kind": [x[0] for x in found], "entity": [x[1] for x in found]})
+        rows = sorted({(k, c, g or "") for text in batch.column("text").to_pylist() if text for *_, k, c, g in found(text)})
+        if rows:
+            yield pa.RecordBatch.from_pydict({"kind": [x[0] for x in rows], "entity": [x[1] for x in rows], "told": pa.array([x[2] or None for x in rows], pa.string())})
 
 
 def entity_table(docs: DataFrame, key: bytes = KEY, text: str = "text") -> DataFrame:
-    """(kind, entity, attempt, surrogate): surrogates that are distinct within a kind and no real entity of the kind."""
-    found = docs.select(F.col(text).alias("text")).mapInArrow(_entities, "kind string, entity string").distinct()
-    known = materialise(found, "pii-entities")
+    """(kind, entity, told, attempt, surrogate): surrogates that are distinct within a kind and no real entity of the kind.
+
+    told is a person's gender where a title tells it (the smaller letter where titles differ).
+    """
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(_entities, "kind string, entity string, told string")
+    known = materialise(rows.groupBy("kind", "entity").agg(F.min("told").alias("told")), "pii-entities")
 
-    def draw(kinds: pa.Array, entities: pa.Array, attempts: pa.Array) -> pa.Array:
-        return pa.array([surrogate(k, e, a, key) for k, e, a in zip(kinds.to_pylist(), entities.to_pylist(), attempts.to_pylist(), strict=True)], pa.string())
+    def draw(kinds: pa.Array, entities: pa.Array, attempts: pa.Array, told: pa.Array) -> pa.Array:
+        return pa.array([surrogate(k, e, a, key, g) for k, e, a, g in zip(kinds.to_pylist(), entities.to_pylist(), attempts.to_pylist(), told.to_pylist(), strict=True)], pa.string())
 
-    draw.__annotations__ = {"kinds": pa.Array, "entities": pa.Array, "attempts": pa.Array, "return": pa.Array}
+    draw.__annotations__ = {"kinds": pa.Array, "entities": pa.Array, "attempts": pa.Array, "told": pa.Array, "return": pa.Array}
     draw = F.arrow_udf(draw, "string")
-    drawn = known.withColumn("attempt", F.lit(0))
-    real = known.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
+    drawn = known.withColumn("attempt", F.lit(0)).withColumn("surrogate", draw("kind", "entity", "attempt", "told"))
+    real = known.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real")).hint("merge")
     while True:
-        drawn = materialise(drawn.select("kind", "entity", "attempt", draw("kind", "entity", "attempt").alias("surrogate")), "pii-drawn")
+        drawn = materialise(drawn.select("kind", "entity", "told", "attempt", "surrogate"), "pii-drawn")
         place = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("attempt", "entity"))
         tested = drawn.withColumn("_place", place).join(real, ["kind", "surrogate"], "left")
-        tested = materialise(tested.select("kind", "entity", "attempt", "surrogate", ((F.col("_place") > 1) | F.col("real").isNotNull()).alias("clash")), "pii-tested")
+        tested = materialise(tested.select("kind", "entity", "told", "attempt", "surrogate", ((F.col("_place") > 1) | F.col("real").isNotNull()).alias("clash")), "pii-tested")
         if tested.filter("clash").isEmpty():
             return tested.drop("clash")
-        drawn = tested.select("kind", "entity", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"))
+        again = tested.filter("clash").withColumn("attempt", F.col("attempt") + 1)
+        drawn = tested.filter("not clash").drop("clash").unionByName(again.select("kind", "entity", "told", "attempt", draw("kind", "entity", "attempt", "told").alias("surrogate")))
 
 
 def replace(docs: DataFrame, key: bytes = KEY, text: str = "text", plain_table: int = PLAIN_TABLE) -> DataFrame:
     """docs with surrogates in the text column, and pii_kinds, the kinds of the entities that were replaced."""
-    redrawn = entity_table(docs, key, text).filter("attempt > 0").select("kind", "entity", "surrogate")
+    redrawn = entity_table(docs, key, text).filter("attempt > 0 or told is not null").select("kind", "entity", "surrogate")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "pii_kinds")]
     some = redrawn.limit(plain_table + 1).collect()
     returns = "struct<text:string,kinds:array<string>>"
