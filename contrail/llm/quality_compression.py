@@ -1,9 +1,11 @@
 """Quality classifier by compression (operator 1).
 
-Two Zstandard dictionaries are built, from good and from bad labelled texts. A text is compressed with either; the
-difference of the two sizes over the larger one says which kind it resembles. A logistic fit on labelled texts that built
-no dictionary turns the difference, with the compressed share and the length of the text, into a probability of "good".
+Two Zstandard dictionaries are built, from good and from bad labelled texts. A text is cut into pieces of PIECE bytes, so
+that no piece learns from the one before it, and every piece is compressed with either dictionary; the difference of the
+two sums of sizes over the larger one says which kind the whole text resembles. A logistic fit of this difference alone, on
+labelled texts that built no dictionary, turns it into a probability of "good".
 
+Very long texts are compressed whole, piece by piece. There are no ties: every text has its own score.
 Null and empty texts compress to the same size with either dictionary and get the calibrated score of a difference of 0.
 Without labels of both kinds there is no dictionary: every score is then the smoothed share of good labels. Repeated rows
 get equal scores. Extra columns pass through; a column that has the name of a result is replaced.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from ._labels import Logistic, class_weights, training_sample
 from ._text import text_udf
 
-PER_CLASS, MAX_TEXT_BYTES, DICTIONARY_BYTES, LEVEL = 2000, 65_536, 16_384, 3
+PER_CLASS, MAX_TEXT_BYTES, DICTIONARY_BYTES, LEVEL, PIECE, TRAINING_PIECE = 2000, 65_536, 262_144, 3, 256, 2048
 _COMPRESSORS: dict[bytes, tuple] = {}
 
 
@@ -34,15 +36,14 @@ class CompressionModel:
     calibration: Logistic
 
     def columns(self, texts: list[bytes]) -> np.ndarray:
-        """Normalised size difference (bad - good), log of the compressed share, log of the length."""
+        """Normalised size difference (bad - good)."""
         key = self.good + self.bad
         if key not in _COMPRESSORS:
             _COMPRESSORS.clear()
             _COMPRESSORS[key] = tuple(_compressor(x) for x in (self.good, self.bad))
         good, bad = _COMPRESSORS[key]
-        sizes = np.array([(len(good.compress(x)), len(bad.compress(x)), len(x)) for x in texts], float).reshape(-1, 3)
-        most, least = sizes[:, :2].max(axis=1), sizes[:, :2].min(axis=1)
-        return np.column_stack([(sizes[:, 1] - sizes[:, 0]) / most, np.log(least / (sizes[:, 2] + 1)), np.log(sizes[:, 2] + 1)])
+        sizes = np.array([[sum(len(c.compress(x)) for x in pieces(text, PIECE)) for c in (good, bad)] for text in texts], float).reshape(-1, 2)
+        return (sizes[:, 1] - sizes[:, 0]) / sizes.max(axis=1)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not self.good:
@@ -55,16 +56,20 @@ class Constant:
         self.prior = prior
 
 
+def pieces(text: bytes, size: int) -> list[bytes]:
+    return [text[k : k + size] for k in range(0, max(len(text), 1), size)]
+
+
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     data = zstandard.ZstdCompressionDict(dictionary)
     data.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=data)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
 def dictionary(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     """A trained dictionary, or the texts themselves where there are too few to train on."""
     try:
-        return zstandard.train_dictionary(size, texts).as_bytes()
+        return zstandard.train_dictionary(size, [x for text in texts for x in pieces(text, TRAINING_PIECE)]).as_bytes()
     except zstandard.ZstdError:
         return b"".join(texts)[:size].ljust(8, b" ")
 
