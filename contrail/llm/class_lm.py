@@ -32,7 +32,7 @@ from ._store import materialise
 from ._text import Words, distinct, steps
 
 EXCHANGE_WORDS, CLASSES, BANDS, CHUNK_BYTES, BUCKET_WORDS = 512, 32, 48, 6 << 20, 1_000_000
-MIN_COUNT, LEAST_RISE = 3, 0.005
+MIN_COUNT, LEAST_RISE, FEW = 3, 0.005, 16
 END = np.uint64(0x656E642D6F662D74)
 CHUNK = "chunk bigint, ids array<bigint>, train array<boolean>, lengths binary, codes binary, vocabulary binary, counts binary, n_words bigint"
 PAIRS = pa.schema([("part", pa.int64()), ("pairs", pa.binary())])
@@ -318,10 +318,14 @@ def gains(table: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarra
     r, l, own = right[:, k], left[:, k], own[:, None]
     rw, lw = right[each, was][:, None], left[each, was][:, None]
     stay, gain = np.zeros(len(was)), np.zeros((len(was), classes))
+    few = np.arange(1, FEW + 1)[:, None, None]
     for near, t, total in ((right, table, table.sum(axis=1)), (left, table.T, table.sum(axis=0))):
         i, j = np.nonzero(near)
-        to, c = t[k][:, j].T, near[i, j]
-        part, lost = f(to + c[:, None]) - f(to), f(t[was[i], j]) - f(t[was[i], j] - c)
+        to, c = t[k].T, near[i, j]
+        rise = f(to + few) - f(to)  # by count, class beside, class: most counts are small
+        part, many = rise[np.minimum(c, FEW).astype(np.int64) - 1, j], np.flatnonzero(c > FEW)
+        part[many] = f(to[j[many]] + c[many, None]) - f(to)[j[many]]
+        lost = f(t[was[i], j]) - f(t[was[i], j] - c)
         first = np.flatnonzero(np.diff(i, prepend=-1))
         if len(first):
             gain[i[first]] += np.add.reduceat(part, first)
@@ -352,13 +356,20 @@ def _moved(table: np.ndarray, classes: int, turn: int, slice_words: int = 8192):
         kind = was.copy()
         for a in range(0, len(seen), slice_words):
             b = min(a + slice_words, len(seen))
+            # half of the words take a turn, so that no two groups swap for ever; words without a class always do
+            turns = (was[a:b] > classes) | ((seen[a:b] >> np.uint64(turn % 32)) & np.uint64(1) == turn // 32 % 2)
+            who = np.flatnonzero(turns)
+            if not len(who):
+                continue
+            line = np.cumsum(turns) - 1
             c, d = np.searchsorted(owner, (a, b))
-            near = np.bincount((owner[c:d].astype(np.int64) - a) * 2 * n + cell[c:d], weights=times[c:d], minlength=(b - a) * 2 * n).reshape(b - a, 2 * n)
-            gain = gains(table, near[:, :n], near[:, n:], own[a:b], was[a:b], classes)
+            of = owner[c:d].astype(np.int64) - a
+            held = turns[of]
+            near = np.bincount(line[of[held]] * 2 * n + cell[c:d][held], weights=times[c:d][held], minlength=len(who) * 2 * n).reshape(len(who), 2 * n)
+            gain = gains(table, near[:, :n], near[:, n:], own[a:b][who], was[a:b][who], classes)
             best = gain.argmax(axis=1)
-            turns = (seen[a:b] >> np.uint64(turn % 32)) & np.uint64(1) == turn // 32 % 2  # half of the words, so that no two groups swap for ever
-            go = (was[a:b] > classes) | turns & (gain[np.arange(b - a), best] > 1e-9)
-            kind[a:b] = np.where(go, 1 + best, was[a:b])
+            go = (was[a:b][who] > classes) | (gain[np.arange(len(who)), best] > 1e-9)
+            kind[a + who] = np.where(go, 1 + best, was[a:b][who])
         ends = np.cumsum([len(x) // 8 for x in rows["words"]])
         answers = [kind[codes[b - len(x) // 8 : b]].astype(np.uint8).tobytes() for x, b in zip(rows["words"], ends, strict=True)]
         sums = np.bincount(kind, minlength=n).astype(np.int64).tobytes()
