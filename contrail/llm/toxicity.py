@@ -263,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     again = np.argsort(place[rows], kind="stable")
-    model = ToxicityModel(known, factor, ids[order], y[order].astype(float), place[rows][again], cols[again], weights[again].astype(np.float32), neighbours=neighbours, stands_for=weight)
+    model = ToxicityModel(known, factor, ids[order], y[order].astype(float), place[rows][again].astype(np.int32), cols[again].astype(np.int32), weights[again].astype(np.float32), neighbours=neighbours, stands_for=weight)
     place = {int(x): k for k, x in enumerate(model.ids)}
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
