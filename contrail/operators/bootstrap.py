@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _poisson() -> tuple[float, ...]:
+    """Distribution function of Poisson(1) at 0, 1, ..., until what is left is beyond 52 bits."""
+    out, p, k = [math.exp(-1)], math.exp(-1), 1
+    while p > 2.0**-53:
+        p /= k
+        out, k = [*out, out[-1] + p], k + 1
+    return tuple(x for x in out if x < 1 - 2.0**-53)
+
+
+POISSON = _poisson()
+
+
 def intervals(groups: DataFrame, key: str, metrics: dict[str, Column], by: Sequence[str] = (), resamples: int = 1000, seed: int = 0, level: float = 0.95) -> DataFrame:
     """(by.., metric, point, low, high): aggregates of the group rows, over all of them and over resamples.
 
-    A group's number of draws in a resample is Poisson with mean 1, by a hash of seed, resample and key: the distributed form
+    A group's number of draws in a resample is Poisson with mean 1, by the MD5 of seed, resample and key: the distributed form
     of drawing with replacement, which needs no numbering of the groups and no join. metrics are aggregates over the
     column w, the weight; ratios of sums stay ratios.
     """
     point = groups.withColumn("w", F.lit(1.0)).groupBy(*by).agg(*[m.alias(k) for k, m in metrics.items()])
-    u = (F.xxhash64(F.lit(seed), F.col("resample"), F.col(key)).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
-    draws, upto, p = F.lit(0.0), 0.36787944117144233, 0.36787944117144233
-    for k in range(1, 9):  # inverse distribution function of Poisson(1)
-        draws = draws + F.when(u > upto, 1.0).otherwise(0.0)
-        p /= k
-        upto += p
+    told = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("resample").cast("string"), F.col(key).cast("string")))
+    u = (F.conv(F.substring(told, 1, 13), 16, 10).cast("bigint") + 0.5) / float(1 << 52)
+    draws = F.size(F.filter(F.array(*[F.lit(x) for x in POISSON]), lambda x: u > x)).cast("double")
     drawn = groups.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", draws).filter("w > 0")
     each = drawn.groupBy(*by, "resample").agg(*[m.alias(k) for k, m in metrics.items()])
     tail = (1 - level) / 2

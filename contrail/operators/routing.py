@@ -76,7 +76,8 @@ def random_choice(seed: int, of: Callable[[], Column] | None = None) -> Callable
 
     def choose() -> Column:
         options = of() if of else F.array(*[F.lit(s) for s in REPAIR])
-        pick = F.element_at(options, (F.pmod(F.xxhash64(F.lit(seed), "decision_group_id"), F.size(options)) + 1).cast("int"))
+        told = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("decision_group_id").cast("string"))), 1, 8), 16, 10).cast("bigint")
+        pick = F.element_at(options, (told % F.size(options) + 1).cast("int"))
         return F.when(F.col("no_repair_required"), "NO_AI").otherwise(pick)
 
     return choose

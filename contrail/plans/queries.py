@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_partition, redacted, stable_id
-from ..operators import audit, bootstrap, calibration, code_facts, dataset, diff, edits, evidence, graph, match, ranking, risk, routing, selection
+from ..operators import audit, calibration, code_facts, dataset, diff, edits, evidence, graph, match, ranking, risk, routing, selection
 from ..sources import tables as sources
 from ..storage import shared_dir
 from ..streaming import feedback as streams
@@ -297,12 +297,6 @@ def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(calibration.average_precision(_labelled(spark, sf_dir)), "average_precision")
 
 
-@query()
-def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = ranking.group_metrics(ranking.ranked(_labelled(spark, sf_dir)))
-    return bootstrap.intervals(groups, "group_id", {m: bootstrap.weighted_mean(m) for m in ranking.METRICS}, resamples=1000, seed=11)
-
-
 def _strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("decision_group_id"))
     rows = orders.withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in routing.STRATEGIES]))).withColumn("i", routing.tie_rank(F.col("strategy")) - 1)
@@ -509,3 +503,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = reach.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("symbol_id"), "c_nationkey"), "symbol_id")
     s = graph.summary(hit, "c_nationkey").withColumns({"severity": F.lit("HIGH"), "score": F.lit(1.0), "incomplete": F.lit(False), "partial": F.lit(False)})
     return risk.assess(s).select("c_nationkey", "direct", "indirect", "max_distance", "risk_score", "risk_level")
+
+
+from . import policy_queries  # noqa: E402, F401  registers its queries

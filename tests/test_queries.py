@@ -1,6 +1,7 @@
 """Registered core queries against DuckDB on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from contrail.plans import queries as plans
@@ -16,11 +17,15 @@ def con(sf):
     return c
 
 
+def plain(x):
+    if not isinstance(x, (list, tuple, dict)) and not hasattr(x, "__len__") and pd.isna(x):
+        return None
+    number = isinstance(x, (int, float)) and not isinstance(x, bool) or hasattr(x, "dtype") and x.dtype.kind in "iuf" and x.ndim == 0
+    return round(float(x), 6) if number else str(x)
+
+
 def rows(df):
-    out = []
-    for r in df[sorted(df.columns)].astype(object).itertuples(index=False):
-        out.append(tuple(None if x is None or x != x or str(x) == "<NA>" else round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) or hasattr(x, "dtype") and x.dtype.kind in "iuf" else str(x) for x in r))
-    return sorted(out, key=repr)
+    return sorted((tuple(map(plain, r)) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)), key=repr)
 
 
 @pytest.mark.parametrize("name", sorted(plans.SQL))
