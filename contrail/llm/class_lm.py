@@ -268,8 +268,14 @@ def _kinds(row: dict, said: list, buckets: int, frequent: np.ndarray, kind: np.n
     return counts, kinds, held
 
 
-def _contexts(corpus: Corpus, frequent: np.ndarray, kind: np.ndarray, n: int):
-    """For each bucket a chunk's clustered words with their class, how often they follow themselves, and their neighbours' classes."""
+def _takes_turn(words: np.ndarray, kinds: np.ndarray, classes: int, turn: int) -> np.ndarray:
+    """Half of the words, so that no two groups swap for ever, and those without a class."""
+    return (kinds > classes) | ((words >> np.uint64(turn % 32)) & np.uint64(1) == turn // 32 % 2)
+
+
+def _contexts(corpus: Corpus, frequent: np.ndarray, kind: np.ndarray, n: int, classes: int, turn: int):
+    """For each bucket a chunk's clustered words with their class; of those whose turn it is also how often they follow
+    themselves, and their neighbours' classes."""
     buckets = corpus.buckets
 
     def run(row: dict, said: list) -> Iterator[dict]:
@@ -277,7 +283,7 @@ def _contexts(corpus: Corpus, frequent: np.ndarray, kind: np.ndarray, n: int):
         words, codes = np.frombuffer(row["vocabulary"], np.uint64), np.frombuffer(row["codes"], np.int32)
         taught = np.flatnonzero(np.repeat(np.array(row["train"], bool), np.frombuffer(row["lengths"], np.int32))[1:]) + 1
         line = np.full(len(words), -1, np.int64)
-        line[held] = np.arange(len(held))
+        line[held] = np.where(_takes_turn(words[held], kinds[held], classes, turn), np.arange(len(held)), -1)
         own = np.bincount(line[codes[taught]][(codes[taught] == codes[taught - 1]) & (line[codes[taught]] >= 0)], minlength=len(held))
         owner, cell, times = [], [], []
         for side, (of, near) in enumerate(((taught - 1, taught), (taught, taught - 1))):
@@ -356,8 +362,7 @@ def _moved(table: np.ndarray, classes: int, turn: int, slice_words: int = 8192):
         kind = was.copy()
         for a in range(0, len(seen), slice_words):
             b = min(a + slice_words, len(seen))
-            # half of the words take a turn, so that no two groups swap for ever; words without a class always do
-            turns = (was[a:b] > classes) | ((seen[a:b] >> np.uint64(turn % 32)) & np.uint64(1) == turn // 32 % 2)
+            turns = _takes_turn(seen[a:b], was[a:b], classes, turn)
             who = np.flatnonzero(turns)
             if not len(who):
                 continue
@@ -403,7 +408,7 @@ def cluster(corpus: Corpus, kind: np.ndarray, classes: int) -> tuple[DataFrame |
     if corpus.types == 0:
         return kinds, table, types
     for turn in itertools.count():
-        near = _told(corpus, kinds, _contexts(corpus, corpus.frequent, kind, n), CONTEXTS, "bucket bigint, chunk bigint, words binary, kinds binary, own binary, size binary, cell binary, times binary")
+        near = _told(corpus, kinds, _contexts(corpus, corpus.frequent, kind, n, classes, turn), CONTEXTS, "bucket bigint, chunk bigint, words binary, kinds binary, own binary, size binary, cell binary, times binary")
         new = materialise(near.groupBy("bucket").applyInArrow(_moved(table, classes, turn), "chunk bigint, bucket bigint, what int, answer binary"), "lm-classes")
         sums = sum((np.frombuffer(r["answer"], np.int64) for r in new.filter("chunk < 0").select("answer").collect()), np.zeros(n, np.int64))
         new = new.filter("chunk >= 0")
