@@ -24,6 +24,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,7 +97,8 @@ def _add_up(top: int):
         bands = _band(known)
         summary = np.concatenate([[len(known), known.sum()], np.bincount(bands, minlength=BANDS), np.bincount(bands, weights=known, minlength=BANDS).astype(np.int64), total[order]]).astype(np.int64)
         ends = np.cumsum(size)
-        answers = [total[codes[b - n : b]].tobytes() for n, b in zip(size, ends, strict=True)]
+        pack = zstandard.ZstdCompressor(level=1)  # most counts are small
+        answers = [pack.compress(total[codes[b - n : b]].tobytes()) for n, b in zip(size, ends, strict=True)]
         bucket = rows["bucket"][0] if rows["bucket"] else 0
         return pa.table({"chunk": pa.array([*rows["chunk"], -1], pa.int64()), "bucket": pa.array([bucket] * (len(size) + 1), pa.int64()), "answer": pa.array([*answers, summary.tobytes()], pa.binary()), "frequent": pa.array([*[None] * len(size), seen[order].tobytes()], pa.binary())})
 
@@ -112,7 +114,8 @@ def _counts(row: dict, said: list, buckets: int) -> np.ndarray:
     """The corpus's counts of a chunk's vocabulary, from the buckets' answers (bucket, what, answer)."""
     words = np.frombuffer(row["vocabulary"], np.uint64)
     counts = np.empty(len(words), np.int64)
-    counts[np.argsort(_bucket(words, buckets), kind="stable")] = np.frombuffer(b"".join(x for _, what, x in said if what == 0), np.int64)
+    unpack = zstandard.ZstdDecompressor()
+    counts[np.argsort(_bucket(words, buckets), kind="stable")] = np.frombuffer(b"".join(unpack.decompress(x) for _, what, x in said if what == 0), np.int64)
     return counts
 
 
