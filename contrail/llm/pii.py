@@ -75,7 +75,7 @@ ENTITY = re.compile(
 )
 _SIGN, _NAME = re.compile(r"[@\d]"), re.compile(r"[A-Z\u00c0-\u00de\u0370-\u03ff\u0410-\u042f][^\W\d_]+")
 _NAMES = frozenset(x for names in [*TITLES.values(), *GIVEN.values()] for x in names)
-_PLAIN = ("::", "-----BEGIN", "eyJ", "xox", *sorted(x for x in _NAMES if not _NAME.fullmatch(x)))
+_PLAIN = ("::", "-----BEGIN", "eyJ", "xox", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", *sorted(x for x in _NAMES if not _NAME.fullmatch(x)))
 _WORDS = ("token", "secret", "passw", "api", "access", "auth")
 
 
