@@ -69,12 +69,6 @@ def is_variable(segment: Column) -> Column:
     return segment.rlike(r"^\{[^{}]*\}$")
 
 
-def template_matches(template: Column, path: Column) -> Column:
-    """Equal segment by segment, where a {variable} on either side matches anything."""
-    a, b = segments(template), segments(path)
-    return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: is_variable(x) | is_variable(y) | (x == y)), lambda ok: ok)
-
-
 def redacted(text: Column, lines: int = 50, width: int = 200) -> Column:
     """The last lines of a log, each cut to width; a line that assigns something secret-like is replaced."""
     secret = r"(?i)(secret|token|password|passwd|api[_-]?key|credential|authorization)"

@@ -112,44 +112,62 @@ def components(docs: DataFrame) -> DataFrame:
     return rows.select(*KEYS, F.concat(F.lit("#/components/"), "section", F.lit("/"), name).alias("pointer"), "target")
 
 
-def resolve(nodes: DataFrame, known: DataFrame, limit: int = 16) -> DataFrame:
-    """Follow references in column schema; what stays (cycles, external or dangling targets) is in ref, with trail."""
+def resolve(nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """Follow references in column schema; what stays (cycles, external or dangling targets) is in ref, with trail.
+
+    Chains are followed to their end: a target met twice ends one, so the loop does too.
+    """
     out = nodes.withColumn("trail", F.array().cast("array<string>")).withColumn("ref", _get("schema", "$['$ref']", "string"))
-    for _ in range(limit):
-        hop = out.join(known.withColumnRenamed("pointer", "ref"), [*KEYS, "ref"], "left").filter("true")
+    while True:
+        hop = out.join(known.withColumnRenamed("pointer", "ref"), [*KEYS, "ref"], "left")
         go = F.col("target").isNotNull() & ~F.array_contains("trail", F.col("ref"))
-        hop = hop.withColumn("schema", F.when(go, F.col("target")).otherwise(F.col("schema"))).withColumn("trail", F.when(go, F.array_append("trail", F.col("ref"))).otherwise(F.col("trail")))
-        out = hop.withColumn("moved", go).withColumn("ref", F.when(go, _get("schema", "$['$ref']", "string")).otherwise(F.col("ref"))).drop("target")
-        out = written(out, "references")
+        hop = hop.withColumn("moved", go).withColumn("schema", F.when(go, F.col("target")).otherwise(F.col("schema")))
+        hop = hop.withColumn("trail", F.when(F.col("moved"), F.array_append("trail", F.col("ref"))).otherwise(F.col("trail")))
+        hop = hop.withColumn("ref", F.when(F.col("moved"), _get("schema", "$['$ref']", "string")).otherwise(F.col("ref")))
+        out = written(hop.drop("target"), "references")
         if out.filter("moved and ref is not null").isEmpty():
-            break
+            return out.drop("moved")
         out = out.drop("moved")
-    return out.drop("moved") if "moved" in out.columns else out
 
 
-def schema_nodes(docs: DataFrame, depth: int = 32) -> DataFrame:
-    """Flat schema nodes with a path, below properties and items; a reference met again on its own path ends there."""
+def _below(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sub-schemas one level down: properties, items, additionalProperties and the parts of compositions.
+
+    compared is true below properties and items alone, as version diffs descend.
+    """
+    own = [*keys, "node_path", "above", "compared"]
+    child = lambda name: F.concat_ws(".", F.when(F.col("node_path") != "", F.col("node_path")), name)
+
+    def as_nodes(df: DataFrame, name: Column, required: Column, compared: Column) -> DataFrame:
+        return df.select(*keys, child(name).alias("child"), F.col("node_path").alias("parent_path"), required.alias("required"), "above", compared.alias("compared"), "schema")
+
+    names = F.coalesce(_get("schema", "$.required", "array<string>"), F.array().cast("array<string>"))
+    props = _entries(rows.select(*own, names.alias("names"), _get("schema", "$.properties", "variant").alias("p")), "p", "name", "schema")
+    out = as_nodes(props, F.col("name"), F.array_contains("names", F.col("name")), F.col("compared"))
+    items = rows.select(*own, _get("schema", "$.items", "variant").alias("schema")).filter("schema is not null")
+    out = out.unionByName(as_nodes(items, F.lit("items[]"), F.lit(True), F.col("compared")))
+    more = rows.select(*own, _get("schema", "$.additionalProperties", "variant").alias("schema")).filter(F.schema_of_variant("schema").startswith("OBJECT"))
+    out = out.unionByName(as_nodes(more, F.lit("additionalProperties{}"), F.lit(True), F.lit(False)))
+    for word in ("allOf", "oneOf", "anyOf"):
+        parts = _elements(rows.select(*own, _get("schema", f"$.{word}", "variant").alias("p")), "p", "at", "schema")
+        out = out.unionByName(as_nodes(parts, F.concat(F.lit(f"{word}["), F.col("at").cast("string"), F.lit("]")), F.lit(True), F.lit(False)))
+    return out.withColumnRenamed("child", "node_path")
+
+
+def schema_nodes(docs: DataFrame) -> DataFrame:
+    """Flat schema nodes with a path, to any depth; a reference met again on its own path ends there."""
     known = written(components(docs), "components")
-    front = resolve(media(docs).withColumn("node_path", F.lit("")).withColumn("parent_path", F.lit(None).cast("string")).withColumn("required", F.lit(True)).withColumn("above", F.array().cast("array<string>")), known)
+    roots = media(docs).withColumns({"node_path": F.lit(""), "parent_path": F.lit(None).cast("string"), "required": F.lit(True), "above": F.array().cast("array<string>"), "compared": F.lit(True)})
+    front = resolve(roots, known)
     keys = [*KEYS, "path", "method", "context", "code", "media_type"]
-    levels = []
-    for _ in range(depth):
-        cycle = F.size(F.array_intersect("above", "trail")) > 0
-        front = written(front.withColumn("cycle", cycle), "nodes")
-        levels.append(_normal(front, keys))
-        open_ = front.filter("not cycle").withColumn("above", F.array_union("above", "trail"))
-        names = F.coalesce(_get("schema", "$.required", "array<string>"), F.array().cast("array<string>"))
-        props = _entries(open_.select(*keys, "node_path", "above", names.alias("names"), _get("schema", "$.properties", "variant").alias("p")), "p", "name", "schema")
-        props = props.select(*keys, F.concat_ws(".", F.when(F.col("node_path") != "", F.col("node_path")), "name").alias("child"), F.col("node_path").alias("parent_path"), F.array_contains("names", F.col("name")).alias("required"), "above", "schema")
-        items = open_.select(*keys, F.concat_ws(".", F.when(F.col("node_path") != "", F.col("node_path")), F.lit("items[]")).alias("child"), F.col("node_path").alias("parent_path"), F.lit(True).alias("required"), "above", _get("schema", "$.items", "variant").alias("schema")).filter("schema is not null")
-        below = props.unionByName(items).withColumnRenamed("child", "node_path")
-        front = resolve(below, known)
+    out = None
+    while True:
+        front = written(front.withColumn("cycle", F.size(F.array_intersect("above", "trail")) > 0), "nodes")
+        level = _normal(front, keys)
+        out = level if out is None else out.unionByName(level)
+        front = resolve(_below(front.filter("not cycle").withColumn("above", F.array_union("above", "trail")), keys), known)
         if front.isEmpty():
-            break
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out
+            return out
 
 
 def _normal(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -162,7 +180,7 @@ def _normal(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     status = F.when(F.col("ref").isNotNull(), "UNSUPPORTED").when(unknown | composed | F.col("cycle") | (F.size(plain) > 1), "PARTIALLY_SUPPORTED").otherwise("SUPPORTED")
     enum = F.transform(_get("schema", "$.enum", "array<variant>"), lambda v: F.to_json(v))
     null = F.coalesce(_get("schema", "$.nullable", "boolean"), F.lit(False)) | F.array_contains(types, "null")
-    return rows.select(*keys, "node_path", "parent_path", plain.alias("types"), null.alias("nullable"), F.array_sort(F.coalesce(enum, F.array().cast("array<string>"))).alias("enum_json"), "required", F.coalesce(status, F.lit("SUPPORTED")).alias("support_status"), "ref")
+    return rows.select(*keys, "node_path", "parent_path", plain.alias("types"), null.alias("nullable"), F.array_sort(F.coalesce(enum, F.array().cast("array<string>"))).alias("enum_json"), "required", F.coalesce(status, F.lit("SUPPORTED")).alias("support_status"), "ref", "compared")
 
 
 def normal_types(types: Column) -> Column:

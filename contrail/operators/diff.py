@@ -98,16 +98,20 @@ def changed_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def compare(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
-    """All changes between two sides, each a dict of operations, parameters and schema_nodes."""
+    """All changes between two sides, each a dict of operations, parameters and schema_nodes.
+
+    Nodes below compositions and additionalProperties (compared is false) are not told apart.
+    """
     shared = old["operations"].select(*_keys(old["operations"], *OP)).join(new["operations"], _keys(old["operations"], *OP), "left_semi").distinct()
     keys = _keys(old["operations"], *OP)
     both = lambda side, name: side[name].join(shared, keys, "left_semi")
+    nodes = lambda side: both(side, "schema_nodes").filter("compared") if "compared" in side["schema_nodes"].columns else both(side, "schema_nodes")
     parts = [
         removed_operations(old["operations"], new["operations"]),
         added_required_parameters(both(old, "parameters"), both(new, "parameters")),
         changed_security(old["operations"], new["operations"]),
-        removed_properties(both(old, "schema_nodes"), both(new, "schema_nodes")),
-        changed_nodes(both(old, "schema_nodes"), both(new, "schema_nodes")),
+        removed_properties(nodes(old), nodes(new)),
+        changed_nodes(nodes(old), nodes(new)),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_variable, segments, stable_id, template_matches, worst
+from ..functions.columns import is_variable, segments, stable_id, worst
 
 
 @dataclass(frozen=True)
@@ -34,19 +34,28 @@ POLICY = MatchPolicy()
 OPERATION_LEVEL = ("endpoint_removed", "http_method_removed", "security_requirement_changed")
 
 
+def _mask(parts: Column) -> Column:
+    """1 for each variable segment, 0 for the others."""
+    return F.array_join(F.transform(parts, lambda x: F.when(is_variable(x), "1").otherwise("0")), "")
+
+
+def _blanked(parts: Column, *masks: str) -> Column:
+    """The path without the segments that are variable in any of the masks."""
+    open_ = lambda i: F.greatest(*[F.substr(F.col(m), i + 1, F.lit(1)) for m in masks]) == "1"
+    return F.array_join(F.transform(parts, lambda x, i: F.when(open_(i), "*").otherwise(x)), "/")
+
+
 def candidate_pairs(changes: DataFrame, calls: DataFrame) -> DataFrame:
     """M1, M2: changes and calls of equal method whose paths match segment by segment.
 
-    The join key is method, number of segments and the first segment. Where a first segment is a variable it matches every
-    first segment, so a change joins once by its literal and a call also by '*'; pairs are then equi-joined, never crossed.
+    A mask says which segments are variable. Each side joins the few masks of the other one of as many segments, blanks
+    the segments that either leaves open, and then the whole paths are equal: the join makes matches only.
     """
-    first = lambda path: F.when(F.size(segments(path)) == 0, "").otherwise(F.element_at(segments(path), 1))
-    open_ = lambda path: F.when(is_variable(first(path)), "*").otherwise(first(path))
-    a = changes.select(F.lower("method").alias("_m"), F.size(segments(F.col("path"))).alias("_n"), open_(F.col("path")).alias("_f"), F.struct(*changes.columns).alias("change"))
-    b = calls.filter(F.col("url_state").isin("EXACT", "PARTIAL")).select(F.lower("method").alias("_m"), F.size(segments(F.col("path"))).alias("_n"), open_(F.col("path")).alias("_g"), F.struct(*calls.columns).alias("call"))
-    exact = a.filter("_f <> '*'").join(b.filter("_g <> '*'"), [F.col("_f") == F.col("_g"), a["_m"] == b["_m"], a["_n"] == b["_n"]]).select("change", "call")
-    loose = a.filter("_f = '*'").join(b, ["_m", "_n"]).select("change", "call").unionByName(a.filter("_f <> '*'").join(b.filter("_g = '*'"), ["_m", "_n"]).select("change", "call"))
-    return exact.unionByName(loose).filter(template_matches(F.col("change.path"), F.col("call.path")))
+    masked = lambda df, as_: df.withColumn("_p", segments(F.col("path"))).select(F.lower("method").alias("_m"), F.size("_p").alias("_n"), _mask(F.col("_p")).alias(as_), "_p", F.struct(*df.columns).alias("_row"))
+    a, b = masked(changes, "_a"), masked(calls.filter(F.col("url_state").isin("EXACT", "PARTIAL")), "_b")
+    keyed = lambda df, other, mask: df.join(other.select("_n", mask).distinct(), "_n").select("_m", "_a", "_b", _blanked(F.col("_p"), "_a", "_b").alias("_key"), "_row")
+    left = keyed(a, b, "_b").withColumnRenamed("_row", "change")
+    return left.join(keyed(b, a, "_a").withColumnRenamed("_row", "call"), ["_m", "_a", "_b", "_key"]).select("change", "call")
 
 
 def path_weight(policy: MatchPolicy = POLICY) -> tuple[Column, Column]:

@@ -505,4 +505,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.assess(s).select("c_nationkey", "direct", "indirect", "max_distance", "risk_score", "risk_level")
 
 
-from . import policy_queries  # noqa: E402, F401  registers its queries
+from . import contract_queries, evidence_queries, policy_queries  # noqa: E402, F401  they register their queries
