@@ -41,7 +41,7 @@ def _half(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_T}, s AS (SELECT *, turn % 2 = 0 AS sel FROM t) SELECT context_id, count(*) FILTER (sel AND required) AS required_items, count(*) FILTER (sel AND NOT required) AS optional_items, count(DISTINCT file) FILTER (sel) AS files,
-  count(DISTINCT symbol) FILTER (sel) AS symbols, max(graph_distance) FILTER (sel) AS max_distance, coalesce(sum(length(content)) FILTER (sel), 0) AS used, 8000 AS budget, count(*) FILTER (NOT sel) AS omitted FROM s GROUP BY context_id""")
+  count(DISTINCT symbol) FILTER (sel) AS symbols, max(graph_distance) FILTER (sel) AS max_distance, CAST(coalesce(sum(length(content)) FILTER (sel), 0) AS BIGINT) AS used, 8000 AS budget, count(*) FILTER (NOT sel) AS omitted FROM s GROUP BY context_id""")
 def selection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X7."""
     return selection.selection_summary(_half(spark, sf_dir))
