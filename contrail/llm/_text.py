@@ -85,13 +85,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts: bytes data[start[k]:end[k]] for word k, words offsets[i] to offsets[i + 1] for text i."""
+    """The words of some texts: bytes data[start[k]:end[k]] for word k, words offsets[i] to offsets[i + 1] for text i.
 
-    def __init__(self, texts: pa.Array, fold: bool = False) -> None:
+    between: for each byte whether it stands between words.
+    """
+
+    def __init__(self, texts: pa.Array, fold: bool = False, between: np.ndarray = _WHITE) -> None:
         self.data, self.bounds = text_bytes(texts)
         self.fold, n = fold, len(self.data)
         white = np.ones(n + 1, bool)
-        white[:n] = _WHITE[self.data]
+        white[:n] = between[self.data]
         first = np.zeros(n + 1, bool)
         first[self.bounds] = True
         inside = ~white
