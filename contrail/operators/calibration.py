@@ -1,13 +1,12 @@
-"""Threshold, curve and calibration metrics."""
+"""Threshold, curve and calibration metrics (L11-L17), and the decision on a calibration (L19; the fit is in newton)."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def threshold_metrics(rows: DataFrame, threshold: float = 0.5, score: str = "score", label: str = "label") -> DataFrame:
     """Precision, recall and F1, 0 where undefined."""
@@ -20,14 +19,13 @@ def threshold_metrics(rows: DataFrame, threshold: float = 0.5, score: str = "sco
 def _by_score(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Positives and rows at each score, with sums over higher scores, range by range of the score.
 
-    Scores are cut into 512 ranges; sums within a range and over the ranges before it add up to the running sums, so no
-    task sees all scores.
+    Distinct scores are sorted into ranges of about equal numbers, whatever their values; sums within a range and over the
+    ranges above it add up to the running sums, so no task sees all scores.
     """
     each = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
-    low = each.agg(F.min("s").alias("_low"), F.max("s").alias("_high"))
-    each = each.join(F.broadcast(low)).withColumn("r", F.when(F.col("_high") > F.col("_low"), F.least(F.lit(511), F.floor((F.col("s") - F.col("_low")) / (F.col("_high") - F.col("_low")) * 512))).otherwise(F.lit(0)).cast("int")).drop("_low", "_high")
+    each = written(each.repartitionByRange(F.desc("s")).withColumn("r", F.spark_partition_id()), "scores")
     ranges = each.groupBy("r").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    above = Window.orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("r", F.coalesce(F.sum("pos").over(above), F.lit(0)).alias("pos_0"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_0"))
     w = Window.partitionBy("r").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     each = each.join(F.broadcast(ranges), "r")
@@ -72,13 +70,6 @@ def bad_probabilities(rows: DataFrame, prob: str = "score") -> DataFrame:
     return rows.filter(p.isNull() | F.isnan(p) | (p < 0) | (p > 1))
 
 
-def platt(validation: DataFrame, test: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Test with calibrated, from a logistic fit of label on score over validation."""
-    vector = VectorAssembler(inputCols=[score], outputCol="_x")
-    model = LogisticRegression(featuresCol="_x", labelCol=label, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_y", regParam=0.0).fit(vector.transform(validation.withColumn(label, F.col(label).cast("double"))))
-    return model.transform(vector.transform(test)).withColumn("calibrated", vector_to_array("_p")[1]).drop("_x", "_p", "_r", "_y")
-
-
 def accept_calibration(rows: DataFrame, before: str = "score", after: str = "calibrated", label: str = "label", most_ece: float = 0.10) -> DataFrame:
     """One row with both sides' figures and accepted: nothing rises and the error is at most most_ece."""
     sides = {}

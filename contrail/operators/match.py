@@ -58,6 +58,24 @@ def candidate_pairs(changes: DataFrame, calls: DataFrame) -> DataFrame:
     return left.join(keyed(b, a, "_a").withColumnRenamed("_row", "call"), ["_m", "_a", "_b", "_key"]).select("change", "call")
 
 
+def _open_pairs(changes: DataFrame, calls: DataFrame) -> DataFrame:
+    """candidate_pairs of changes with a stream of calls, without state: every call is joined with static tables alone.
+
+    A call is blanked by the masks of the changes of as many segments and by its own; a change by its own mask and by
+    every set of its other segments, so its rows are two to the power of its path's fixed segments.
+    """
+    parts = lambda df: df.withColumn("_p", segments(F.col("path"))).withColumns({"_m": F.lower("method"), "_n": F.size("_p"), "_own": _mask(F.col("_p"))})
+    either = lambda a, b, n: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.greatest(F.substr(a, i, F.lit(1)), F.substr(b, i, F.lit(1)))), "")
+    own = F.struct(*changes.columns).alias("change")
+    left = parts(changes).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), F.col("_n")).cast("long") - 1)))
+    left = left.filter("_n > 0").withColumn("_u", either(F.lpad(F.bin("_k"), F.col("_n"), F.lit("0")), F.col("_own"), F.col("_n")))
+    left = left.select("_m", F.col("_own").alias("_a"), "_u", _blanked(F.col("_p"), "_u", "_u").alias("_key"), own).distinct()
+    masks = parts(changes).select("_n", F.col("_own").alias("_a")).distinct()
+    right = parts(calls.filter(F.col("url_state").isin("EXACT", "PARTIAL"))).filter("_n > 0").join(masks, "_n").withColumn("_u", either(F.col("_a"), F.col("_own"), F.col("_n")))
+    right = right.select("_m", "_a", "_u", _blanked(F.col("_p"), "_u", "_u").alias("_key"), F.struct(*calls.columns).alias("call"))
+    return right.join(left, ["_m", "_a", "_u", "_key"]).select("change", "call")
+
+
 def path_weight(policy: MatchPolicy = POLICY) -> tuple[Column, Column]:
     """M2: (weight, state) of the path evidence."""
     same, partial = F.col("change.path") == F.col("call.path"), (F.col("call.url_state") == "PARTIAL") | F.col("call.path").contains("{dynamic}")

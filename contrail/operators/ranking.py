@@ -84,14 +84,3 @@ def unseen(rows: DataFrame, field: str, partition: str = "split_partition", seen
 def comparison(long: DataFrame, names: Sequence[str], experiment: str = "experiment_id") -> DataFrame:
     """One row an experiment, one column a metric."""
     return long.groupBy(experiment).pivot("metric", list(names)).agg(F.first("value"))
-
-
-def rank_inversions(rows: DataFrame, before: str, after: str, group: str = "group_id", tolerance: float = 1e-12) -> DataFrame:
-    """Per group, pairs whose order flips between two scores (both differences beyond the tolerance).
-
-    Pairs are joined within a group, whose rows are one query's candidates.
-    """
-    a = rows.select(group, F.col("row_id").alias("_a"), F.col(before).alias("_b1"), F.col(after).alias("_c1"))
-    b = rows.select(group, F.col("row_id").alias("_b"), F.col(before).alias("_b2"), F.col(after).alias("_c2"))
-    flipped = ((F.col("_b1") - F.col("_b2") > tolerance) & (F.col("_c2") - F.col("_c1") > tolerance)) | ((F.col("_b2") - F.col("_b1") > tolerance) & (F.col("_c1") - F.col("_c2") > tolerance))
-    return a.join(b, group).filter("_a < _b").groupBy(group).agg(F.count_if(flipped).alias("inversions"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.columns import unsafe_path
 
@@ -59,23 +61,39 @@ def required_status(items: DataFrame, budget: int = BUDGET, files: int = MAX_FIL
     return g.select("context_id", F.when(F.col("c") > budget, "BUDGET_EXCEEDED").when(F.col("f") > files, "TOO_MANY_FILES").otherwise("OK").alias("status"))
 
 
-def fill(items: DataFrame, key: str = "context_id", order: Sequence[str | Column] = ("priority", "graph_distance", "file", "start_line", "end_line", "role", "content_hash"), size: str | Column = "size", file: str = "file", required: str | None = "required", budget: int = BUDGET, files: int = MAX_FILES) -> DataFrame:
+FILL_ORDER = ("priority", "graph_distance", "file", "start_line", "end_line", "role", "content_hash")
+
+
+def fill(
+    items: DataFrame, key: str = "context_id", order: Sequence[str | Column] = FILL_ORDER, size: str | Column = "size", file: str = "file",
+    required: str | None = "required", budget: int = BUDGET, files: int = MAX_FILES,
+) -> DataFrame:
     """Items with selected: required ones first, then in order; one that does not fit is skipped, later ones may fit.
 
-    A fold over a context's sorted items; a context is one repair's evidence, thousands of items at most.
+    A fold over rows sorted by context and order. What is held is one context's used size and its files, files at most, so
+    a context may have any number of items. Items without a size never fit; items without a file count for none.
     """
-    first = ~F.col(required) if required else F.lit(False)
-    entry = F.struct(first.alias("o"), *[(F.col(o) if isinstance(o, str) else o).alias(f"k{i}") for i, o in enumerate(order)], (F.col(size) if isinstance(size, str) else size).cast("long").alias("n"), F.col(file).alias("f"), F.struct(*items.columns).alias("row"))
-    g = items.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("x"))
-    state = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{dict(items.dtypes)[file]}>").alias("files"), F.array().cast("array<boolean>").alias("picked"))
-
-    def step(s: Column, e: Column) -> Column:
-        known = F.array_contains(s["files"], e["f"])
-        ok = (s["used"] + e["n"] <= budget) & (known | (F.size(s["files"]) < files) | e["f"].isNull())
-        return F.struct(F.when(ok, s["used"] + e["n"]).otherwise(s["used"]).alias("used"), F.when(ok & ~F.coalesce(known, F.lit(True)), F.array_append(s["files"], e["f"])).otherwise(s["files"]).alias("files"), F.array_append(s["picked"], F.coalesce(ok, F.lit(False))).alias("picked"))
-
-    out = g.select(F.explode(F.arrays_zip(F.transform("x", lambda e: e["row"]).alias("row"), F.aggregate("x", state, step, lambda s: s["picked"]).alias("picked"))).alias("z"))
-    return out.select("z.row.*", F.col("z.picked").alias("selected"))
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    sorting = {"_first": ~F.col(required) if required else F.lit(False), **{f"_o{i}": column(o) for i, o in enumerate(order)}, "_size": column(size).cast("long"), "_file": F.col(file), "_tie": F.xxhash64(*items.columns)}
+    rows = items.select(F.struct(*items.columns).alias("row"), F.col(key).alias("_key"), *[c.alias(n) for n, c in sorting.items()])
+    rows = rows.repartition("_key").sortWithinPartitions("_key", *sorting).select("row", "_key", "_size", "_file")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, context, used, held = False, None, 0, set()
+        for batch in batches:
+            picked = []
+            for of, n, f in zip(*(batch.column(c).to_pylist() for c in ("_key", "_size", "_file")), strict=True):
+                if not begun or of != context:
+                    begun, context, used, held = True, of, 0, set()
+                fits = n is not None and used + n <= budget and (f is None or f in held or len(held) < files)
+                if fits:
+                    used += n
+                    held |= {f} - {None}
+                picked.append(fits)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(picked, pa.bool_())], names=["row", "selected"])
+
+    out = rows.mapInArrow(run, StructType().add("row", rows.schema["row"].dataType).add("selected", "boolean"))
+    return out.select("row.*", "selected")
 
 
 def selection_summary(items: DataFrame, budget: int = BUDGET) -> DataFrame:

@@ -126,9 +126,13 @@ m AS (SELECT change_id, page_id, path = p AS same, page_id % 7 = 0 AS part FROM
 """
 
 
-@query(_PAGES + """
+def template_match_sql() -> str:
+    return _PAGES + """
 SELECT change_id, CAST(page_id AS VARCHAR) AS call_id, (CASE WHEN same THEN 0.3 WHEN part THEN 0.18 ELSE 0.24 END::DOUBLE + 0.2::DOUBLE + 0.05::DOUBLE + CASE WHEN part THEN 0.02 ELSE 0.05 END::DOUBLE) / 0.8::DOUBLE AS score FROM m
-""")
+"""
+
+
+@query(template_match_sql())
 def template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = match.impacts(_page_changes(spark, sf_dir), _page_calls(spark, sf_dir))
     return found.select("change_id", "call_id", "score")
@@ -405,13 +409,13 @@ def redact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(redacted(F.col("text")), 256).alias("tail"))
 
 
-def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _attempts(spark: SparkSession, sf_dir: str, more: tuple[str, ...] = ()) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     status = F.when(F.col("event_type") == "error", "TESTS_FAILED").when(F.col("event_type") == "click", "SYNTAX_ERROR").when(F.col("event_type") == "purchase", "TESTS_PASSED").otherwise("TIMEOUT")
     strategy = F.element_at(F.array(F.lit("SMALL"), F.lit("MEDIUM"), F.lit("STRONG")), (F.col("event_id") % 3 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("patch_id"), F.row_number().over(w).alias("attempt_number"), status.alias("status"), strategy.alias("strategy"), F.lit(8000).alias("budget"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("patch_id"), F.row_number().over(w).alias("attempt_number"), status.alias("status"), strategy.alias("strategy"), F.lit(8000).alias("budget"), *more)
 
 
 _A = """a AS (SELECT CAST(user_id AS VARCHAR) AS patch_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS attempt_number, CASE event_type WHEN 'error' THEN 'TESTS_FAILED' WHEN 'click' THEN 'SYNTAX_ERROR' WHEN 'purchase' THEN 'TESTS_PASSED' ELSE 'TIMEOUT' END AS status, CAST(event_id % 3 AS INTEGER) AS s FROM events),
@@ -505,4 +509,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.assess(s).select("c_nationkey", "direct", "indirect", "max_distance", "risk_score", "risk_level")
 
 
-from . import contract_queries, evidence_queries, policy_queries  # noqa: E402, F401  they register their queries
+from . import contract_queries, evidence_queries, graph_queries, model_queries, policy_queries, stream_queries  # noqa: E402, F401  they register their queries
