@@ -74,10 +74,11 @@ def _packed(members: DataFrame) -> DataFrame:
 
 
 def _first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Of rows with equal keys, in order: each id goes to the first row that has it, and so do its state and known ids.
+    """Of rows with equal keys, in order: each id goes to the first row that has it, and so does its state.
 
-    rows: keys, order, known and the three bitsets, score. Comes back with one row a key: known, what is new in each
-    state, the largest score. A row's known ids are never new; rows with known ids come first.
+    rows: keys, order, edge_rank, the three bitsets, score. An edge moves the ids of its row to its own state if that is
+    worse. Rows without an edge_rank stand first: their ids are known and never new. Comes back with one row a key: known,
+    what is new in each state, the largest score.
     """
     fields = StructType([rows.schema[k] for k in keys]).add("known", "binary")
     for name in STATES:
@@ -86,10 +87,18 @@ def _first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     arrow = _arrow(fields)
 
     def add(state: dict, row: dict) -> None:
+        bits, rank = [_number(row[name]) for name in STATES], row["edge_rank"]
         state["known"] |= _number(row["known"])
-        free = ~(state["known"] | state["new"][0] | state["new"][1] | state["new"][2])
-        for k, name in enumerate(STATES):
-            state["new"][k] |= _number(row[name]) & free
+        if rank is None:
+            state["known"] |= bits[0] | bits[1] | bits[2]
+            return
+        for k in range(rank):
+            bits[k + 1] |= bits[k]
+            bits[k] = 0
+        new = state["new"]
+        free = ~(state["known"] | new[0] | new[1] | new[2])
+        for k in range(3):
+            new[k] |= bits[k] & free
         if row["score"] is not None:
             state["score"] = max(row["score"], state["score"] if state["score"] is not None else row["score"])
 
@@ -101,19 +110,6 @@ def _first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return rows.mapInArrow(lambda batches: _runs(batches, keys, lambda _: {"known": 0, "new": [0, 0, 0], "score": None}, add, end, arrow), fields)
 
 
-def _worse(edge_rank: str = "edge_rank") -> list:
-    """The bitsets after an edge of a state: ids move to the worse of the two."""
-    e, p, u = (F.col(n) for n in STATES)
-    both = lambda *bits: F.array_compact(F.array(*bits))
-    at = F.col(edge_rank)
-    none = F.array().cast("array<binary>")
-    return [
-        F.when(at == 0, both(e)).otherwise(none).alias("exact"),
-        F.when(at == 0, both(p)).when(at == 1, both(e, p)).otherwise(none).alias("partial"),
-        F.when(at == 2, both(e, p, u)).otherwise(both(u)).alias("unresolved"),
-    ]
-
-
 def _joined_bits(bits: pa.ListArray) -> pa.Array:
     out = []
     for sets in bits.to_pylist():
@@ -144,19 +140,17 @@ def spread(impacts: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     steps = edges.filter("caller_id is not null and callee_id is not null").select("caller_id", "callee_id", F.col("edge_id").cast("string").alias("edge_id"), F.coalesce(rank_of(F.col("state")), F.lit(0)).alias("edge_rank"))
     steps = written(steps.repartitionByRange("caller_id", "callee_id", "edge_id").withColumn("slice", F.spark_partition_id()), "steps")
     front = written(_packed(members.join(ids, ["kind", "id"]).drop("id")).withColumn("distance", F.lit(0)), "reach")
-    reach, level, join_bits = front, 0, F.arrow_udf(_joined_bits, "binary")
-    keys, none = ["symbol_id", "kind", "block"], F.lit(None).cast("binary")
-    known = join_bits(F.array(*STATES)).alias("known")
+    reach, level = front, 0
+    keys, none = ["symbol_id", "kind", "block"], F.lit(None).cast("binary").alias("known")
     while not front.isEmpty():
         level += 1
         hit = front.withColumnRenamed("symbol_id", "callee_id").join(steps, "callee_id")
-        hit = hit.select(F.col("caller_id").alias("symbol_id"), "kind", "block", "slice", "callee_id", "edge_id", none.alias("known"), *_worse(), "score")
-        hit = hit.withColumns({n: join_bits(n) for n in STATES})
-        parts = written(_first_wins(hit, [*keys, "slice"], ["callee_id", "edge_id"]), "slices")
-        before = reach.select(*keys, F.lit(-1).alias("slice"), known, *[none.alias(n) for n in STATES], F.lit(None).cast("double").alias("score"))
-        before = before.join(parts.select(*keys).distinct(), keys, "left_semi")
-        new = _first_wins(before.unionByName(parts), keys, ["slice"]).drop("known").filter("exact is not null or partial is not null or unresolved is not null")
-        front = written(new.withColumn("distance", F.lit(level)), "reach")
+        hit = hit.select(F.col("caller_id").alias("symbol_id"), "kind", "block", "slice", "callee_id", "edge_id", "edge_rank", none, *STATES, "score")
+        parts = _first_wins(hit, [*keys, "slice"], ["callee_id", "edge_id"]).drop("known").withColumns({"edge_rank": F.lit(0), "known": none})
+        parts = written(parts, "slices")
+        before = reach.join(parts.select(*keys).distinct(), keys, "left_semi").withColumns({"slice": F.lit(-1), "edge_rank": F.lit(None).cast("int"), "known": none})
+        new = _first_wins(parts.unionByName(before.select(parts.columns)), keys, ["slice"]).drop("known")
+        front = written(new.filter("exact is not null or partial is not null or unresolved is not null").withColumn("distance", F.lit(level)), "reach")
         reach = reach.unionByName(front)
     return reach, ids
 
@@ -211,53 +205,60 @@ def _edges_within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("a")), "a", "left_semi").join(nodes.select(F.col("node").alias("b")), "b", "left_semi")
 
 
+#: Rounds of trimming before nodes are coloured; what is left of long chains falls apart by colours.
+TRIMS = 2
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) of a directed graph (a, b): two nodes share a component if each reaches the other.
 
-    Rounds of three steps, until no node is left: nodes without an edge in or out are components of their own (trimmed
-    until none is left); every node takes the smallest id that reaches it as its colour; a colour's component is what
-    reaches that smallest node within the colour. Every step writes its table, and only changed rows go on.
+    Turns of three steps, until no node is left. Nodes without an edge in or out are components of their own. Every other
+    node takes the least of the nodes that reach it as its colour, in an order that each turn draws anew; a colour's
+    component is what reaches its least node within the colour. Edges between colours join no component and go, so what is
+    left falls apart, and a long chain of components takes about the logarithm of its length in turns. Every step writes
+    its table, and only changed rows go on.
     """
     edges = written(edges.filter("a is not null and b is not null").select("a", "b").distinct(), "scc-edges")
     nodes = written(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), "scc-nodes")
-    live = written(edges.filter("a <> b"), "scc-edges")
+    live, turn = edges.filter("a <> b"), 0
     done = nodes.limit(0).withColumn("component", F.col("node"))
-    while not nodes.isEmpty():
-        while True:
+    left = nodes.count()
+    while left:
+        turn += 1
+        for _ in range(TRIMS):
             inner = nodes.join(live.select(F.col("a").alias("node")).distinct(), "node", "left_semi").join(live.select(F.col("b").alias("node")).distinct(), "node", "left_semi")
             inner = written(inner, "scc-nodes")
-            if inner.count() == nodes.count():
-                break
             done = done.unionByName(nodes.join(inner, "node", "left_anti").withColumn("component", F.col("node")))
-            nodes, live = inner, written(_edges_within(live, inner), "scc-edges")
-        if nodes.isEmpty():
+            was, left = left, inner.count()
+            if left < was:
+                nodes, live = inner, written(_edges_within(live, inner), "scc-edges")
+            if left in (0, was):
+                break
+        if not left:
             break
-        colours = written(nodes.withColumn("colour", F.col("node")), "scc-colours")
-        front = colours
+        colours = front = written(nodes.withColumn("colour", F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("n"))), "scc-colours")
         while not front.isEmpty():
             told = front.join(live.withColumnRenamed("a", "node"), "node").groupBy(F.col("b").alias("node")).agg(F.min("colour").alias("told"))
             both = written(colours.join(told, "node", "left").select("node", F.least("colour", "told").alias("colour"), (F.col("told") < F.col("colour")).alias("new")), "scc-colours")
             colours, front = both.select("node", "colour"), both.filter("new").select("node", "colour")
         same = live.join(colours.withColumnsRenamed({"node": "a", "colour": "ca"}), "a").join(colours.withColumnsRenamed({"node": "b", "colour": "cb"}), "b").filter("ca = cb")
         same = written(same.select("a", "b", F.col("ca").alias("colour")), "scc-same")
-        front = written(colours.filter("node = colour"), "scc-found")
-        found = front
+        found = front = written(colours.filter("node = colour.n"), "scc-found")
         while not front.isEmpty():
             back = same.join(front.withColumnRenamed("node", "b"), ["b", "colour"]).select(F.col("a").alias("node"), "colour").distinct()
             front = written(back.join(found, ["node", "colour"], "left_anti"), "scc-found")
             found = found.unionByName(front)
-        done = done.unionByName(found.select("node", F.col("colour").alias("component")))
+        done = done.unionByName(found.select("node", F.col("colour.n").alias("component")))
         nodes = written(nodes.join(found, "node", "left_anti"), "scc-nodes")
-        live = written(_edges_within(live, nodes), "scc-edges")
+        live, left = written(_edges_within(same.select("a", "b"), nodes), "scc-edges"), nodes.count()
     return written(done, "scc")
 
 
 def upstream_counts(edges: DataFrame) -> DataFrame:
     """(symbol_id, direct_callers, upstream_callers) of every called symbol; one on a cycle counts itself.
 
-    Cycles are condensed; the graph of components has none, so they are taken level by level from those that nothing
-    calls: the callers of a component are the members of its calling components and all of their callers, as bitsets of
-    numbered symbols. Each edge between components carries its bitsets once.
+    Cycles are condensed. The members of a component go, as bitsets of numbered symbols, to the components that it calls;
+    what is new there goes on, until nothing is. Members of a cycle share one set, and no table of pairs is made.
     """
     pairs = written(edges.filter("caller_id is not null and callee_id is not null").select("caller_id", "callee_id").distinct(), "callers")
     direct = pairs.groupBy(F.col("callee_id").alias("symbol_id")).agg(F.count("*").alias("direct_callers"))
@@ -274,15 +275,12 @@ def upstream_counts(edges: DataFrame) -> DataFrame:
 
 def _counted(direct: DataFrame, of: DataFrame, sized: DataFrame, dag: DataFrame, cyclic: DataFrame) -> DataFrame:
     """upstream_counts from the condensed graph: the components' members, the edges between them, those on a cycle."""
-    left = written(of.select("component").distinct(), "waiting")
-    open_edges, above = dag, sized.limit(0)
-    while not left.isEmpty():
-        ready = written(left.join(open_edges.select(F.col("down").alias("component")), "component", "left_anti"), "ready")
-        arrived = dag.join(ready.select(F.col("component").alias("down")), "down", "left_semi")
-        carried = sized.unionByName(above).withColumnRenamed("component", "up")
-        got = arrived.join(carried, "up").groupBy(F.col("down").alias("component"), "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-        above = above.unionByName(written(got, "above"))
-        left = written(left.join(ready, "component", "left_anti"), "waiting")
-        open_edges = written(open_edges.join(ready.select(F.col("component").alias("up")), "up", "left_anti"), "condensed")
-    n = above.unionByName(sized.join(cyclic, "component", "left_semi")).groupBy("component").agg(F.sum(F.bitmap_count("bits")).alias("upstream_callers"))
+    above, front = sized.limit(0).withColumn("n", F.lit(0).cast("long")), sized
+    while not front.isEmpty():
+        got = front.withColumnRenamed("component", "up").join(dag, "up").select(F.col("down").alias("component"), "bucket", "bits", F.lit(0).cast("long").alias("n"))
+        both = above.unionByName(got).groupBy("component", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"), F.max("n").alias("was"))
+        both = written(both.withColumn("n", F.bitmap_count("bits")), "above")
+        above, front = both.drop("was"), both.filter("n > was").select("component", "bucket", "bits")
+    n = above.select("component", "n").unionByName(sized.join(cyclic, "component", "left_semi").select("component", F.bitmap_count("bits").alias("n")))
+    n = n.groupBy("component").agg(F.sum("n").alias("upstream_callers"))
     return direct.join(of.withColumnRenamed("node", "symbol_id"), "symbol_id").join(n, "component").select("symbol_id", "direct_callers", "upstream_callers")

@@ -44,7 +44,7 @@ def budget_fill_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of all lines are one context; the large ones come first, so that small ones fill what is left."""
     k = F.col("l_orderkey")
     rows = table(spark, sf_dir, "lineitem").select(F.when(k % 3 == 0, 0).otherwise(F.col("l_suppkey") + 1).alias("context_id"), (k * 10 + F.col("l_linenumber")).alias("k"), F.col("l_quantity").cast("long").alias("size"), F.lit(None).cast("string").alias("file"))
-    out = selection.fill(rows, "context_id", [F.desc("size"), "k"], required=None, budget=9973).filter("selected")
+    out = selection.fill(rows, "context_id", [-F.col("size"), "k"], required=None, budget=9973).filter("selected")
     return out.groupBy("context_id").agg(F.sum("size").alias("used"), F.count("*").alias("picked"), F.sum("k").alias("keys"))
 
 
