@@ -10,10 +10,14 @@ No list is expanded into all of its pairs, and none is capped:
    rare values from their whole sketch, so that a shared line or passage does not crowd out the rest of a text.
 3. frequent lists: only texts that consist mostly of frequent values can be similar without sharing rare ones. Where such
    a list still holds several components, the full sets of its members are cut into frequent shingles and others. Members
-   that share one of the others are compared. Of members with equal frequent shingles, the one with the fewest others is
-   the nearest to all, so it stands for them: a star around it decides them exactly. Between such representatives, a star
-   around the one with the fewest others comes first; what is then still outside of its list's largest component is held
-   against the list, pair by pair only where the frequent shingles that both have, counted in full, allow a link.
+   that share one of the others are compared. Of members with equal frequent shingles, the one with the fewest others
+   stands for them; a star around it links those that are near to it. Between such representatives, a star around the
+   one with the fewest others comes first; what is then still outside of its list's largest component is held against the
+   list's representatives, pair by pair only where the frequent shingles that both have, counted in full, allow a link.
+   At last, members that are not in the component of their own representative are held against the other
+   representatives of that component. That is all: texts m and x that share none of the other shingles and are linked
+   have representatives r and s with no more other shingles, so r and s are linked, m and s are, and x and r are. The
+   pair (r, s) was found before; (m, s) is tested now, unless m and r, so s, share a component; likewise (x, r).
 
 Two sets of similarity 0.8 share none of 12 values with a probability of about 0.2 ** 12, and fall below the estimate's
 bound (5.5 standard deviations) with one of about 2e-8; all else is exact.
@@ -212,6 +216,7 @@ class _Search:
         pairs = alike.unionByName(star, allowMissingColumns=True).select(F.col("node_a").alias("a"), F.col("node").alias("b"))
         self._test(self._pairs_in(rare).unionByName(pairs))
 
+        every = reps
         reps = materialise(self._with_largest(reps), "neardup-frequent")
         apart = reps.filter((F.col("component") != F.col("largest")) & (100 * F.col("common") >= self.percent * (F.col("common") + F.col("own"))))
         apart = apart.select("value", *mine("component", "index", "part", "lost"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -221,6 +226,17 @@ class _Search:
         close = 100 * shared >= self.percent * (F.col("common") + F.col("common_a") - shared + F.col("own") + F.col("own_a"))
         pairs = salted.join(apart, ["value", "salt"]).filter((F.col("component") != F.col("component_a")) & admitted & first & close)
         self._test(pairs.select(F.col("node_a").alias("a"), F.col("node").alias("b")))
+
+        every = self._with_components(every)
+        homes = every.groupBy("digest").agg(F.first("component").alias("home"))
+        apart = self._with_components(sets).join(homes, "digest").filter((F.col("component") != F.col("home")) & (100 * F.col("common") >= self.percent * (F.col("common") + F.col("own"))))
+        apart = materialise(apart.join(hot.select("value", "node"), "node").select("value", F.col("home").alias("component"), *mine("index", "part", "lost")), "neardup-apart")
+        if apart.isEmpty():
+            return self.found
+        apart = apart.withColumn("salt", F.pmod(F.xxhash64("node_a"), F.lit(SALTS)).cast("int"))
+        copied = every.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = copied.join(apart, ["value", "component", "salt"]).filter((F.col("node") != F.col("node_a")) & admitted & first & close)
+        self._test(pairs.select(F.col("node_a").alias("a"), F.col("node").alias("b")))
         return self.found
 
     def _frequent_parts(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
