@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,8 +31,8 @@ def intervals(groups: DataFrame, key: str, metrics: dict[str, Column], by: Seque
     point = groups.withColumn("w", F.lit(1.0)).groupBy(*by).agg(*[m.alias(k) for k, m in metrics.items()])
     told = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("resample").cast("string"), F.col(key).cast("string")))
     u = (F.conv(F.substring(told, 1, 13), 16, 10).cast("bigint") + 0.5) / float(1 << 52)
-    draws = F.size(F.filter(F.array(*[F.lit(x) for x in POISSON]), lambda x: u > x)).cast("double")
-    drawn = groups.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", draws).filter("w > 0")
+    drawn = groups.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_u", u)
+    drawn = drawn.withColumn("w", sum((F.col("_u") > x).cast("double") for x in POISSON))
     each = drawn.groupBy(*by, "resample").agg(*[m.alias(k) for k, m in metrics.items()])
     tail = (1 - level) / 2
     long = lambda df: df.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("value")) for k in metrics])).alias("x")).select(*by, "x.metric", "x.value")
@@ -44,11 +44,3 @@ def weighted_mean(column: str) -> Column:
     """Mean of a column under the draws' weights; nulls are left out."""
     x = F.col(column)
     return F.try_divide(F.sum(F.when(x.isNotNull(), x * F.col("w"))), F.sum(F.when(x.isNotNull(), F.col("w"))))
-
-
-def numbered_draws(groups: DataFrame, key: str, resamples: int = 1000, seed: int = 0) -> DataFrame:
-    """(resample, key): exactly as many draws as there are groups, with replacement, for tables of few groups."""
-    n = groups.count()
-    numbered = groups.select(key, (F.row_number().over(Window.orderBy(key)) - 1).alias("_n"))
-    slots = groups.sparkSession.range(resamples).withColumnRenamed("id", "resample").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
-    return slots.withColumn("_n", F.pmod(F.xxhash64(F.lit(seed), "resample", "slot"), F.lit(max(n, 1))).cast("int")).join(F.broadcast(numbered), "_n").select("resample", key)

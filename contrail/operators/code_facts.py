@@ -1,22 +1,16 @@
-"""Facts from source files: functions, HTTP calls, imports, call expressions.
+"""Facts from script files: functions, HTTP calls and their states (F1, F2, F7), by Spark's own expressions.
 
-Script files are read by Spark's own expressions; Python files by one pass over the syntax tree per file, which emits all
-facts as rows of one tagged schema, so that text is parsed once and nothing is gathered.
+Facts of other languages come as tables of the schema FACT, one row a fact.
 """
 
 from __future__ import annotations
 
-import ast
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import stable_id, url_host, url_path, worst
 
 VERBS = ("get", "post", "put", "patch", "delete", "head", "options", "request")
-LIBRARIES = ("requests", "httpx")
 FACT = (
     "repo_id string, file string, fact string, name string, kind string, owner string, line int, end_line int, target string, library string, method string, url string, "
     "url_state string, request_fields array<string>, request_state string, query_parameters array<string>, headers array<string>, response_fields array<string>, response_state string"
@@ -33,18 +27,29 @@ def script_functions(files: DataFrame) -> DataFrame:
     return found.unionByName(rest).withColumn("symbol_id", stable_id("symbol-", "repo_id", "file", "qualified_name"))
 
 
+def _matches(texts: DataFrame, column: str, pattern: str, group: int = 0) -> DataFrame:
+    """texts with at, match (a group of the pattern) and the line it begins on, a row for each match.
+
+    Line breaks are added up once along the matches and the pieces between them; equal matches keep their own lines.
+    """
+    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    whole, pieces = F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(0)), F.split(F.col(column), pattern)
+    begun = F.array().cast("array<int>")
+    gaps = F.zip_with(F.transform(pieces, breaks), F.transform(whole, breaks), lambda gap, own: F.struct(F.coalesce(gap, F.lit(0)).alias("gap"), F.coalesce(own, F.lit(0)).alias("own")))
+    add = lambda s, x: F.struct((s["n"] + x["gap"] + x["own"]).alias("n"), F.array_append(s["lines"], s["n"] + x["gap"] + 1).alias("lines"))
+    lines = F.aggregate(gaps, F.struct(F.lit(0).alias("n"), begun.alias("lines")), add, lambda s: s["lines"])
+    both = F.arrays_zip(F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(group)).alias("match"), F.slice(lines, 1, F.size(whole)).alias("line"))
+    return texts.select("*", F.posexplode(both).alias("at", "_m")).select(*texts.columns, "at", "_m.match", "_m.line")
+
+
 def link_scan(texts: DataFrame, key: str, column: str, pattern: str) -> DataFrame:
     """(key, ordinal, match, line): matches of a pattern's first group and the line each stands on."""
-    parts = F.split(F.col(column), pattern)
-    found = texts.select(key, F.posexplode(F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(1))).alias("ordinal", "match"), F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(0)).alias("_all"), parts.alias("_parts"))
-    before = F.concat(F.array_join(F.slice("_parts", 1, F.col("ordinal") + 1), ""), F.array_join(F.slice("_all", 1, F.col("ordinal")), ""))
-    return found.select(key, "ordinal", "match", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"))
+    return _matches(texts.select(key, column), column, pattern, 1).select(key, F.col("at").alias("ordinal"), "match", "line")
 
 
 def script_calls(files: DataFrame) -> DataFrame:
     """axios, client and fetch calls with method, URL, body keys and line; the owner is the file's first function."""
-    whole = F.regexp_extract_all("content", F.lit(_CALL), F.lit(0))
-    rows = files.select("repo_id", F.col("path").alias("file"), "content", F.posexplode(whole).alias("at", "call"))
+    rows = _matches(files.select("repo_id", F.col("path").alias("file"), "content"), "content", _CALL).withColumnRenamed("match", "call")
     part = lambda i: F.regexp_extract("call", _CALL, i)
     url = F.coalesce(F.nullif(part(3), F.lit("")), part(5))
     body = F.coalesce(F.nullif(part(4), F.lit("")), F.nullif(F.regexp_extract(part(6), r"body\s*:\s*JSON\.stringify\((\{[^}]*\})", 1), F.lit("")))
@@ -52,8 +57,7 @@ def script_calls(files: DataFrame) -> DataFrame:
     method = F.coalesce(F.nullif(F.lower(part(2)), F.lit("")), F.nullif(F.lower(F.regexp_extract(part(6), r"method\s*:\s*['\"](\w+)", 1)), F.lit("")), F.lit("get"))
     resolved = F.regexp_replace(url, r"\$\{[^}]*\}", "{dynamic}")
     first = script_functions(files).groupBy("repo_id", "file").agg(F.min_by(F.struct("symbol_id", F.col("qualified_name").alias("symbol")), "line").alias("s"))
-    line = F.expr("length(substring(content, 1, locate(call, content) - 1)) - length(replace(substring(content, 1, locate(call, content) - 1), '\n', '')) + 1")
-    out = rows.select("repo_id", "file", "at", line.alias("line"), F.when(part(1) == "", "fetch").otherwise("axios").alias("library"), method.alias("method"), resolved.alias("url"), F.when(body.isNotNull(), keys).otherwise(F.array().cast("array<string>")).alias("request_fields"))
+    out = rows.select("repo_id", "file", "at", "line", F.when(part(1) == "", "fetch").otherwise("axios").alias("library"), method.alias("method"), resolved.alias("url"), F.when(body.isNotNull(), keys).otherwise(F.array().cast("array<string>")).alias("request_fields"))
     out = _located(out).join(first, ["repo_id", "file"], "left")
     none = F.array().cast("array<string>")
     return out.select(stable_id("call-", "repo_id", "file", "line", "at").alias("call_id"), "repo_id", "file", "s.symbol_id", "s.symbol", "line", "library", F.lit("direct").alias("invocation_kind"), "method", "host", "path", "url_state", "request_fields", F.lit("EXACT").alias("request_state"), none.alias("query_parameters"), none.alias("headers"), none.alias("response_fields"), F.lit("EXACT").alias("response_state"))
@@ -67,219 +71,6 @@ def _located(rows: DataFrame) -> DataFrame:
     return rows.withColumn("host", F.when(absolute, url_host(safe))).withColumn("path", F.when(absolute, F.coalesce(F.nullif(back(url_path(safe)), F.lit("")), F.lit("/"))).otherwise(F.regexp_replace("url", r"[?#].*$", ""))).withColumn("url_state", F.when(F.col("url").isNull(), "UNRESOLVED").when(F.col("url").contains("{dynamic}"), "PARTIAL").otherwise("EXACT"))
 
 
-class _Facts(ast.NodeVisitor):
-    """Facts of one module. Scopes hold what names stand for: a library, a client of one, a text, a dictionary's keys, a response."""
-
-    def __init__(self) -> None:
-        self.rows, self.owner, self.classes, self.scopes, self.responses = [], [], [], [{}], {}
-
-    def look(self, name: str):
-        return next((s[name] for s in reversed(self.scopes) if name in s), None)
-
-    def emit(self, fact: str, node: ast.AST, **more) -> dict:
-        row = {"fact": fact, "owner": ".".join(self.owner) or "<module>", "line": getattr(node, "lineno", 1), "end_line": getattr(node, "end_lineno", 1)} | more
-        self.rows.append(row)
-        return row
-
-    def _block(self, node, kind: str) -> None:
-        self.owner.append(node.name)
-        self.emit("symbol", node, name=".".join(self.owner), kind=kind)
-        args = getattr(node, "args", None)
-        self.scopes.append({a.arg: None for a in [*args.posonlyargs, *args.args, *args.kwonlyargs]} if args else {})
-        self.generic_visit(node)
-        self.scopes.pop()
-        self.owner.pop()
-
-    def visit_ClassDef(self, node: ast.ClassDef) -> None:
-        self.classes.append(node.name)
-        self._block(node, "CLASS")
-        self.classes.pop()
-
-    def visit_FunctionDef(self, node) -> None:
-        inside = self.classes and self.owner and self.owner[-1] == self.classes[-1]
-        self._block(node, ("ASYNC_" if isinstance(node, ast.AsyncFunctionDef) else "") + ("METHOD" if inside else "FUNCTION"))
-
-    visit_AsyncFunctionDef = visit_FunctionDef
-
-    def visit_Import(self, node: ast.Import) -> None:
-        for a in node.names:
-            name = a.asname or a.name.split(".")[0]
-            self.scopes[-1][name] = ("library", a.name) if a.name in LIBRARIES else None
-            self.emit("import", node, name=a.asname or a.name, target=a.name, kind="module")
-
-    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
-        module = "." * node.level + (node.module or "")
-        for a in node.names:
-            self.scopes[-1][a.asname or a.name] = ("verb", module, a.name) if module in LIBRARIES and a.name in VERBS else ("client", module) if module in LIBRARIES and a.name in ("Session", "Client", "AsyncClient") else None
-            self.emit("import", node, name=a.asname or a.name, target=f"{module}:{a.name}", kind="name")
-
-    def text(self, node) -> str | None:
-        """A URL's text, unknown parts as {dynamic}; None if nothing is known."""
-        if isinstance(node, ast.Constant) and isinstance(node.value, str):
-            return node.value
-        if isinstance(node, ast.Name):
-            known = self.look(node.id)
-            return known[1] if known and known[0] == "text" else None
-        if isinstance(node, ast.JoinedStr):
-            return "".join(v.value if isinstance(v, ast.Constant) else self.text(v.value) or "{dynamic}" for v in node.values)
-        if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add):
-            a, b = self.text(node.left), self.text(node.right)
-            return None if a is None and b is None else (a or "{dynamic}") + (b or "{dynamic}")
-        return None
-
-    def keys(self, node, head: str = "") -> tuple[list[str], str]:
-        """Dotted keys of a dictionary and whether all are known."""
-        if isinstance(node, ast.Name):
-            known = self.look(node.id)
-            return (known[1], known[2]) if known and known[0] == "keys" else ([], "PARTIAL")
-        if not isinstance(node, ast.Dict):
-            return [], "PARTIAL"
-        out, state = [], "EXACT"
-        for k, v in zip(node.keys, node.values, strict=True):
-            if isinstance(k, ast.Constant) and isinstance(k.value, str):
-                out.append(head + k.value)
-                if isinstance(v, ast.Dict):
-                    more, s = self.keys(v, head + k.value + ".")
-                    out, state = out + more, "PARTIAL" if s == "PARTIAL" else state
-            else:
-                more, _ = self.keys(v, head) if k is None else ([], "")
-                out, state = out + more, "PARTIAL"
-        return sorted(set(out)), state
-
-    def client(self, node) -> str | None:
-        if isinstance(node, ast.Call):
-            f = node.func
-            if isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name):
-                known = self.look(f.value.id)
-                return known[1] if known and known[0] == "library" and f.attr in ("Session", "Client", "AsyncClient", "session") else None
-            known = self.look(f.id) if isinstance(f, ast.Name) else None
-            return known[1] if known and known[0] == "client" else None
-        return None
-
-    def http(self, node: ast.Call) -> tuple[str, str, str] | None:
-        """(library, verb, kind) of an HTTP call."""
-        f = node.func
-        if isinstance(f, ast.Name):
-            known = self.look(f.id)
-            return (known[1], known[2], "from_import") if known and known[0] == "verb" else None
-        if isinstance(f, ast.Attribute) and f.attr in VERBS:
-            if isinstance(f.value, ast.Name):
-                known = self.look(f.value.id)
-                if known and known[0] in ("library", "instance"):
-                    return known[1], f.attr, "direct" if known[0] == "library" else "client"
-            elif (library := self.client(f.value)) is not None:
-                return library, f.attr, "client"
-        return None
-
-    def visit_With(self, node) -> None:
-        for item in node.items:
-            if isinstance(item.optional_vars, ast.Name) and (library := self.client(item.context_expr)):
-                self.scopes[-1][item.optional_vars.id] = ("instance", library)
-        self.generic_visit(node)
-
-    visit_AsyncWith = visit_With
-
-    def visit_Assign(self, node: ast.Assign) -> None:
-        self.generic_visit(node)
-        value = node.value.value if isinstance(node.value, ast.Await) else node.value
-        for target in node.targets:
-            if isinstance(target, ast.Name):
-                known = None
-                if (library := self.client(value)) is not None:
-                    known = ("instance", library)
-                elif isinstance(value, ast.Dict):
-                    known = ("keys", *self.keys(value))
-                elif id(value) in self.responses:
-                    known = ("response", self.responses[id(value)])
-                elif isinstance(value, ast.Call) and isinstance(value.func, ast.Attribute) and value.func.attr == "json" and isinstance(value.func.value, ast.Name) and (r := self.look(value.func.value.id)) and r[0] == "response":
-                    known = r
-                elif isinstance(value, ast.Call) and isinstance(value.func, ast.Name):
-                    known = ("object", value.func.id)
-                elif (text := self.text(value)) is not None:
-                    known = ("text", text)
-                self.scopes[-1][target.id] = known
-
-    def visit_Call(self, node: ast.Call) -> None:
-        found, f = self.http(node), node.func
-        if found:
-            library, verb, kind = found
-            args, named = list(node.args), {k.arg: k.value for k in node.keywords if k.arg}
-            method = verb
-            if verb == "request":
-                first = args.pop(0) if args else named.get("method")
-                method = (self.text(first) or "").lower()
-            url = self.text(args[0] if args else named["url"]) if args or "url" in named else None
-            body = self.keys(named["json"]) if "json" in named else self.keys(named["data"]) if "data" in named else ([], "EXACT")
-            pick = lambda k: self.keys(named[k])[0] if k in named else []
-            row = self.emit("http", node, name=kind, library=library, method=method, url=url, request_fields=body[0], request_state=body[1], query_parameters=pick("params"), headers=pick("headers"), response_fields=[], response_state="EXACT")
-            self.responses[id(node)] = row
-        elif isinstance(f, ast.Name):
-            self.emit("call", node, name=f.id, kind="name")
-        elif isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name):
-            known = self.look(f.value.id)
-            if f.value.id == "self" and self.classes:
-                self.emit("call", node, name=f"{self.classes[-1]}.{f.attr}", kind="self")
-            elif known and known[0] == "object":
-                self.emit("call", node, name=f"{known[1]}.{f.attr}", kind="object")
-            else:
-                self.emit("call", node, name=f.attr, kind="module", target=f.value.id)
-        else:
-            self.emit("call", node, name="<expression>", kind="dynamic")
-        self.generic_visit(node)
-
-    def visit_Subscript(self, node: ast.Subscript) -> None:
-        path, at = [], node
-        while isinstance(at, ast.Subscript):
-            path.append(at.slice.value if isinstance(at.slice, ast.Constant) and isinstance(at.slice.value, str) else "items[]" if isinstance(at.slice, ast.Constant) else None)
-            at = at.value
-        if isinstance(at, ast.Call) and isinstance(at.func, ast.Attribute) and at.func.attr == "json":
-            at = at.func.value
-        row = self.responses.get(id(at)) or (lambda k: k[1] if k and k[0] == "response" else None)(self.look(at.id) if isinstance(at, ast.Name) else None)
-        self.generic_visit(node)
-        if row is None and isinstance(at, ast.Call):
-            row = self.responses.get(id(at))
-        if row is not None:
-            if None in path:
-                row["response_state"] = "PARTIAL"
-            else:
-                row["response_fields"] = sorted({*row["response_fields"], ".".join(reversed(path))})
-
-
-def python_facts(files: DataFrame) -> DataFrame:
-    """All facts of Python files (repo_id, path, content); a file that does not parse is one fact 'error'."""
-    columns = [c.split()[0] for c in FACT.split(", ")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for repo, path, content in zip(frame["repo_id"], frame["path"], frame["content"], strict=True):
-                try:
-                    visitor = _Facts()
-                    visitor.visit(ast.parse(content or ""))
-                    found = visitor.rows
-                except (SyntaxError, ValueError, RecursionError) as error:
-                    found = [{"fact": "error", "name": type(error).__name__, "line": getattr(error, "lineno", 1) or 1}]
-                rows += [dict.fromkeys(columns) | {"repo_id": repo, "file": path} | r for r in found]
-            yield pd.DataFrame(rows, columns=columns).astype({"line": "Int32", "end_line": "Int32"})
-
-    return files.select("repo_id", "path", "content").mapInPandas(run, FACT)
-
-
-def python_symbols(facts: DataFrame) -> DataFrame:
-    own = facts.filter("fact = 'symbol'").select("repo_id", "file", F.col("name").alias("qualified_name"), "kind", "line", "end_line")
-    module = facts.select("repo_id", "file").distinct().select("repo_id", "file", F.lit("<module>").alias("qualified_name"), F.lit("MODULE").alias("kind"), F.lit(1).alias("line"), F.lit(1).alias("end_line"))
-    return own.unionByName(module).withColumn("symbol_id", stable_id("symbol-", "repo_id", "file", "qualified_name"))
-
-
-def python_calls(facts: DataFrame) -> DataFrame:
-    """HTTP calls as call_sites."""
-    rows = _located(facts.filter("fact = 'http'"))
-    return rows.select(
-        stable_id("call-", "repo_id", "file", "line", "url", "method").alias("call_id"), "repo_id", "file", stable_id("symbol-", "repo_id", "file", "owner").alias("symbol_id"), F.col("owner").alias("symbol"), "line", "library",
-        F.col("name").alias("invocation_kind"), "method", "host", "path", "url_state", "request_fields", "request_state", "query_parameters", "headers", "response_fields", "response_state",
-    )
-
-
 def overall_state(calls: DataFrame) -> DataFrame:
     """the worst of URL, request (if it has fields) and response states."""
     request = F.when((F.size("request_fields") > 0) | (F.col("request_state") != "EXACT"), F.col("request_state")).otherwise("EXACT")

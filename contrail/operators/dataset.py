@@ -23,31 +23,52 @@ def candidates(changes: DataFrame, symbols: DataFrame, truth: DataFrame) -> Data
     return rows.withColumn("label", F.col("truth_type").isNotNull().cast("int")).withColumn("row_id", stable_id("candidate-", "scenario_id", "change_id", "symbol_id"))
 
 
-def features(rows: DataFrame, direct: DataFrame, impacted: DataFrame, calls: DataFrame, counts: DataFrame) -> DataFrame:
-    """B2: observed features of candidates: matches, states, distance, caller counts, scores. No truth column enters."""
-    first = calls.groupBy("symbol_id").agg(F.min_by(F.struct("url_state", "request_state", "response_state"), "call_id").alias("call"))
-    evidence = F.transform("evidence", lambda e: e["feature"])
-    found = direct.groupBy("change_id", "symbol_id").agg(F.max_by(F.struct("score", evidence.alias("names"), "used"), "score").alias("direct"))
-    reach = impacted.select("symbol_id", F.col("distance").alias("graph_distance"))
-    out = rows.join(found, ["change_id", "symbol_id"], "left").join(reach, "symbol_id", "left").join(first, "symbol_id", "left").join(counts, "symbol_id", "left")
-    has = lambda name: F.when(F.array_contains("direct.names", name), True)
-    return out.select(
-        *[F.col(c) for c in rows.columns], has("endpoint_path_match").alias("endpoint_path_match"), has("api_identity").alias("host_match"), has("http_method_match").alias("method_match"),
-        F.coalesce("direct.used", F.array().cast("array<string>")).alias("overlap"), F.col("direct").isNotNull().alias("direct_reference"), F.col("call.url_state").alias("url_resolution_state"),
-        F.col("call.request_state").alias("request_resolution_state"), F.col("call.response_state").alias("response_resolution_state"), "graph_distance",
-        F.coalesce("direct_callers", F.lit(0)).alias("direct_caller_count"), F.coalesce("upstream_callers", F.lit(0)).alias("upstream_caller_count"), F.col("direct.score").alias("impact_score"),
+#: The features that a candidate row may show a model.
+FEATURES = (
+    "change_category", "change_severity", "change_certainty", "breaking_classification", "compatibility_direction", "evidence", "endpoint_path_match", "host_match", "method_match",
+    "request_field_overlap", "response_field_overlap", "parameter_overlap", "direct_reference", "url_resolution_state", "request_resolution_state", "response_resolution_state", "graph_distance",
+    "direct_caller_count", "upstream_caller_count", "coverage_unresolved_calls", "coverage_failed_files", "m4_impact_score", "m6_risk_score", "m6_risk_level",
+)
+
+
+def features(rows: DataFrame, changes: DataFrame, direct: DataFrame, impacted: DataFrame, calls: DataFrame, counts: DataFrame, coverage: DataFrame, risk: DataFrame) -> DataFrame:
+    """B2: candidates (scenario_id, change_id, symbol_id and more) with their 24 observed features. No truth column enters.
+
+    changes: change_id with category, severity, certainty, classification, direction, location; direct: the impacts; impacted:
+    symbol_id, distance; calls: the call sites; counts: symbol_id with both numbers of callers; coverage and risk: a row a
+    scenario_id. A candidate shows its best impact's call, else its symbol's first call. What an impact used is overlap of
+    the side that the change's location names.
+    """
+    none = F.array().cast("array<string>")
+    told = changes.select("change_id", *[F.col(c).alias(f"_{c}") for c in ("category", "severity", "certainty", "classification", "direction", "location")])
+    best = direct.groupBy("change_id", "symbol_id").agg(F.min_by(F.struct("call_id", "score", "evidence", "used"), F.struct(-F.col("score"), "call_id")).alias("_direct"))
+    site = F.struct("url_state", "request_state", "response_state")
+    own = calls.groupBy("symbol_id").agg(F.min_by(site, "call_id").alias("_first"))
+    by_call = calls.select(F.col("call_id").alias("_call_id"), site.alias("_called"))
+    out = rows.join(told, "change_id", "left").join(best, ["change_id", "symbol_id"], "left").join(own, "symbol_id", "left").join(by_call, F.col("_direct.call_id") == F.col("_call_id"), "left")
+    out = out.join(impacted.select("symbol_id", F.col("distance").alias("_distance")), "symbol_id", "left").join(counts.select("symbol_id", "direct_callers", "upstream_callers"), "symbol_id", "left")
+    out = out.join(coverage.select("scenario_id", "calls_unresolved", "files_failed"), "scenario_id", "left").join(risk.select("scenario_id", "risk_score", "risk_level"), "scenario_id", "left")
+    call, names = F.when(F.col("_direct").isNotNull(), F.col("_called")).otherwise(F.col("_first")), F.transform("_direct.evidence", lambda e: e["feature"])
+    has = lambda name: F.when(F.array_contains(names, name), True)
+    parameter = F.col("_category") == "required_parameter_added"
+    used = lambda where: F.coalesce(F.when(where, F.col("_direct.used")), none)
+    values = (
+        F.col("_category"), F.col("_severity"), F.col("_certainty"), F.col("_classification"), F.col("_direction"), F.coalesce("_direct.evidence", F.array().cast(direct.schema["evidence"].dataType)), has("endpoint_path_match"), has("api_identity"), has("http_method_match"),
+        used(~parameter & F.col("_location").startswith("request.")), used(~parameter & F.col("_location").startswith("response.")), used(parameter), F.col("_direct").isNotNull(), call["url_state"], call["request_state"], call["response_state"], F.col("_distance"),
+        F.coalesce("direct_callers", F.lit(0)), F.coalesce("upstream_callers", F.lit(0)), F.coalesce("calls_unresolved", F.lit(0)), F.coalesce("files_failed", F.lit(0)), F.col("_direct.score"), F.col("risk_score"), F.col("risk_level"),
     )
+    return out.select(*rows.columns, *[v.alias(n) for n, v in zip(FEATURES, values, strict=True)])
 
 
 def flags() -> Column:
-    """What is odd about a feature row, sorted (columns as features gives them, plus truth_type, risk_score, coverage counts)."""
+    """What is odd about a feature row, sorted (columns as features gives them, with label and truth_type)."""
     rules = (
         ((F.col("label") == 1) & ~F.col("direct_reference"), "GROUND_TRUTH_POSITIVE_NO_DIRECT_MATCH"),
         ((F.col("truth_type") == "INDIRECT") & F.col("graph_distance").isNull(), "GROUND_TRUTH_INDIRECT_NO_GRAPH_PATH"),
-        ((F.col("label") == 0) & F.col("url_resolution_state").isNotNull() & (F.col("risk_score") >= 50), "HARD_NEGATIVE_HEURISTIC_SCORE"),
+        ((F.col("label") == 0) & F.col("url_resolution_state").isNotNull() & (F.col("m6_risk_score") >= 50), "HARD_NEGATIVE_HEURISTIC_SCORE"),
         (F.col("url_resolution_state") != "EXACT", "PARTIAL_OR_UNRESOLVED_URL"),
-        (F.col("files_failed") > 0, "FAILED_FILE_COVERAGE"),
-        (F.col("calls_unresolved") > 0, "UNRESOLVED_CALL_COVERAGE"),
+        (F.col("coverage_failed_files") > 0, "FAILED_FILE_COVERAGE"),
+        (F.col("coverage_unresolved_calls") > 0, "UNRESOLVED_CALL_COVERAGE"),
     )
     return F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in rules])))
 
@@ -60,14 +81,16 @@ def split(rows: DataFrame, field: str, seed: int) -> DataFrame:
 
 
 def scenario_fingerprints(rows: DataFrame, scenario: str, sets: dict[str, Sequence[str]]) -> DataFrame:
-    """Per scenario a digest of each named set of columns, whatever the order and number of equal rows.
+    """Per scenario a digest of each named set of columns, whatever the order of its rows.
 
-    Row digests are folded in as (count, xor, sum) of two hashes, so that no scenario's rows meet in one array.
+    The MD5 of each row is added up as four numbers of 32 bits, with the number of rows, so that no scenario's rows meet in
+    one array.
     """
     parts = []
     for name, columns in sets.items():
-        a, b = F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)
-        parts.append(F.sha2(F.concat_ws(SEPARATOR, F.count("*"), F.bit_xor(a), F.sum(a.cast("decimal(38,0)")), F.sum(b.cast("decimal(38,0)"))), 256).alias(name))
+        told = F.md5(F.concat_ws(SEPARATOR, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
+        words = [F.sum(F.conv(F.substring(told, 1 + 8 * k, 8), 16, 10).cast("bigint")) for k in range(4)]
+        parts.append(F.sha2(F.concat_ws(SEPARATOR, F.count("*"), *words), 256).alias(name))
     return rows.groupBy(scenario).agg(*parts)
 
 
@@ -117,11 +140,23 @@ def slice_counts(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
     return long.groupBy("x.field", "x.value").agg(F.count("*").alias("rows"))
 
 
-def unsealed(rows: DataFrame, partition: str = "split_partition", sealed: str = "TEST") -> DataFrame:
-    """The rows that may be seen before the test is opened."""
-    return rows.filter(F.col(partition) != sealed)
+class SealedError(ValueError):
+    """Rows of a sealed partition were asked for."""
+
+
+def partition(rows: DataFrame, name: str, opened: bool = False, column: str = "split_partition", sealed: str = "TEST") -> DataFrame:
+    """The rows of a partition; the sealed one is refused until it is opened."""
+    if name == sealed and not opened:
+        raise SealedError(f"the partition {sealed} is sealed")
+    return rows.filter(F.col(column) == name)
+
+
+def unsealed(rows: DataFrame, column: str = "split_partition", sealed: str = "TEST") -> DataFrame:
+    """Rows of which none is sealed: the read fails where one is, and names it."""
+    refused = F.raise_error(F.concat(F.lit("row of the sealed partition "), F.col(column)))
+    return rows.withColumn(column, F.when(F.coalesce(F.col(column) == sealed, F.lit(False)), refused.cast("string")).otherwise(F.col(column)))
 
 
-def sealed_view(rows: DataFrame, partition: str = "split_partition", sealed: str = "TEST", label: str = "label") -> DataFrame:
+def sealed_view(rows: DataFrame, column: str = "split_partition", sealed: str = "TEST", label: str = "label") -> DataFrame:
     """The sealed partition without its labels."""
-    return rows.filter(F.col(partition) == sealed).drop(label)
+    return rows.filter(F.col(column) == sealed).drop(label)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, dataset, edits, evidence, graph, selection
+from ..operators import audit, dataset, edits, evidence, reach, selection
 from .queries import _DOCS, _SPLIT, _doc_prints, query, table
 
 
@@ -179,4 +179,4 @@ def component_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH e AS (SELECT p_brand AS a, p_type AS b FROM part) SELECT b AS symbol_id, count(DISTINCT a) AS direct_callers, count(DISTINCT a) AS upstream_callers FROM e GROUP BY b""")
 def caller_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brands that call types; no type calls, so the closure ends after one step."""
-    return graph.caller_counts(table(spark, sf_dir, "part").select(F.col("p_brand").alias("caller_id"), F.col("p_type").alias("callee_id")))
+    return reach.upstream_counts(table(spark, sf_dir, "part").select(F.col("p_brand").alias("caller_id"), F.col("p_type").alias("callee_id")))

@@ -117,11 +117,12 @@ def metric_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ranking.gap(h.filter("half = 0"), h.filter("half = 1"), ["experiment_id"], ["mrr", "r_at_5"]), "validation", "test", "gap")
 
 
-@query("SELECT p_type FROM part WHERE p_partkey % 5 = 0 EXCEPT SELECT p_type FROM part WHERE p_partkey % 5 > 1")
+@query("WITH f AS (SELECT p_partkey, p_type || '/' || p_size AS family FROM part) SELECT family FROM f WHERE p_partkey % 5 = 0 EXCEPT SELECT family FROM f WHERE p_partkey % 5 > 1")
 def unseen_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L26."""
     part = F.when(F.col("p_partkey") % 5 == 0, "TEST").when(F.col("p_partkey") % 5 > 1, "TRAIN").otherwise("VALIDATION")
-    return ranking.unseen(table(spark, sf_dir, "part").withColumn("split_partition", part), "p_type")
+    rows = table(spark, sf_dir, "part").withColumns({"split_partition": part, "family": F.concat_ws("/", "p_type", "p_size")})
+    return ranking.unseen(rows, "family")
 
 
 @query(f"{_HALVES} SELECT CAST(half AS VARCHAR) AS experiment_id, round(mrr, 6) AS mrr, round(r_at_5, 6) AS r_at_5 FROM h")
@@ -173,3 +174,19 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1000 resamples of the groups."""
     groups = ranking.group_metrics(ranking.ranked(_labelled(spark, sf_dir)))
     return _rounded(bootstrap.intervals(groups, "group_id", {m: bootstrap.weighted_mean(m) for m in ranking.METRICS}, resamples=1000, seed=11), "point", "low", "high")
+
+
+@query(f"""WITH {_S}, {_R}, p AS (SELECT 'rules' AS policy, k AS g, chosen FROM e UNION ALL SELECT 'strong', k, CASE WHEN k % 29 = 0 THEN 'NO_AI' ELSE 'STRONG' END FROM c),
+j AS (SELECT p.policy, p.g, f.cost, CASE WHEN CASE WHEN p.chosen = 'NO_FEASIBLE_STRATEGY' THEN w.preferred = p.chosen ELSE coalesce(f.ok, false) END THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ok FROM p JOIN w USING (g) LEFT JOIN f ON f.g = p.g AND f.strategy = p.chosen),
+n AS (SELECT j.*, t.r AS resample, ((('0x' || substr(md5('5:' || t.r || ':' || g), 1, 13))::BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM j, range(1, 101) t(r)),
+x AS (SELECT policy, resample, sum(w * ok) / sum(w) AS satisfied, sum(w * coalesce(cost, 0)) / nullif(sum(w * ok), 0) AS cost_per_success FROM (SELECT *, CAST(len(list_filter([{_THRESHOLDS}], lambda x: u > x)) AS DOUBLE) AS w FROM n) GROUP BY ALL),
+y AS (SELECT policy, sum(ok) / count(*) AS satisfied, sum(coalesce(cost, 0)) / sum(ok) AS cost_per_success FROM j GROUP BY ALL),
+l AS (SELECT policy, unnest(['satisfied', 'cost_per_success']) AS metric, unnest([satisfied, cost_per_success]) AS v FROM x), q AS (SELECT policy, unnest(['satisfied', 'cost_per_success']) AS metric, unnest([satisfied, cost_per_success]) AS point FROM y)
+SELECT policy, metric, round(any_value(point), 6) AS point, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM l JOIN q USING (policy, metric) GROUP BY ALL""")
+def policy_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """100 resamples of the decision groups under each policy, ratios of sums among the metrics."""
+    chosen = routing.decisions(_contexts(spark, sf_dir), {"rules": routing.rules()["chosen"], "strong": routing.always("STRONG")()})
+    rows = routing.evaluated(chosen, _strategies(spark, sf_dir)).select("policy", "decision_group_id", F.coalesce("objective_satisfied", F.lit(False)).cast("double").alias("ok"), F.coalesce("cost", F.lit(0.0)).alias("cost"))
+    w = F.col("w")
+    metrics = {"satisfied": bootstrap.weighted_mean("ok"), "cost_per_success": F.try_divide(F.sum(w * F.col("cost")), F.sum(w * F.col("ok")))}
+    return _rounded(bootstrap.intervals(rows, "decision_group_id", metrics, ["policy"], resamples=100, seed=5), "point", "low", "high")

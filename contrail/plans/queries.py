@@ -138,19 +138,31 @@ def template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("change_id", "call_id", "score")
 
 
-@query(_PAGES + "SELECT change_id, path FROM c WHERE change_id NOT IN (SELECT change_id FROM m)")
+@query(_PAGES + "SELECT change_id, path, 0::BIGINT AS looked_at FROM c WHERE change_id NOT IN (SELECT change_id FROM m)")
 def unmatched_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes, calls = _page_changes(spark, sf_dir), _page_calls(spark, sf_dir)
-    return match.unmatched(changes, match.candidate_pairs(changes, calls), match.impacts(changes, calls)).select("change_id", "path")
+    return match.unmatched(changes, match.candidate_pairs(changes, calls), match.impacts(changes, calls)).select("change_id", "path", "looked_at")
+
+
+@query(_PAGES + "SELECT 'f' || change_id AS change_id, count(*) AS looked_at, CAST(sum(page_id) AS BIGINT) AS calls FROM m GROUP BY change_id")
+def unmatched_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: changes of a field that no call names: every call of their template was looked at."""
+    changes, calls = _page_changes(spark, sf_dir), _page_calls(spark, sf_dir)
+    changes = changes.withColumns({"change_id": F.concat(F.lit("f"), "change_id"), "category": F.lit("request_property_removed"), "location": F.lit("request.body[json].never")})
+    pairs = match.candidate_pairs(changes, calls)
+    found = match.impacts(changes, calls)
+    calls_of = match.evaluated(pairs, found).groupBy("change_id").agg(F.sum(F.col("call_id").cast("long")).alias("calls"))
+    return match.unmatched(changes, pairs, found).join(calls_of, "change_id").select("change_id", "looked_at", "calls")
 
 
 @query("""
 WITH x AS (SELECT page_id, html, regexp_extract_all(html, 'href="([^"]*)"', 1) AS g, regexp_extract_all(html, 'href="[^"]*"') AS w FROM pages),
 e AS (SELECT page_id, html, unnest(range(len(g))) AS ordinal, g, w FROM x)
-SELECT page_id, CAST(ordinal AS INTEGER) AS ordinal, g[ordinal + 1] AS "match" FROM e
+SELECT page_id, CAST(ordinal AS INTEGER) AS ordinal, g[ordinal + 1] AS "match", CAST(length(b) - length(replace(b, chr(10), '')) + 1 AS INTEGER) AS line
+FROM (SELECT *, array_to_string(list_slice(string_split_regex(html, 'href="[^"]*"'), 1, ordinal + 1), '') || array_to_string(list_slice(w, 1, ordinal), '') AS b FROM e)
 """)
 def link_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code_facts.link_scan(table(spark, sf_dir, "pages"), "page_id", "html", 'href="([^"]*)"').select("page_id", "ordinal", "match")
+    return code_facts.link_scan(table(spark, sf_dir, "pages"), "page_id", "html", 'href="([^"]*)"').select("page_id", "ordinal", "match", "line")
 
 
 def _order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -509,4 +521,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.assess(s).select("c_nationkey", "direct", "indirect", "max_distance", "risk_score", "risk_level")
 
 
-from . import contract_queries, evidence_queries, graph_queries, model_queries, policy_queries, stream_queries  # noqa: E402, F401  they register their queries
+from . import contract_queries, evidence_queries, feature_queries, graph_queries, model_queries, policy_queries, stream_queries  # noqa: E402, F401  they register their queries

@@ -12,7 +12,6 @@ CATEGORIES = (
 STRATEGIES = ("NO_AI", "DETERMINISTIC", "SMALL", "MEDIUM", "STRONG")
 PARTITIONS = ("TRAIN", "VALIDATION", "TEST")
 EXCLUDED_DIRS = (".git", ".hg", ".venv", "venv", "node_modules", "__pycache__", "build", "dist", ".tox")
-CHRONOLOGY = ("PROTOCOL_FROZEN", "DATASET_FROZEN", "SPLIT_FROZEN", "MODELS_FROZEN", "CONFIGURATION_FROZEN", "TEST_UNSEALED", "TEST_ACCESSED", "FORMAL_EVALUATION_COMPLETE")
 
 SPEC_DOCS = "api_id string, version_no int, format string, text string"
 OPERATIONS = "api_id string, version_no int, path string, method string, op_id string, security array<array<struct<scheme:string,scopes:array<string>>>>"

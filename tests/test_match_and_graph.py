@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contrail.operators import graph, match, risk
+from contrail.operators import reach as reach_sets
 
 CALL = "call_id string, repo_id string, symbol_id string, method string, host string, path string, url_state string, request_fields array<string>, request_state string, query_parameters array<string>, headers array<string>, response_fields array<string>, response_state string"
 CHANGE = "change_id string, api_id string, category string, path string, method string, location string"
@@ -38,7 +39,9 @@ def test_others(spark, hosts):
     assert len(r) == 1 and r[0]["certainty"] == "PARTIAL" and r[0]["score"] < 1
     needed = change(spark, "required_parameter_added", "/payments", "post", "parameter.query.status")
     found = match.impacts(needed, call(spark), hosts)
-    assert found.count() == 0 and match.unmatched(needed, match.candidate_pairs(needed, call(spark)), found).first()["looked_at"] == ["k"]
+    pairs = match.candidate_pairs(needed, call(spark))
+    assert found.count() == 0 and match.unmatched(needed, pairs, found).first()["looked_at"] == 1
+    assert [r["call_id"] for r in match.evaluated(pairs, found).collect()] == ["k"]
     assert match.impacts(needed, call(spark, query_parameters=["status"]), hosts).first()["used"] == ["query.status"]
     assert match.impacts(field, call(spark)).first()["score"] == pytest.approx(0.8)
 
@@ -65,7 +68,7 @@ def test_propagation(spark):
 
 def test_counts_and_components(spark):
     e = edges(spark, ("a", "b"), ("b", "a"), ("c", "a"))
-    rows = {r["symbol_id"]: (r["direct_callers"], r["upstream_callers"]) for r in graph.caller_counts(e).collect()}
+    rows = {r["symbol_id"]: (r["direct_callers"], r["upstream_callers"]) for r in reach_sets.upstream_counts(e).collect()}
     assert rows == {"a": (2, 3), "b": (1, 3)}
     links = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 101)], "a int, b int")
     found = {r["node"]: r["component"] for r in graph.components(links).collect()}
@@ -73,11 +76,12 @@ def test_counts_and_components(spark):
 
 
 def test_impacted_and_risk(spark):
-    r = spark.createDataFrame([("d", "d", 0, "EXACT"), ("u", "d", 1, "PARTIAL")], "symbol_id string, seed_id string, distance int, state string")
-    s = spark.createDataFrame([("d", "c1", 0.9, "EXACT")], "symbol_id string, change_id string, score double, certainty string")
-    rows = {x["symbol_id"]: x for x in graph.impacted(r, s).collect()}
+    impacts = spark.createDataFrame([("i", "d", "c1", 0.9, "EXACT")], "impact_id string, symbol_id string, change_id string, score double, certainty string")
+    found, _ = reach_sets.spread(impacts, spark.createDataFrame([("u", "d", "e", "PARTIAL")], "caller_id string, callee_id string, edge_id string, state string"))
+    impacted = reach_sets.impacted(found)
+    rows = {x["symbol_id"]: x for x in impacted.collect()}
     assert rows["u"]["impact_type"] == "INDIRECT" and rows["u"]["state"] == "PARTIAL" and rows["d"]["impact_type"] == "DIRECT"
-    summary = graph.summary(graph.impacted(r, s)).withColumns({"severity": F.lit("HIGH"), "score": F.lit(0.9), "incomplete": F.lit(True), "partial": F.lit(True)})
+    summary = graph.summary(impacted).withColumns({"severity": F.lit("HIGH"), "score": F.lit(0.9), "incomplete": F.lit(True), "partial": F.lit(True)})
     out = risk.assess(summary).first()
     assert out["risk_score"] == pytest.approx(40 + 18 + 5 + 5 + 5 + 5 + 3) and out["risk_level"] == "CRITICAL"
     level = lambda x: spark.range(1).select(risk.level(F.lit(x)).alias("l")).first()["l"]

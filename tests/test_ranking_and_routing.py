@@ -36,7 +36,6 @@ def test_bootstrap_holds_the_point(spark):
     groups = spark.createDataFrame([(f"g{i}", float(i % 5)) for i in range(60)], "group_id string, m double")
     r = bootstrap.intervals(groups, "group_id", {"m": bootstrap.weighted_mean("m")}, resamples=200).first()
     assert r["low"] < r["point"] == 2.0 < r["high"] and r["high"] - r["low"] < 1.5
-    assert bootstrap.numbered_draws(groups, "group_id", 3).groupBy("resample").count().collect()[0]["count"] == 60
 
 
 def test_hash_partition_is_the_big_number(spark):

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from contrail.functions.columns import redacted
+from contrail.functions.columns import redacted, stable_id
 from contrail.operators import audit, code_facts, edits, evidence, linking, selection
 from contrail.sources import tables
 from contrail.streaming import feedback as streams
@@ -61,40 +61,29 @@ def test_logs(spark):
     assert spark.range(1).select(redacted(F.lit("\n".join(map(str, range(60))))).alias("t")).first()["t"].split("\n") == [str(k) for k in range(10, 60)]
 
 
-PY = '''
-import requests
-from httpx import Client
-from .util import helper
-BASE = "https://payments.example.com"
-class Gate:
-    def pay(self, amount):
-        body = {"amount": amount, "card": {"no": 1}}
-        r = requests.post(f"{BASE}/payments/{amount}", json=body, params={"q": 1})
-        return r.json()["receipt"]["url"]
-    def twice(self):
-        self.pay(1)
-        helper()
-def main():
-    g = Gate()
-    g.pay(2)
-    with Client() as c:
-        c.get(BASE + "/x")
-'''
-
-
-def test_python_facts_and_links(spark):
-    files = spark.createDataFrame([("r", "app/main.py", PY), ("r", "app/util.py", "def helper():\n    pass\n"), ("r", "app/bad.py", "def (:")], "repo_id string, path string, content string")
-    facts = code_facts.python_facts(files).cache()
-    calls = {r["method"]: r for r in code_facts.python_calls(facts).collect()}
-    post = calls["post"]
-    assert (post["host"], post["path"], post["url_state"]) == ("payments.example.com", "/payments/{dynamic}", "PARTIAL")
-    assert post["request_fields"] == ["amount", "card", "card.no"] and post["query_parameters"] == ["q"] and "receipt.url" in post["response_fields"] and post["symbol"] == "Gate.pay"
-    assert calls["get"]["path"] == "/x" and calls["get"]["library"] == "httpx"
-    symbols = code_facts.python_symbols(facts)
-    edges, rest = linking.link(facts, symbols, linking.bindings(facts, linking.module_names(files.withColumnRenamed("path", "file"))))
+def test_links(spark):
+    fact = "repo_id string, file string, fact string, name string, kind string, owner string, line int, target string"
+    rows = [
+        ("app/main.py", "import", "helper", "name", None, 1, "app.util:helper"), ("app/main.py", "import", "util", "module", None, 2, "app.util"), ("app/main.py", "import", "gone", "name", None, 3, "nowhere:gone"),
+        ("app/main.py", "symbol", "Gate", "CLASS", None, 4, None), ("app/main.py", "symbol", "Gate.pay", "METHOD", None, 5, None), ("app/main.py", "symbol", "main", "FUNCTION", None, 9, None), ("app/util.py", "symbol", "helper", "FUNCTION", None, 1, None),
+        ("app/main.py", "call", "helper", "name", "main", 10, None), ("app/main.py", "call", "helper", "module", "Gate.pay", 6, "util"), ("app/main.py", "call", "Gate.pay", "self", "Gate.pay", 7, None), ("app/main.py", "call", "gone", "name", "main", 11, None),
+        ("app/main.py", "call", "x", "dynamic", "main", 12, None), ("app/bad.py", "error", "SyntaxError", None, None, 1, None),
+    ]
+    facts = spark.createDataFrame([("r", *r) for r in rows], fact)
+    files = spark.createDataFrame([("r", f) for f in ("app/main.py", "app/util.py", "app/bad.py")], "repo_id string, file string")
+    symbols = facts.filter("fact = 'symbol'").select("repo_id", "file", F.col("name").alias("qualified_name"), stable_id("symbol-", "repo_id", "file", "name").alias("symbol_id"))
+    edges, rest = linking.link(facts, symbols, linking.bindings(facts, linking.module_names(files)))
     names = {r["symbol_id"]: r["qualified_name"] for r in symbols.collect()}
-    assert {(names[r["caller_id"]], names[r["callee_id"]]) for r in edges.collect()} == {("Gate.twice", "Gate.pay"), ("Gate.twice", "helper"), ("main", "Gate.pay"), ("main", "Gate")}
-    assert linking.coverage(files, facts, edges, rest).first()["files_failed"] == 1
+    assert {(names[r["caller_id"]], names[r["callee_id"]]) for r in edges.collect()} == {("main", "helper"), ("Gate.pay", "helper"), ("Gate.pay", "Gate.pay")}
+    assert {r["name"]: r["reason"] for r in rest.collect()} == {"gone": "UNKNOWN_NAME", "x": "DYNAMIC_CALL"}
+    out = linking.coverage(files, facts, edges, rest).first()
+    assert (out["files_found"], out["files_failed"], out["files_parsed"], out["edges"], out["calls_unresolved"]) == (3, 1, 2, 3, 2)
+
+
+def test_lines_of_equal_calls(spark):
+    text = "// x\nfetch('/v')\n\nlet a = 1\nfetch('/v'); fetch('/v')\naxios.get(\n '/w')\nfetch('/v')"
+    rows = code_facts.script_calls(spark.createDataFrame([("r", "a.js", text), ("r", "b.js", None)], "repo_id string, path string, content string")).collect()
+    assert sorted((r["line"], r["path"]) for r in rows) == [(2, "/v"), (5, "/v"), (5, "/v"), (6, "/w"), (8, "/v")] and len({r["call_id"] for r in rows}) == 5
 
 
 def test_script_facts(spark):
