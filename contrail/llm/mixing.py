@@ -114,6 +114,18 @@ def position(served: Column, schedules=SCHEDULES) -> Column:
     return F.coalesce(out, F.lit(0.0))
 
 
+def courses(steps: int, schedules=SCHEDULES) -> list[list[float]]:
+    """For each schedule the part of its source that is served at 0, 1 / steps, ..., 1 of the run: its integral, scaled to end at 1."""
+    out = []
+    for knots in schedules:
+        t, w = (np.array(x, float) for x in zip(*knots, strict=True))
+        at = np.unique(np.concatenate([np.linspace(0, 1, steps + 1), t]))
+        level = np.interp(at, t, w)
+        area = np.concatenate([[0], np.cumsum(np.diff(at) * (level[1:] + level[:-1]) / 2)])
+        out.append([float(x) for x in np.interp(np.linspace(0, 1, steps + 1), at, area / area[-1])])
+    return out
+
+
 def occurrences(planned: DataFrame, max_repeat: float = 3, schedules=SCHEDULES) -> DataFrame:
     """One row for each time that a document is served, with epoch, words (taken then) and its own position."""
     epochs = planned.filter("taken > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(int(np.ceil(max_repeat)) - 1))))

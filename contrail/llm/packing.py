@@ -227,6 +227,22 @@ class Schedule:
             start, done, left = start + n, [a + b for a, b in zip(done, take, strict=True)], [a - b for a, b in zip(left, take, strict=True)]
         return Schedule(tuple(sizes), tuple(phases), window, quantum)
 
+    @staticmethod
+    def along(sizes: list[int], courses: list[Sequence[float]], window: int = WINDOW * SEQUENCE, quantum: int = MIN_RUN) -> Schedule:
+        """Shares that change: courses[k] has the part of source k that is served after each of equal steps of the run, from 0 to 1.
+
+        A step is a phase: in it, windows hold the sources in the proportions of what the courses serve there.
+        """
+        start, done, phases = 0, tuple(0 for _ in sizes), []
+        for step in range(1, len(courses[0]) if courses else 0):
+            last = step == len(courses[0]) - 1
+            upto = tuple(n if last else min(n, max(d, round(n * course[step]))) for n, d, course in zip(sizes, done, courses, strict=True))
+            take = tuple(b - a for a, b in zip(done, upto, strict=True))
+            if sum(take):
+                phases.append((start, max(1, -(-sum(take) // window)), done, take))
+                start, done = start + sum(take), upto
+        return Schedule(tuple(sizes), tuple(phases), window, quantum)
+
     def served(self, phase: int, source: int, window: int) -> int:
         """Tokens that the source has served in the phase when the window (0 to windows - 1) is full; 0 before window 0."""
         _, windows, _, take = self.phases[phase]
@@ -298,11 +314,12 @@ def _cut(schedule: Schedule, number: Mapping, size: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, weights: Mapping[str | None, float] | None = None, size: int = SEQUENCE, window: int = WINDOW, quantum: int = MIN_RUN, part: Column | None = None, repeating: Sequence[float] = ()) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, weights: Mapping[str | None, float] | None = None, size: int = SEQUENCE, window: int = WINDOW, quantum: int = MIN_RUN, part: Column | None = None, repeating: Sequence[float] = (), courses: Sequence[Sequence[float]] = ()) -> DataFrame:
     """Pieces of all documents (doc_id, source, text) in sequences of at most size tokens.
 
     weights: the sources' shares while they last (None: their own sizes); repeating: shares for the sources in code-point
-    order, null last, over and over. The driver holds one number for each source.
+    order, null last, over and over; courses: in that order, over and over, what part of a source is served as the run goes
+    on (Schedule.along). The driver holds one number for each source.
     """
     tokens = materialise(tokenised(docs, tokenizer, part), "packing-tokens")
     sums = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
@@ -310,7 +327,9 @@ def pack(docs: DataFrame, tokenizer: str, weights: Mapping[str | None, float] |
     names = sorted(totals, key=lambda x: (x is None, (x or "").encode()))
     if repeating:
         weights = {x: repeating[k % len(repeating)] for k, x in enumerate(names)}
-    schedule = Schedule.of([totals[x] for x in names], [weights.get(x, 0.0) for x in names] if weights else None, window * size, quantum)
+    sizes = [totals[x] for x in names]
+    schedule = Schedule.along(sizes, [courses[k % len(courses)] for k in range(len(names))], window * size, quantum) if courses else None
+    schedule = schedule or Schedule.of([totals[x] for x in names], [weights.get(x, 0.0) for x in names] if weights else None, window * size, quantum)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select(F.col("source").alias("_source"), F.col("part").alias("_part"), before.alias("_before"))
     placed = tokens.join(sums, F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("_part")))
