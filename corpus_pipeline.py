@@ -18,6 +18,8 @@ from contrail.llm.queries import tokenizer_file
 
 #: Rows that a scan may learn to leave out by broadcast; more are joined.
 BROADCAST_ROWS = 1_000_000
+#: Steps of the curriculum that packing follows.
+STEPS = 64
 
 
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
@@ -32,14 +34,21 @@ def _with_text(docs: DataFrame, columns: list[str], text: str) -> list:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that the rules' posterior finds good. Texts are counted once; null, empty and too short ones go."""
+    """Texts that the rules' posterior finds good. Texts are counted once, whole; null, empty and too short ones go.
+
+    Equal texts have equal verdicts; all columns are carried in one struct, so none can clash; an empty table stays empty.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     rows = materialise(quality_rules.with_counts(rows, "_doc.text"), "pipeline-counts")
     return quality_rules.judged(rows, quality_rules.learn(rows)).filter("kept").select("_doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
+    """One document of each group of near-duplicates, the one with the smallest id.
+
+    Null ids come before others; equal ids, as of repeated rows, are told apart by a row number, and one row stays. Texts
+    without words are linked with nothing and stay. Columns are carried in one struct; an empty table stays empty.
+    """
     rows = _numbered(docs, "pipeline-rows")
     found = neardup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text")))
     groups = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group"))
@@ -52,7 +61,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with surrogates for personal data."""
+    """Texts with surrogates for personal data; null texts stay null, equal texts get equal surrogates, no row goes.
+
+    Texts are read whole; columns are carried in one struct, and n_chars follows the text; an empty table stays empty.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     return pii.replace(rows, text="_doc.text").select(*_with_text(docs, docs.columns, "`_doc.text`"))
 
@@ -72,7 +84,11 @@ _first_words.__annotations__ = {"texts": pa.Array, "words": pa.Array, "return":
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix serves them, the last one of a source cut at its target, in training order."""
+    """Documents as often as the mix serves them, the last one of a source cut at its target, in training order.
+
+    Texts without words are never served. Null sources are one source, the last. Equal ids are ordered by a row number, so
+    repeated rows are served each. Columns are carried in one struct; an empty table stays empty.
+    """
     named = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     rows = materialise(mixing.sized(named).drop("text"), "pipeline-sized")
     planned = mixing.plan(rows.select("_row", "doc_id", "source", "size"), ties=["_row"])
@@ -85,13 +101,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences that hold the sources in the mix's proportions, each source served in training order.
+    """Pieces of sequences whose windows hold the sources as the curriculum wants them then, each source in training order.
 
-    That order is the one of the rows in the files of the stage before; Spark may deal the files out to tasks as it likes.
+    The run is cut into STEPS; in each, a source's tokens are its schedule's part of all it has. Sources take the schedules
+    in code-point order, as in the mix. Training order is the one of the rows in the files of the stage before; Spark may
+    deal the files out to tasks as it likes. Null and empty texts are one end token, repeated rows are packed each, very
+    long texts are cut over sequences, equal file names do not occur, an empty table packs to none; other columns are dropped.
     """
     at = docs.metadataColumn("_metadata") if docs.inputFiles() else None
     part = None if at is None else F.concat(at["file_name"], F.lit("#"), F.lpad(at["file_block_start"].cast("string"), 20, "0"))
-    return packing.pack(docs, tokenizer_file(), part=part)
+    return packing.pack(docs, tokenizer_file(), part=part, courses=mixing.courses(STEPS))
 
 
 STAGES = [
@@ -102,7 +121,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The posterior of the rules, sketches and tokenisation are beyond SQL; tests hold the stages against brute force.
+#: The posterior of the rules, sketches and tokenisation are beyond SQL.
 ORACLE_SQL = None
 
 
