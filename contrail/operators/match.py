@@ -49,8 +49,11 @@ def candidate_pairs(changes: DataFrame, calls: DataFrame) -> DataFrame:
     """M1, M2: changes and calls of equal method whose paths match segment by segment.
 
     A mask says which segments are variable. Each side joins the few masks of the other one of as many segments, blanks
-    the segments that either leaves open, and then the whole paths are equal: the join makes matches only.
+    the segments that either leaves open, and then the whole paths are equal: the join makes matches only. Calls that are a
+    stream are asked for no masks (see _open_pairs).
     """
+    if calls.isStreaming:
+        return _open_pairs(changes, calls)
     masked = lambda df, as_: df.withColumn("_p", segments(F.col("path"))).select(F.lower("method").alias("_m"), F.size("_p").alias("_n"), _mask(F.col("_p")).alias(as_), "_p", F.struct(*df.columns).alias("_row"))
     a, b = masked(changes, "_a"), masked(calls.filter(F.col("url_state").isin("EXACT", "PARTIAL")), "_b")
     keyed = lambda df, other, mask: df.join(other.select("_n", mask).distinct(), "_n").select("_m", "_a", "_b", _blanked(F.col("_p"), "_a", "_b").alias("_key"), "_row")
