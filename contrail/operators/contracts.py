@@ -6,6 +6,7 @@ Documents are JSON text (api_id, version_no, text); they stay VARIANT until thei
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,14 +42,21 @@ def _elements(rows: DataFrame, value: str, position: str, out: str) -> DataFrame
 def rejects(docs: DataFrame) -> DataFrame:
     """(api_id, version_no, reasons) of documents that break a rule; an empty array is an accepted document."""
     rows = parsed(docs)
-    paths = F.map_keys(_get("doc", "$.paths", "map<string,variant>"))
+    listed = _get("doc", "$.paths", "map<string,variant>")
+    paths, items = F.map_keys(listed), F.map_values(listed)
+    no = F.lit(False)
+    optional = lambda item, at: F.coalesce(F.exists(_get(item, at, "array<variant>"), lambda p: (_get(p, "$.in", "string") == "path") & ~F.coalesce(_get(p, "$.required", "boolean"), no)), no)
+    silent = lambda item, m: _get(item, f"$.{m}", "variant").isNotNull() & (F.coalesce(F.cardinality(_get(item, f"$.{m}.responses", "map<string,variant>")), F.lit(0)) <= 0)
+    either = lambda conditions: reduce(lambda a, b: a | b, conditions)
     rules = (
         (F.col("doc").isNull(), "UNPARSABLE"),
-        (~F.coalesce(_get("doc", "$.openapi", "string").rlike(r"^3\.\d+(\.\d+)?"), F.lit(False)), "VERSION"),
+        (~F.coalesce(_get("doc", "$.openapi", "string").rlike(r"^3\.\d+(\.\d+)?([-+][A-Za-z0-9.-]+)?$"), no), "VERSION"),
         (F.coalesce(F.trim(_get("doc", "$.info.title", "string")), F.lit("")) == "", "TITLE"),
         (F.coalesce(F.trim(_get("doc", "$.info.version", "string")), F.lit("")) == "", "INFO_VERSION"),
         (paths.isNull(), "PATHS"),
         (F.exists(paths, lambda p: ~p.startswith("/") | p.rlike(r"\s")), "PATH_FORM"),
+        (F.exists(items, lambda item: either(optional(item, at) for at in ("$.parameters", *(f"$.{m}.parameters" for m in METHODS)))), "PATH_PARAMETER"),
+        (F.exists(items, lambda item: either(silent(item, m) for m in METHODS)), "RESPONSES"),
     )
     return rows.select(*KEYS, F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for c, code in rules])).alias("reasons"))
 

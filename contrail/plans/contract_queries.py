@@ -44,11 +44,19 @@ def _documents(spark: SparkSession, sf_dir: str, fresh: bool) -> DataFrame:
     return table(spark, sf_dir, "part").select(k.cast("string").alias("api_id"), F.lit(2 if fresh else 1).alias("version_no"), F.lit("json").alias("format"), _filled(_DOC, parts).alias("text"))
 
 
-@query("""SELECT CAST(p_partkey AS VARCHAR) AS api_id, array_to_string(list_filter([CASE WHEN p_partkey % 16 = 0 THEN 'VERSION' END], lambda x: x IS NOT NULL), ',') AS reasons, 'api' || p_partkey % 7 || '.example.com' AS hosts FROM part""")
+@query("""WITH p AS (SELECT p_partkey AS k FROM part), r AS (SELECT k, CASE WHEN k % 23 = 0 THEN ['UNPARSABLE', 'VERSION', 'TITLE', 'INFO_VERSION', 'PATHS'] ELSE list_filter([CASE WHEN k % 16 = 0 THEN 'VERSION' END, CASE WHEN k % 18 = 0 THEN 'TITLE' END, CASE WHEN k % 19 = 0 THEN 'INFO_VERSION' END,
+  CASE WHEN k % 21 = 0 THEN 'PATHS' END, CASE WHEN k % 21 > 0 AND k % 17 = 0 THEN 'PATH_FORM' END, CASE WHEN k % 21 > 0 AND k % 22 = 0 THEN 'PATH_PARAMETER' END, CASE WHEN k % 21 > 0 AND k % 20 = 0 THEN 'RESPONSES' END], lambda x: x IS NOT NULL) END AS reasons FROM p)
+SELECT CAST(k AS VARCHAR) AS api_id, array_to_string(reasons, ',') AS reasons, CASE WHEN k % 23 = 0 THEN '' ELSE 'api' || k % 7 || '.example.com' END AS hosts FROM r""")
 def contract_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Broken rules and server hosts of each document (a title of t and a blank is a title)."""
-    docs = _documents(spark, sf_dir, False)
-    return contracts.rejects(docs).join(contracts.server_hosts(docs), ["api_id"]).select("api_id", F.array_join("reasons", ",").alias("reasons"), F.array_join("hosts", ",").alias("hosts"))
+    """Broken rules and server hosts of each document; documents break the eight rules in turn."""
+    k, text = F.col("api_id").cast("long"), F.col("text")
+    change = lambda text, n, old, new: F.when(k % n == 0, F.replace(text, F.lit(old), F.lit(new))).otherwise(text)
+    text = F.when(k % 20 == 0, text).otherwise(F.replace(text, F.lit('"responses":{}'), F.lit('"responses":{"200":{}}')))
+    for n, old, new in ((18, '"title":"t', '"title":"'), (19, '"version":"1"', '"version":""'), (21, '"paths":', '"ways":'), (17, '"/items/{id}"', '"items/{id}"'), (22, '"in":"path","required":true', '"in":"path"')):
+        text = change(text, n, old, new)
+    docs = _documents(spark, sf_dir, False).withColumn("text", F.when(k % 23 == 0, F.lit('{"openapi')).otherwise(text))
+    hosts = contracts.server_hosts(docs).select("api_id", F.array_join("hosts", ",").alias("hosts"))
+    return contracts.rejects(docs).join(hosts, "api_id", "left").select("api_id", F.array_join("reasons", ",").alias("reasons"), F.coalesce("hosts", F.lit("")).alias("hosts"))
 
 
 @query("""WITH s AS (SELECT CAST(p_partkey AS VARCHAR) AS api_id, CASE WHEN p_partkey % 4 = 0 THEN 'key:a+b' ELSE '' END AS root FROM part)
