@@ -123,19 +123,21 @@ def components(docs: DataFrame) -> DataFrame:
 def resolve(nodes: DataFrame, known: DataFrame) -> DataFrame:
     """Follow references in column schema; what stays (cycles, external or dangling targets) is in ref, with trail.
 
-    Chains are followed to their end: a target met twice ends one, so the loop does too.
+    Nodes are written once; only those that hold a reference go round, until a target is met twice or is none.
     """
-    out = nodes.withColumn("trail", F.array().cast("array<string>")).withColumn("ref", _get("schema", "$['$ref']", "string"))
-    while True:
-        hop = out.join(known.withColumnRenamed("pointer", "ref"), [*KEYS, "ref"], "left")
+    begun = nodes.withColumn("trail", F.array().cast("array<string>")).withColumn("ref", _get("schema", "$['$ref']", "string"))
+    out = written(begun, "references")
+    done, follow = out.filter("ref is null"), out.filter("ref is not null")
+    while not follow.isEmpty():
+        hop = follow.join(known.withColumnRenamed("pointer", "ref"), [*KEYS, "ref"], "left")
         go = F.col("target").isNotNull() & ~F.array_contains("trail", F.col("ref"))
         hop = hop.withColumn("moved", go).withColumn("schema", F.when(go, F.col("target")).otherwise(F.col("schema")))
         hop = hop.withColumn("trail", F.when(F.col("moved"), F.array_append("trail", F.col("ref"))).otherwise(F.col("trail")))
         hop = hop.withColumn("ref", F.when(F.col("moved"), _get("schema", "$['$ref']", "string")).otherwise(F.col("ref")))
-        out = written(hop.drop("target"), "references")
-        if out.filter("moved and ref is not null").isEmpty():
-            return out.drop("moved")
-        out = out.drop("moved")
+        hop = written(hop.drop("target"), "references")
+        done = done.unionByName(hop.filter("not moved or ref is null").drop("moved"))
+        follow = hop.filter("moved and ref is not null").drop("moved")
+    return done
 
 
 def _below(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -170,7 +172,7 @@ def schema_nodes(docs: DataFrame) -> DataFrame:
     keys = [*KEYS, "path", "method", "context", "code", "media_type"]
     out = None
     while True:
-        front = written(front.withColumn("cycle", F.size(F.array_intersect("above", "trail")) > 0), "nodes")
+        front = front.withColumn("cycle", F.size(F.array_intersect("above", "trail")) > 0)
         level = _normal(front, keys)
         out = level if out is None else out.unionByName(level)
         front = resolve(_below(front.filter("not cycle").withColumn("above", F.array_union("above", "trail")), keys), known)
