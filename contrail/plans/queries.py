@@ -521,4 +521,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.assess(s).select("c_nationkey", "direct", "indirect", "max_distance", "risk_score", "risk_level")
 
 
-from . import contract_queries, evidence_queries, feature_queries, graph_queries, model_queries, policy_queries, stream_queries  # noqa: E402, F401  they register their queries
+from . import contract_queries, edit_queries, evidence_queries, feature_queries, graph_queries, model_queries, policy_queries, stream_queries  # noqa: E402, F401  they register their queries
