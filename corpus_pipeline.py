@@ -6,8 +6,8 @@ of packed sequences. Rows need no unique ids: stages that bring decisions back t
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,17 +69,24 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return pii.replace(rows, text="_doc.text").select(*_with_text(docs, docs.columns, "`_doc.text`"))
 
 
+def _squeezed(texts: pa.Array) -> pa.Array:
+    """Texts as Zstandard frames: what two shuffles carry."""
+    packer = zstandard.ZstdCompressor(level=3)
+    return pa.array([packer.compress(x.as_py().encode()) if x.is_valid else None for x in texts], pa.binary())
+
+
 def _first_words(texts: pa.Array, words: pa.Array) -> pa.Array:
-    out = []
-    for text, k in zip(texts, words.to_pylist(), strict=True):
-        if not text.is_valid:
-            out.append(None)
-            continue
-        one = Words(pa.array([text], texts.type))
-        out.append(one.data[: one.end[k - 1]].tobytes().decode())
-    return pa.array(out, pa.string())
+    """Frames as texts again, cut after so many words; null words leave them whole."""
+    out, unpacker = [], zstandard.ZstdDecompressor()
+    for frame, k in zip(texts, words.to_pylist(), strict=True):
+        text = unpacker.decompress(frame.as_py()) if frame.is_valid else None
+        if text is not None and k is not None:
+            text = text[: Words(pa.array([text], pa.binary())).end[k - 1]]
+        out.append(text)
+    return pa.array(out, pa.binary()).cast(pa.string())
 
 
+_squeezed.__annotations__ = {"texts": pa.Array, "return": pa.Array}
 _first_words.__annotations__ = {"texts": pa.Array, "words": pa.Array, "return": pa.Array}
 
 
@@ -89,14 +96,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are never served. Null sources are one source, the last. Equal ids are ordered by a row number, so
     repeated rows are served each. Columns are carried in one struct; an empty table stays empty.
     """
-    named = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_doc")
+    named = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "source", "text", F.arrow_udf(_squeezed, "binary")("text").alias("_frame"), others)
     rows = materialise(mixing.sized(named).drop("text"), "pipeline-sized")
     planned = mixing.plan(rows.select("_row", "doc_id", "source", "size"), ties=["_row"])
     served = mixing.occurrences(planned).select("_row", "position", "epoch", "words")
-    whole = rows.select("_row", "size", "_doc").join(served, "_row")
-    cut = F.col("words") < F.col("size")
-    text = F.when(cut, F.arrow_udf(_first_words, "string")(F.when(cut, F.col("_doc.text")), F.col("words"))).otherwise(F.col("_doc.text"))
-    ordered = mixing.in_order(whole.select("_doc", "size", "words", "position", "epoch", "_row"), "_row", "epoch")
+    whole = rows.select("_row", "size", "_frame", "_doc").join(served, "_row")
+    ordered = mixing.in_order(whole.select("_frame", "_doc", "size", "words", "position", "epoch", "_row"), "_row", "epoch")
+    text = F.arrow_udf(_first_words, "string")("_frame", F.when(F.col("words") < F.col("size"), F.col("words")))
     return ordered.select(text.alias("_text"), "_doc").select(*_with_text(docs, docs.columns, "_text"))
 
 
