@@ -63,7 +63,7 @@ def screened_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT 'equal' AS frozen, n_nationkey FROM nation")
-def opened_seals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def seal_opened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nations under a seal of their own digest, and under one of another table, which stays shut."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     current = verified.root(verified.merkle(nation, "n_nationkey")).select("content_sha256")
