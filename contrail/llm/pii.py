@@ -4,12 +4,14 @@ Detected entities are replaced by keyed surrogates of the same kind: digits for
 numbers stay valid if they were), addresses for addresses, mail names of the same shape, secrets of the same character
 classes, person names of the same gender and script. An entity is its canonical form (lower case, digits only, a name
 without its title, ...), so that all mentions of it, in whatever format and document, get one surrogate: coreference holds.
-Within a document, the full name or a part of it stands for a person who is named in full there, with or without a title.
+A full name that the corpus has anywhere after a title or with a listed given name is looked up in every document.
+Within a document, the full name or a part of it stands for a person who is named in full there, with or without a title;
+a part alone is not replaced after "a" or "an", nor in upper case unless the text has the person in upper case.
 A person's gender is the one that a title tells anywhere in the corpus, else the given name's. Distinct entities keep
 distinct surrogates: Spark collects the corpus's entities as a table, draws a surrogate for each, and draws again, with the
 next counter, for those whose surrogate is another entity's surrogate or a real entity of the corpus, until none is.
 
-Persons are detected after a title or by a listed given name; names that have neither are not.
+Persons whose full name the corpus has nowhere after a title or with a listed given name are not detected.
 Very long texts are searched whole. Ties: of two persons in a document who share a part of their names, the part alone
 stands for the first. Null texts stay null, empty ones empty, texts without an entity are returned as they are. Repeated rows get equal results.
 An empty table gives an empty result. Extra columns pass through; a column that has the name of a result is replaced.
@@ -21,7 +23,8 @@ import bisect
 import hashlib
 import hmac
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Container, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,8 +34,8 @@ from ._store import materialise
 from ._text import steps, text_udf
 
 KEY = b"surrogates"
-#: Redrawn entities that tasks get as a plain table; with more of them, they are joined to the texts.
-PLAIN_TABLE = 20_000
+#: Redrawn entities and full names that tasks get as a plain table (some 10 MB at most); with more of them, they are joined to the texts.
+PLAIN_TABLE = 100_000
 
 #: Titles by gender.
 TITLES = {"m": ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "господин", "Κύριος"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "госпожа", "Κυρία"), "n": ("Dr", "Prof", "Mx")}
@@ -61,7 +64,7 @@ _CAPITAL = r"[^\W\d_a-zа-яα-ω][^\W\d_]+"
 #: Beginnings of well-known kinds of keys.
 _KEYS = r"AKIA[0-9A-Z]{16}|gh[pousr]_\w{36,}|xox[abprs]-[\w-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]*|-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
 ENTITY = re.compile(
-    rf"""(?P<secret>(?i:(?<![A-Za-z0-9])(?:{_SECRET}))["']?\s*[:=]\s*(?:"(?P<quoted>[^"\n]{{6,}})"|'(?P<single>[^'\n]{{6,}})'|["']?(?P<value>[\w\-./+]{{8,}}[^\s"',;<>)]*)))
+    rf"""(?P<secret>(?ai:(?<![A-Za-z0-9])(?:{_SECRET}))["']?\s*[:=]\s*(?:"(?P<quoted>[^"\n]{{6,}})"|'(?P<single>[^'\n]{{6,}})'|["']?(?P<value>[\w\-./+]{{8,}}[^\s"',;<>)]*)))
     |(?P<bare>(?<![A-Za-z0-9])(?:{_KEYS}))
     |(?P<email>(?<![\w.+-])[\w.+%-]{{1,64}}@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{{2,24}})
     |(?P<iban>\b[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?\b)
@@ -77,11 +80,16 @@ _SIGN, _NAME = re.compile(r"[@\d]"), re.compile(r"[A-Z\u00c0-\u00de\u0370-\u03ff
 _NAMES = frozenset(x for names in [*TITLES.values(), *GIVEN.values()] for x in names)
 _PLAIN = ("::", "-----BEGIN", "eyJ", "xox", "AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", *sorted(x for x in _NAMES if not _NAME.fullmatch(x)))
 _WORDS = ("token", "secret", "passw", "api", "access", "auth")
+_GROUPS = re.compile(r"[A-Fa-f]:[A-Fa-f]{1,4}:")
+_WORD = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(rf"\b{_CAPITAL}(?:[ -]{_CAPITAL})+")
+#: Articles after which a part of a name is a common word.
+_ARTICLES = re.compile(r"(?<!\w)(?:a|an)\s\Z", re.IGNORECASE)
 
 
 def may_hold(text: str) -> bool:
     """False for most texts without an entity, by searches much faster than ENTITY; never for one that holds any."""
-    if _SIGN.search(text) or any(x in text for x in _PLAIN) or not _NAMES.isdisjoint(_NAME.findall(text)):
+    if _SIGN.search(text) or (text.count(":") > 6 and _GROUPS.search(text)) or any(x in text for x in _PLAIN) or not _NAMES.isdisjoint(_NAME.findall(text)):
         return True
     low = text.lower()
     return any(x in low for x in _WORDS)
@@ -91,18 +99,16 @@ KINDS = ("secret", "bare", "email", "iban", "ip", "ipv6", "phone", "ssn", "card"
 _TOLD = {title: gender for gender, titles in TITLES.items() for title in titles if gender != "n"}
 
 
-def mentions(text: str) -> list[tuple[int, int, str, str]]:
+def mentions(text: str, names: Container[str] = ()) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of the entities of a text, in order; start to end is what gets replaced."""
-    return [x[:4] for x in found(text)]
+    return [x[:4] for x in found(text, names)]
 
 
-def found(text: str) -> list[tuple[int, int, str, str, str | None]]:
-    """mentions with the gender that a title tells."""
+def found(text: str, names: Container[str] = ()) -> list[tuple[int, int, str, str, str | None]]:
+    """mentions with the gender that a title tells; names are full names of persons that are looked up as well."""
     out: list[tuple[int, int, str, str, str | None]] = []
-    if not may_hold(text):
-        return out
     persons = False
-    for m in ENTITY.finditer(text):
+    for m in ENTITY.finditer(text) if may_hold(text) else ():
         kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k] is not None)
         if kind == "secret":
             group = next(g for g in ("quoted", "single", "value") if m[g] is not None)
@@ -116,25 +122,58 @@ def found(text: str) -> list[tuple[int, int, str, str, str | None]]:
             out.append((*m.span(), kind, re.sub(r"\D", "", m[0]), None))
         else:
             out.append((*m.span(), kind, m[0].replace(" ", "").upper() if kind == "iban" else m[0].lower(), None))
+    if names:
+        taken = [x[:2] for x in out]
+        known = [(a, b, "person", name, None) for a, b, name in _runs(text, names) if _is_free(taken, a, b)]
+        out, persons = sorted(out + known) if known else out, persons or bool(known)
     return _coreferent(text, out) if persons else out
 
 
+def _runs(text: str, names: Container[str] | None) -> Iterator[tuple[int, int, str]]:
+    """(start, end, full name) where two or three capitalised words in a row are one of names, the longest first; None: all of them."""
+    for m in _RUN.finditer(text):
+        words = [(m.start() + w.start(), m.start() + w.end()) for w in _WORD.finditer(m[0])]
+        low, at = m[0].casefold(), 0
+        plain = len(low) == len(m[0])
+        while at + 1 < len(words):
+            step = 1
+            for n in (3, 2):
+                if at + n <= len(words):
+                    a, b = words[at][0], words[at + n - 1][1]
+                    name = low[a - m.start() : b - m.start()] if plain else text[a:b].casefold()
+                    if names is None:
+                        yield a, b, name
+                    elif name in names:
+                        yield a, b, name
+                        step = n
+                        break
+            at += step
+
+
+def _is_free(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    place = bisect.bisect_right(taken, (start, sys.maxsize))
+    return (place == 0 or taken[place - 1][1] <= start) and (place == len(taken) or taken[place][0] >= end)
+
+
 def _coreferent(text: str, out: list) -> list:
     """Parts of a name that stands in full somewhere in the text are that person, wherever they stand."""
     whole: dict[str, str] = {}
-    for *_, kind, name, _ in out:
+    upper = set()
+    for a, b, kind, name, _ in out:
         if kind == "person" and " " in name:
             for x in (name, *(p for p in name.split() if len(p) > 2)):
                 whole.setdefault(x, name)
+                if text[a:b].isupper():
+                    upper.add(x)
     if not whole:
         return out
     out = [(a, b, kind, whole.get(x, x) if kind == "person" else x, told) for a, b, kind, x, told in out]
     taken, known = [(a, b) for a, b, *_ in out], re.compile(r"(?<!\w)(?:" + "|".join(re.escape(x).replace(r"\ ", r"\s") for x in sorted(whole, key=len, reverse=True)) + r")(?!\w)", re.IGNORECASE)
     for m in known.finditer(text):
-        place = bisect.bisect_right(taken, (m.start(), len(text)))
-        free = (place == 0 or taken[place - 1][1] <= m.start()) and (place == len(taken) or taken[place][0] >= m.end())
-        if free and m[0][0].isupper():
-            out.append((*m.span(), "person", whole[" ".join(m[0].casefold().split())], None))
+        name = " ".join(m[0].casefold().split())
+        common = " " not in name and ((m[0].isupper() and name not in upper) or _ARTICLES.search(text, max(0, m.start() - 4), m.start()))
+        if m[0][0].isupper() and not common and _is_free(taken, *m.span()):
+            out.append((*m.span(), "person", whole[name], None))
     return sorted(out)
 
 
@@ -234,10 +273,15 @@ def render(mention: str, kind: str, canonical: str, of: str = "") -> str:
     return canonical.upper() if mention.isupper() and kind == "email" else canonical
 
 
-def rewrite(text: str, redrawn: dict[tuple[str, str], str], key: bytes = KEY) -> tuple[str, list[str]]:
+def full_names(table: Iterable[tuple[str, str]]) -> frozenset[str]:
+    """The persons of (kind, entity) who are known by more than one word."""
+    return frozenset(entity for kind, entity in table if kind == "person" and (" " in entity or "-" in entity))
+
+
+def rewrite(text: str, redrawn: dict[tuple[str, str], str], key: bytes = KEY, names: Container[str] = ()) -> tuple[str, list[str]]:
     """(text with surrogates, kinds of the entities replaced)."""
     out, at, kinds = [], 0, []
-    for start, end, kind, canonical in mentions(text):
+    for start, end, kind, canonical in mentions(text, names):
         new = redrawn.get((kind, canonical)) or surrogate(kind, canonical, 0, key)
         out += [text[at:start], render(text[start:end], kind, new, canonical)]
         at = end
@@ -280,7 +324,8 @@ def entity_table(docs: DataFrame, key: bytes = KEY, text: str = "text") -> DataF
 
 def replace(docs: DataFrame, key: bytes = KEY, text: str = "text", plain_table: int = PLAIN_TABLE) -> DataFrame:
     """docs with surrogates in the text column, and pii_kinds, the kinds of the entities that were replaced."""
-    redrawn = entity_table(docs, key, text).filter("attempt > 0 or told is not null").select("kind", "entity", "surrogate")
+    needed = "attempt > 0 or told is not null or (kind = 'person' and entity rlike '[ -]')"
+    redrawn = entity_table(docs, key, text).filter(needed).select("kind", "entity", "surrogate")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "pii_kinds")]
     some = redrawn.limit(plain_table + 1).collect()
     returns = "struct<text:string,kinds:array<string>>"
@@ -290,19 +335,20 @@ def replace(docs: DataFrame, key: bytes = KEY, text: str = "text", plain_table:
 
     if len(some) <= plain_table:
         table = {(r["kind"], r["entity"]): r["surrogate"] for r in some}
-        column = text_udf(lambda texts: result([rewrite(x, table, key) if x else (x, []) for x in texts.to_pylist()]), returns)
+        names = full_names(table)
+        column = text_udf(lambda texts: result([rewrite(x, table, key, names) if x else (x, []) for x in texts.to_pylist()]), returns)
         out = docs.select(*kept, column(F.col(text)).alias("_new"))
     else:
 
         def rewrite_all(texts: pa.Array, tables: pa.Array) -> pa.Array:
             known = [{(e["kind"], e["entity"]): e["surrogate"] for e in x or []} for x in tables.to_pylist()]
-            return result([rewrite(x, t, key) if x else (x, []) for x, t in zip(texts.to_pylist(), known, strict=True)])
+            return result([rewrite(x, t, key, full_names(t)) if x else (x, []) for x, t in zip(texts.to_pylist(), known, strict=True)])
 
         rewrite_all.__annotations__ = {"texts": pa.Array, "tables": pa.Array, "return": pa.Array}
 
         def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in steps(batches):
-                found = sorted({(i, k, c) for i, x in zip(batch.column("_text_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if x for _, _, k, c in mentions(x)})
+                found = sorted({(i, k, c) for i, x in zip(batch.column("_text_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if x for k, c in [*(m[2:] for m in mentions(x)), *(("person", name) for *_, name in _runs(x, None))]})
                 if found:
                     yield pa.RecordBatch.from_pydict({"_text_id": [x[0] for x in found], "kind": [x[1] for x in found], "entity": [x[2] for x in found]})
 
