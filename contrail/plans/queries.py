@@ -176,16 +176,6 @@ def _order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EDGES = "SELECT o_custkey AS caller, lead(o_custkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS callee FROM orders"
 
 
-@query(f"""
-WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({_EDGES}) WHERE callee IS NOT NULL),
-r(symbol_id, seed_id, d) AS (SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey % 97 = 0 UNION SELECT e.caller, r.seed_id, r.d + 1 FROM r JOIN e ON e.callee = r.symbol_id WHERE r.d < 2)
-SELECT symbol_id, seed_id, CAST(min(d) AS INTEGER) AS distance FROM r GROUP BY ALL
-""")
-def callers_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = table(spark, sf_dir, "customer").filter("c_custkey % 97 = 0").select(F.col("c_custkey").alias("symbol_id"))
-    return graph.propagate(seeds, _order_edges(spark, sf_dir), rounds=2).select("symbol_id", "seed_id", "distance")
-
-
 @query("""
 WITH c AS (SELECT c_nationkey AS nation, CAST(c_custkey % 6 AS INTEGER) AS distance, c_acctbal FROM customer),
 s AS (SELECT nation, count(*) FILTER (distance = 0) AS direct, count(*) FILTER (distance > 0) AS indirect, max(distance) AS max_distance FROM c GROUP BY nation),

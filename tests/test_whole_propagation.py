@@ -1,5 +1,7 @@
 """Propagation from all seeds to the fixpoint against a plain search."""
 
+from pyspark.sql import functions as F
+
 from contrail.operators import graph
 from contrail.plans import queries as plans
 
@@ -27,3 +29,15 @@ def test_flagship_covers_all_touched_customers(spark, sf):
     assert {r[0]: r[1] for r in plans.QUERIES["callers_distance"](spark, sf).collect()} == found
     rows = plans.flagship(spark, sf).collect()
     assert sum(r["direct"] for r in rows) == len(seeds) and sum(r["direct"] + r["indirect"] for r in rows) == len(found)
+
+
+def test_paths_pass_more_levels_than_tables_of_pairs(spark):
+    n = 3 * graph.MERGED
+    links = [(k + 1, k) for k in range(n)] + [(k + 2, k) for k in range(0, n - 1, 5)] + [(0, n)]
+    edges = spark.createDataFrame([(a, b, f"e{a}-{b}") for a, b in links], "caller_id long, callee_id long, edge_id string").withColumn("state", F.lit("EXACT"))
+    rows = graph.propagate(spark.createDataFrame([(0,), (7,)], "symbol_id long"), edges).collect()
+    assert {(r["symbol_id"], r["seed_id"]): r["distance"] for r in rows} == {(k, s): d for s in (0, 7) for k, d in search({s}, links).items()}
+    for r in rows:
+        steps = list(zip(map(int, r["path"][1:]), map(int, r["path"]), strict=False))
+        assert len(steps) == r["distance"] and set(steps) <= set(links) and r["edge_ids"] == [f"e{a}-{b}" for a, b in steps]
+        assert (int(r["path"][0]), int(r["path"][-1])) == (r["seed_id"], r["symbol_id"])
