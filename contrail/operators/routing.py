@@ -110,7 +110,7 @@ def best_scores(scores: DataFrame, ties: str = "order") -> DataFrame:
 def abstaining(contexts: DataFrame, scores: DataFrame) -> DataFrame:
     """(context_id, chosen, code): nothing applies, nothing scores 0 or more, or the best that does."""
     open_ = contexts.select("context_id", "no_repair_required", applicable().alias("options"))
-    hit = open_.join(scores, "context_id", "left").withColumn("ok", F.coalesce(F.array_contains("options", F.col("strategy")) & ~F.isnan("score"), F.lit(False)))
+    hit = open_.join(scores.hint("merge"), "context_id", "left").withColumn("ok", F.coalesce(F.array_contains("options", F.col("strategy")) & ~F.isnan("score"), F.lit(False)))
     g = hit.groupBy("context_id").agg(F.first("options").alias("options"), F.bool_or("no_repair_required").alias("none"), F.max_by("strategy", F.when(F.col("ok") & (F.col("score") >= 0), F.struct("score", "strategy"))).alias("best"), F.count_if(F.col("ok") & (F.col("score") >= 0)).alias("n"))
     chosen = F.when(F.col("none"), "NO_AI").when(F.col("n") > 0, F.col("best")).otherwise(NO_FEASIBLE)
     code = F.when(F.col("none") | (F.col("n") > 0), None).when(F.size("options") == 0, "STRUCTURAL_NO_FEASIBLE").otherwise("LEARNED_ABSTENTION")
@@ -128,11 +128,13 @@ def evaluated(chosen: DataFrame, rows: DataFrame) -> DataFrame:
     """Decisions with outcome, cost, latency, objective_satisfied and regret.
 
     Abstaining is right only where nothing is feasible; regret is the cost over the preferred strategy's, if satisfied.
+    Every side has rows for each group, so all joins are merge joins: by the size of the files that groups are derived from,
+    Spark would take them for small and send them whole through the driver.
     """
     oracle = preferred(rows).drop("feasible")
     own = rows.select("decision_group_id", F.col("strategy").alias("chosen"), "outcome", "cost", "latency", "quality")
     cheapest = rows.select("decision_group_id", F.col("strategy").alias("preferred"), F.col("cost").alias("oracle_cost"))
-    out = chosen.join(oracle, "decision_group_id", "left").join(own, ["decision_group_id", "chosen"], "left").join(cheapest, ["decision_group_id", "preferred"], "left")
+    out = chosen.join(oracle.hint("merge"), "decision_group_id", "left").join(own.hint("merge"), ["decision_group_id", "chosen"], "left").join(cheapest.hint("merge"), ["decision_group_id", "preferred"], "left")
     met = F.when(F.col("chosen") == NO_FEASIBLE, F.col("preferred") == NO_FEASIBLE).otherwise(feasible())
     out = out.withColumn("objective_satisfied", met)
     return out.withColumn("regret", F.when(F.col("objective_satisfied"), F.when(F.col("chosen") == NO_FEASIBLE, 0.0).otherwise(F.col("cost") - F.col("oracle_cost"))))
