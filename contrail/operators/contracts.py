@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import url_host
@@ -34,16 +34,15 @@ def _entries(rows: DataFrame, value: str, key: str, out: str) -> DataFrame:
     return rows.select(*kept, F.explode(listed).alias("_e")).select(*kept, F.col("_e.key").alias(key), F.col("_e.value").alias(out))
 
 
-def _elements(rows: DataFrame, value: str, position: str, out: str) -> DataFrame:
-    kept = [F.col(c) for c in rows.columns if c != value]
-    return rows.select(*kept, F.posexplode(F.try_variant_get(F.col(value), "$", "array<variant>")).alias(position, out))
+def _joined(*lists: Column) -> Column:
+    """Some arrays as one; null ones are left out. What they hold is exploded in one pass over the rows."""
+    return F.flatten(F.array_compact(F.array(*lists)))
 
 
 def rejects(docs: DataFrame) -> DataFrame:
     """(api_id, version_no, reasons) of documents that break a rule; an empty array is an accepted document."""
-    rows = parsed(docs)
-    listed = _get("doc", "$.paths", "map<string,variant>")
-    paths, items = F.map_keys(listed), F.map_values(listed)
+    rows = parsed(docs).withColumn("_listed", _get("doc", "$.paths", "map<string,variant>")).withColumns({"_paths": F.map_keys("_listed"), "_items": F.map_values("_listed")})
+    paths, items = F.col("_paths"), F.col("_items")
     no = F.lit(False)
     optional = lambda item, at: F.coalesce(F.exists(_get(item, at, "array<variant>"), lambda p: (_get(p, "$.in", "string") == "path") & ~F.coalesce(_get(p, "$.required", "boolean"), no)), no)
     silent = lambda item, m: _get(item, f"$.{m}", "variant").isNotNull() & (F.coalesce(F.cardinality(_get(item, f"$.{m}.responses", "map<string,variant>")), F.lit(0)) <= 0)
@@ -84,23 +83,26 @@ def _security(value: Column) -> Column:
 def parameters(docs: DataFrame) -> DataFrame:
     """Parameters of each operation; of one (name, location) the operation's entry wins over the path's."""
     rows = parsed(docs).select(*KEYS, _get("doc", "$.paths", "variant").alias("paths"))
-    items = _entries(rows, "paths", "path", "item")
-    shared = items.select(*KEYS, "path", F.map_keys(_get("item", "$", "map<string,variant>")).alias("names"), _get("item", "$.parameters", "variant").alias("list"))
-    shared = shared.withColumn("method", F.explode(F.filter("names", lambda n: F.lower(n).isin(*METHODS)))).drop("names")
-    own = _entries(items, "item", "method", "op").filter(F.lower("method").isin(*METHODS)).select(*KEYS, "path", "method", _get("op", "$.parameters", "variant").alias("list"))
-    both = _elements(shared, "list", "at", "p").withColumn("level", F.lit("path")).unionByName(_elements(own, "list", "at", "p").withColumn("level", F.lit("operation")))
-    typed = both.select(*KEYS, "path", F.lower("method").alias("method"), _get("p", "$.name", "string").alias("name"), _get("p", "$.in", "string").alias("location"), F.coalesce(_get("p", "$.required", "boolean"), F.lit(False)).alias("required"), "level", F.lpad(F.col("at").cast("string"), 4, "0").alias("ordinal"))
-    last = Window.partitionBy(*KEYS, "path", "method", "name", "location").orderBy("level", F.desc("ordinal"))
-    return typed.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
+    items = _entries(rows, "paths", "path", "item").withColumn("shared", _get("item", "$.parameters", "array<variant>"))
+    own = _entries(items, "item", "method", "op").filter(F.lower("method").isin(*METHODS))
+    listed = lambda list_, level: F.transform(list_, lambda p, at: F.struct(F.lit(level).alias("level"), at.alias("at"), p.alias("p")))
+    both = own.select(*KEYS, "path", F.lower("method").alias("method"), F.explode(_joined(listed(F.col("shared"), "path"), listed(_get("op", "$.parameters", "array<variant>"), "operation"))).alias("e"))
+    place = F.when(F.col("e.level") == "operation", 0).otherwise(1 << 32).cast("long") - F.col("e.at")
+    typed = both.select(*KEYS, "path", "method", _get("e.p", "$.name", "string").alias("name"), _get("e.p", "$.in", "string").alias("location"), (place * 2 + F.coalesce(_get("e.p", "$.required", "boolean"), F.lit(False)).cast("long")).alias("best"))
+    found = typed.groupBy(*KEYS, "path", "method", "name", "location").agg(F.min("best").alias("best")).withColumn("place", F.expr("best >> 1"))
+    shared = F.col("place") > 1 << 31
+    at = F.when(shared, F.lit(1 << 32)).otherwise(0) - F.col("place")
+    return found.select(*KEYS, "path", "method", "name", "location", (F.col("best") % 2 != 0).alias("required"), F.when(shared, "path").otherwise("operation").alias("level"), F.lpad(at.cast("string"), 4, "0").alias("ordinal"))
 
 
 def media(docs: DataFrame) -> DataFrame:
     """(.., context, code, media_type, schema) of request bodies and responses."""
     ops = operations(docs).select(*KEYS, "path", "method", "op")
-    request = ops.select(*KEYS, "path", "method", F.lit("request").alias("context"), F.lit("").alias("code"), _get("op", "$.requestBody.content", "variant").alias("content"))
-    responses = _entries(ops.select(*KEYS, "path", "method", _get("op", "$.responses", "variant").alias("r")), "r", "code", "response")
-    responses = responses.select(*KEYS, "path", "method", F.lit("response").alias("context"), "code", _get("response", "$.content", "variant").alias("content"))
-    entries = _entries(request.unionByName(responses), "content", "media_type", "m")
+    body = lambda context, code, content: F.struct(F.lit(context).alias("context"), code.alias("code"), content.alias("content"))
+    request = F.array(body("request", F.lit(""), _get("op", "$.requestBody.content", "variant")))
+    responses = F.transform(F.map_entries(_get("op", "$.responses", "map<string,variant>")), lambda e: body("response", e["key"], _get(e["value"], "$.content", "variant")))
+    bodies = ops.select(*KEYS, "path", "method", F.explode(_joined(request, responses)).alias("b")).select(*KEYS, "path", "method", "b.*")
+    entries = _entries(bodies, "content", "media_type", "m")
     return entries.withColumn("schema", _get("m", "$.schema", "variant")).drop("m")
 
 
@@ -129,7 +131,7 @@ def resolve(nodes: DataFrame, known: DataFrame) -> DataFrame:
     out = written(begun, "references")
     done, follow = out.filter("ref is null"), out.filter("ref is not null")
     while not follow.isEmpty():
-        hop = follow.join(known.withColumnRenamed("pointer", "ref"), [*KEYS, "ref"], "left")
+        hop = follow.join(known.withColumnRenamed("pointer", "ref").hint("merge"), [*KEYS, "ref"], "left")
         go = F.col("target").isNotNull() & ~F.array_contains("trail", F.col("ref"))
         hop = hop.withColumn("moved", go).withColumn("schema", F.when(go, F.col("target")).otherwise(F.col("schema")))
         hop = hop.withColumn("trail", F.when(F.col("moved"), F.array_append("trail", F.col("ref"))).otherwise(F.col("trail")))
@@ -145,23 +147,20 @@ def _below(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     compared is true below properties and items alone, as version diffs descend.
     """
-    own = [*keys, "node_path", "above", "compared"]
-    child = lambda name: F.concat_ws(".", F.when(F.col("node_path") != "", F.col("node_path")), name)
-
-    def as_nodes(df: DataFrame, name: Column, required: Column, compared: Column) -> DataFrame:
-        return df.select(*keys, child(name).alias("child"), F.col("node_path").alias("parent_path"), required.alias("required"), "above", compared.alias("compared"), "schema")
-
+    part = lambda name, required, compared, schema: F.struct(name.alias("name"), required.alias("required"), compared.alias("compared"), schema.alias("schema"))
+    yes, no, compared = F.lit(True), F.lit(False), F.col("compared")
     names = F.coalesce(_get("schema", "$.required", "array<string>"), F.array().cast("array<string>"))
-    props = _entries(rows.select(*own, names.alias("names"), _get("schema", "$.properties", "variant").alias("p")), "p", "name", "schema")
-    out = as_nodes(props, F.col("name"), F.array_contains("names", F.col("name")), F.col("compared"))
-    items = rows.select(*own, _get("schema", "$.items", "variant").alias("schema")).filter("schema is not null")
-    out = out.unionByName(as_nodes(items, F.lit("items[]"), F.lit(True), F.col("compared")))
-    more = rows.select(*own, _get("schema", "$.additionalProperties", "variant").alias("schema")).filter(F.schema_of_variant("schema").startswith("OBJECT"))
-    out = out.unionByName(as_nodes(more, F.lit("additionalProperties{}"), F.lit(True), F.lit(False)))
-    for word in ("allOf", "oneOf", "anyOf"):
-        parts = _elements(rows.select(*own, _get("schema", f"$.{word}", "variant").alias("p")), "p", "at", "schema")
-        out = out.unionByName(as_nodes(parts, F.concat(F.lit(f"{word}["), F.col("at").cast("string"), F.lit("]")), F.lit(True), F.lit(False)))
-    return out.withColumnRenamed("child", "node_path")
+    items, more = _get("schema", "$.items", "variant"), _get("schema", "$.additionalProperties", "variant")
+    lists = [
+        F.transform(F.map_entries(_get("schema", "$.properties", "map<string,variant>")), lambda e: part(e["key"], F.array_contains(names, e["key"]), compared, e["value"])),
+        F.when(items.isNotNull(), F.array(part(F.lit("items[]"), yes, compared, items))),
+        F.when(F.schema_of_variant(more).startswith("OBJECT"), F.array(part(F.lit("additionalProperties{}"), yes, no, more))),
+    ]
+    numbered = lambda word: lambda p, at: part(F.concat(F.lit(f"{word}["), at.cast("string"), F.lit("]")), yes, no, p)
+    lists += [F.transform(_get("schema", f"$.{word}", "array<variant>"), numbered(word)) for word in ("allOf", "oneOf", "anyOf")]
+    out = rows.select(*keys, "node_path", "above", F.explode(_joined(*lists)).alias("e"))
+    child = F.concat_ws(".", F.when(F.col("node_path") != "", F.col("node_path")), "e.name")
+    return out.select(*keys, child.alias("node_path"), F.col("node_path").alias("parent_path"), "e.required", "above", "e.compared", "e.schema")
 
 
 def schema_nodes(docs: DataFrame) -> DataFrame:

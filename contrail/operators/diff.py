@@ -16,6 +16,11 @@ from ..functions.columns import stable_id
 OP = ("path", "method")
 
 
+def _large(side: DataFrame) -> DataFrame:
+    """A side of as many rows as its contracts have parts: joined by sorting, whatever the size of the files it comes from."""
+    return side.hint("merge")
+
+
 def _keys(old: DataFrame, *keys: str) -> list[str]:
     return [*(["api_id"] if "api_id" in old.columns else []), *keys]
 
@@ -32,9 +37,9 @@ def changes(rows: DataFrame, category: str | Column, severity: str, classificati
 
 def removed_operations(old: DataFrame, new: DataFrame) -> DataFrame:
     """Operations of old that new lacks: the endpoint is gone, or only the method."""
-    gone = old.select(*_keys(old, *OP)).distinct().join(new, _keys(old, *OP), "left_anti")
+    gone = old.select(*_keys(old, *OP)).distinct().join(_large(new), _keys(old, *OP), "left_anti")
     alive = new.select(*_keys(old, "path"), F.lit(True).alias("_alive")).distinct()
-    split = gone.join(alive, _keys(old, "path"), "left")
+    split = gone.join(_large(alive), _keys(old, "path"), "left")
     return changes(split, F.when(F.col("_alive").isNull(), "endpoint_removed").otherwise("http_method_removed"), "HIGH", "CLIENT_BREAKING")
 
 
@@ -42,14 +47,14 @@ def added_required_parameters(old: DataFrame, new: DataFrame) -> DataFrame:
     """D3: parameters that new requires and old did not, in operations of both."""
     keys = _keys(old, *OP, "location", "name")
     before = old.select(*keys, F.col("required").alias("_was"))
-    rows = new.filter("required").join(before, keys, "left").filter(~F.coalesce("_was", F.lit(False)))
+    rows = new.filter("required").join(_large(before), keys, "left").filter(~F.coalesce("_was", F.lit(False)))
     return changes(rows, "required_parameter_added", "HIGH", "CLIENT_BREAKING", F.concat_ws(".", F.lit("parameter"), "location", "name"))
 
 
 def changed_security(old: DataFrame, new: DataFrame) -> DataFrame:
     """Operations of both whose effective security differs; from none to some breaks clients."""
     keys = _keys(old, *OP)
-    rows = old.select(*keys, F.col("security").alias("_a")).join(new.select(*keys, F.col("security").alias("_b")), keys).filter(~F.col("_a").eqNullSafe(F.col("_b")))
+    rows = old.select(*keys, F.col("security").alias("_a")).join(_large(new.select(*keys, F.col("security").alias("_b"))), keys).filter(~F.col("_a").eqNullSafe(F.col("_b")))
     none = F.coalesce(F.size("_a"), F.lit(0)) <= 0
     out = changes(rows.withColumn("_none", none), "security_requirement_changed", "HIGH", "POTENTIALLY_BREAKING", detail=["_none"])
     return out.withColumn("classification", F.when(F.col("_none"), "CLIENT_BREAKING").otherwise("POTENTIALLY_BREAKING")).drop("_none")
@@ -74,7 +79,7 @@ def removed_properties(old: DataFrame, new: DataFrame) -> DataFrame:
     """Properties of old missing in new below a parent that both have; what lies below them is not told again."""
     keys = _keys(old, *NODE)
     parents = new.select(*keys, F.col("node_path").alias("parent_path"), F.col("support_status").alias("_new")).distinct()
-    gone = old.join(new, [*keys, "node_path"], "left_anti").join(parents, [*keys, "parent_path"])
+    gone = old.join(_large(new), [*keys, "node_path"], "left_anti").join(_large(parents), [*keys, "parent_path"])
     sure = F.when(certainty("support_status", "_new") == "EXACT", F.when(F.col("context") == "request", "CONDITIONAL").otherwise("EXACT")).otherwise(certainty("support_status", "_new"))
     request = changes(gone.filter("context = 'request'"), "request_property_removed", "MEDIUM", "POTENTIALLY_BREAKING", node_location(), sure)
     return request.unionByName(changes(gone.filter("context = 'response'"), "response_property_removed", "HIGH", "CLIENT_BREAKING", node_location(), sure))
@@ -85,7 +90,7 @@ def changed_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     keys = [*_keys(old, *NODE), "node_path"]
     a = old.select(*keys, *[F.col(c).alias(f"old_{c}") for c in ("types", "nullable", "enum_json", "support_status")])
     b = new.select(*keys, *[F.col(c).alias(f"new_{c}") for c in ("types", "nullable", "enum_json", "support_status")])
-    both = a.join(b, keys).withColumn("removed_values", F.array_except("old_enum_json", "new_enum_json"))
+    both = a.join(_large(b), keys).withColumn("removed_values", F.array_except("old_enum_json", "new_enum_json"))
     sure, at, request = certainty("old_support_status", "new_support_status"), node_location(), F.col("context") == "request"
     types = both.filter("old_types <> new_types")
     out = changes(types, F.when(request, "request_type_changed").otherwise("response_type_changed"), "HIGH", "CLIENT_BREAKING", at, sure)
@@ -102,9 +107,9 @@ def compare(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:
 
     Nodes below compositions and additionalProperties (compared is false) are not told apart.
     """
-    shared = old["operations"].select(*_keys(old["operations"], *OP)).join(new["operations"], _keys(old["operations"], *OP), "left_semi").distinct()
+    shared = old["operations"].select(*_keys(old["operations"], *OP)).join(_large(new["operations"]), _keys(old["operations"], *OP), "left_semi").distinct()
     keys = _keys(old["operations"], *OP)
-    both = lambda side, name: side[name].join(shared, keys, "left_semi")
+    both = lambda side, name: side[name].join(_large(shared), keys, "left_semi")
     nodes = lambda side: both(side, "schema_nodes").filter("compared") if "compared" in side["schema_nodes"].columns else both(side, "schema_nodes")
     parts = [
         removed_operations(old["operations"], new["operations"]),

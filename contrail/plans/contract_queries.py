@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import contracts, diff, edits, match
 from ..schemas import CATEGORIES
-from .queries import _page_calls, query, table
+from ..storage import written
+from .queries import _page_calls, dealt, query, table
 
 _NODE = '"Node":{"type":"object","additionalProperties":{"type":"integer"},"properties":{"next":{"$ref":"#/components/schemas/Node"},"far":{"$ref":"other.yaml#/X"}<gone>}}'
 _GET = (
@@ -41,7 +42,7 @@ def _documents(spark: SparkSession, sf_dir: str, fresh: bool) -> DataFrame:
         "null": unless(10, ',"null"'), "enum": unless(11, ',"a"'), "xml": unless(12, F.concat(F.lit(',"application/xml":{"schema":{"type":"'), unless(13, "string", "integer"), F.lit('"}}'))),
         "post": F.when((k % 8 == 0) & F.lit(fresh), "").otherwise(post), "old": unless(5, ',"/old":{"delete":{"responses":{}}}'),
     }
-    return table(spark, sf_dir, "part").select(k.cast("string").alias("api_id"), F.lit(2 if fresh else 1).alias("version_no"), F.lit("json").alias("format"), _filled(_DOC, parts).alias("text"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(k.cast("string").alias("api_id"), F.lit(2 if fresh else 1).alias("version_no"), F.lit("json").alias("format"), _filled(_DOC, parts).alias("text"))
 
 
 @query("""WITH p AS (SELECT p_partkey AS k FROM part), r AS (SELECT k, CASE WHEN k % 23 = 0 THEN ['UNPARSABLE', 'VERSION', 'TITLE', 'INFO_VERSION', 'PATHS'] ELSE list_filter([CASE WHEN k % 16 = 0 THEN 'VERSION' END, CASE WHEN k % 18 = 0 THEN 'TITLE' END, CASE WHEN k % 19 = 0 THEN 'INFO_VERSION' END,
@@ -56,7 +57,7 @@ def contract_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = change(text, n, old, new)
     docs = _documents(spark, sf_dir, False).withColumn("text", F.when(k % 23 == 0, F.lit('{"openapi')).otherwise(text))
     hosts = contracts.server_hosts(docs).select("api_id", F.array_join("hosts", ",").alias("hosts"))
-    return contracts.rejects(docs).join(hosts, "api_id", "left").select("api_id", F.array_join("reasons", ",").alias("reasons"), F.coalesce("hosts", F.lit("")).alias("hosts"))
+    return contracts.rejects(docs).join(hosts.hint("merge"), "api_id", "left").select("api_id", F.array_join("reasons", ",").alias("reasons"), F.coalesce("hosts", F.lit("")).alias("hosts"))
 
 
 @query("""WITH s AS (SELECT CAST(p_partkey AS VARCHAR) AS api_id, CASE WHEN p_partkey % 4 = 0 THEN 'key:a+b' ELSE '' END AS root FROM part)
@@ -120,7 +121,7 @@ SELECT CAST(k AS VARCHAR) AS api_id, category, path, method, location, classific
 def contract_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents of two versions, normalised and compared."""
     parts = {"operations": contracts.operations, "parameters": contracts.parameters, "schema_nodes": contracts.schema_nodes}
-    old, new = ({k: f(_documents(spark, sf_dir, fresh)).drop("version_no") for k, f in parts.items()} for fresh in (False, True))
+    old, new = ({k: written(f(_documents(spark, sf_dir, fresh)).drop("version_no", "op"), k) for k, f in parts.items()} for fresh in (False, True))
     return diff.compare(old, new).select("api_id", "category", "path", "method", "location", "classification", "certainty", "change_id")
 
 

@@ -9,6 +9,6 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["policy_metrics", "learned_abstention", "policy_intervals"])
+@pytest.mark.parametrize("name", ["policy_metrics", "learned_abstention", "policy_intervals", "contract_compare"])
 def test_no_side_goes_through_the_driver(spark, sf, name):
     assert "BroadcastHashJoin" not in plan(plans.QUERIES[name](spark, sf))
