@@ -2,6 +2,8 @@
 
 import pytest
 
+from contrail.operators import contracts
+from contrail.plans import contract_queries
 from contrail.plans import queries as plans
 
 
@@ -12,3 +14,13 @@ def plan(df):
 @pytest.mark.parametrize("name", ["policy_metrics", "learned_abstention", "policy_intervals", "contract_compare"])
 def test_no_side_goes_through_the_driver(spark, sf, name):
     assert "BroadcastHashJoin" not in plan(plans.QUERIES[name](spark, sf))
+
+
+def test_parameters_are_folded_without_sorting(spark, sf):
+    text = plan(contracts.parameters(contract_queries._documents(spark, sf, False)))
+    assert "Window" not in text and "Sort" not in text
+
+
+def test_documents_are_dealt_by_their_number(spark, sf, monkeypatch):
+    monkeypatch.setattr(plans, "EACH", 10)
+    assert contract_queries._documents(spark, sf, True).rdd.getNumPartitions() == 20
