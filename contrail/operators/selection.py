@@ -51,7 +51,8 @@ def merge(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     n = F.row_number().over(Window.partitionBy(*span).orderBy(*order))
     repeats = candidates.withColumn("_n", n).filter("_n > 1").select("context_id", "role", "file", "start_line", "end_line", F.lit("DUPLICATE").alias("reason"))
-    return once(once(candidates, span), role), repeats
+    # both keys hold the context and the content: rows dealt by these two move once
+    return once(once(candidates.repartition("context_id", "content_hash"), span), role), repeats
 
 
 def required_status(items: DataFrame, budget: int = BUDGET, files: int = MAX_FILES) -> DataFrame:
