@@ -71,13 +71,21 @@ def fill(
 ) -> DataFrame:
     """Items with selected: required ones first, then in order; one that does not fit is skipped, later ones may fit.
 
-    A fold over rows sorted by context and order. What is held is one context's used size and its files, files at most, so
-    a context may have any number of items. Items without a size never fit; items without a file count for none.
+    Of items of one context, size and file the taken ones are the first in order: room and files only get less. So only the
+    first budget / size of them are candidates, numbered apart, and a hot context does not go whole to one task. Candidates
+    go through a fold sorted by context and order, which holds the used size and the files, files at most. Where any size is
+    below 0, room can grow again, and all items are candidates. Items without a size never fit; items without a file count
+    for none.
     """
     column = lambda c: F.col(c) if isinstance(c, str) else c
     sorting = {"_first": ~F.col(required) if required else F.lit(False), **{f"_o{i}": column(o) for i, o in enumerate(order)}, "_size": column(size).cast("long"), "_file": F.col(file), "_tie": F.xxhash64(*items.columns)}
     rows = items.select(F.struct(*items.columns).alias("row"), F.col(key).alias("_key"), *[c.alias(n) for n, c in sorting.items()])
-    rows = rows.repartition("_key").sortWithinPartitions("_key", *sorting).select("row", "_key", "_size", "_file")
+    may = F.col("_size").isNotNull()
+    if rows.filter("_size < 0").isEmpty():
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_size", "_file").orderBy(*sorting)))
+        may &= F.col("_n").cast("decimal(20,0)") * F.col("_size") <= budget
+    never = rows.filter(~may).select("row.*", F.lit(False).alias("selected"))
+    rows = rows.filter(may).repartition("_key").sortWithinPartitions("_key", *sorting).select("row", "_key", "_size", "_file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun, context, used, held = False, None, 0, set()
@@ -94,7 +102,7 @@ def fill(
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(picked, pa.bool_())], names=["row", "selected"])
 
     out = rows.mapInArrow(run, StructType().add("row", rows.schema["row"].dataType).add("selected", "boolean"))
-    return out.select("row.*", "selected")
+    return out.select("row.*", "selected").unionByName(never)
 
 
 def selection_summary(items: DataFrame, budget: int = BUDGET) -> DataFrame:

@@ -1,9 +1,12 @@
 """What queries must not do as their tables grow."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from contrail.operators import contracts
-from contrail.plans import contract_queries
+from contrail.operators import contracts, selection
+from contrail.plans import contract_queries, model_queries
 from contrail.plans import queries as plans
 
 
@@ -24,3 +27,45 @@ def test_parameters_are_folded_without_sorting(spark, sf):
 def test_documents_are_dealt_by_their_number(spark, sf, monkeypatch):
     monkeypatch.setattr(plans, "EACH", 10)
     assert contract_queries._documents(spark, sf, True).rdd.getNumPartitions() == 20
+
+
+def test_the_tree_of_many_orders_is_that_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    at = f"{tmp_path}/orders.parquet"
+    rows = spark.range(1_000_001).select(F.col("id").alias("o_orderkey"), (F.col("id") % 7).alias("o_custkey"), F.lit("F").alias("o_orderstatus"))
+    rows.write.parquet(at)
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from '{at}/*.parquet'")
+    found = sorted(map(tuple, model_queries.content_tree(spark, str(tmp_path)).collect()))
+    assert found == sorted(con.sql(plans.SQL["content_tree"]).fetchall())
+
+
+def _filled(items, budget, files):
+    used, held, out = 0, set(), {}
+    for k, size, file in sorted(items):
+        fits = size is not None and used + size <= budget and (file is None or file in held or len(held) < files)
+        if fits:
+            used, held = used + size, held | ({file} - {None})
+        out[k] = fits
+    return out
+
+
+@pytest.mark.parametrize("least", [0, -3])
+def test_fill_is_the_plain_fold(spark, least):
+    rng = random.Random(least)
+    items = [(i, rng.choice([None, *range(least, 9)]), rng.choice([None, "a", "b", "c"])) for i in range(400)]
+    rows = spark.createDataFrame([(1, *x) for x in items], "context_id int, k int, size int, file string")
+    out = selection.fill(rows, order=["k"], required=None, budget=60, files=2)
+    assert {r["k"]: r["selected"] for r in out.collect()} == _filled(items, 60, 2)
+
+
+def test_one_task_does_not_read_a_whole_context(spark):
+    rows = spark.range(20_000).selectExpr("1 as context_id", "id as k", "id % 50 + 1 as size", "cast(null as string) as file")
+    text = selection.fill(rows, order=["k"], required=None, budget=100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in text and "row_number()" in text.split("MapInArrow")[1]
+
+
+def test_candidates_of_a_context_move_once(spark, sf):
+    text = plan(plans.QUERIES["merged_candidates"](spark, sf))
+    assert text.count("Exchange hashpartitioning") == 1
