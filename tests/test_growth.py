@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from contrail.operators import contracts, selection
+from contrail.operators import contracts, inversions, selection
 from contrail.plans import contract_queries, model_queries
 from contrail.plans import queries as plans
 
@@ -69,3 +69,15 @@ def test_one_task_does_not_read_a_whole_context(spark):
 def test_candidates_of_a_context_move_once(spark, sf):
     text = plan(plans.QUERIES["merged_candidates"](spark, sf))
     assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_ranges_of_inversions_are_bounded(spark, monkeypatch):
+    made = []
+    within = inversions._within_ranges
+    monkeypatch.setattr(inversions, "EACH", 100)
+    monkeypatch.setattr(inversions, "_within_ranges", lambda points, kind, ranges: made.append(ranges) or within(points, kind, ranges))
+    rows = spark.range(1000).selectExpr("if(id % 2 = 0, null, 'g') as group_id", "id * 7 % 31 / 3.0D as before", "id * 11 % 17 / 3.0D as after")
+    points = rows.collect()
+    plain = {g: sum(y.before < x.before - 1e-12 and y.after > x.after + 1e-12 for x in points for y in points if x.group_id == y.group_id == g) for g in (None, "g")}
+    assert {r["group_id"]: r["inversions"] for r in inversions.rank_inversions(rows, "before", "after").collect()} == plain
+    assert made == [20]
