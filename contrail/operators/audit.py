@@ -10,16 +10,20 @@ from pyspark.sql import functions as F
 from ..functions.columns import SEPARATOR
 
 ZERO = "0" * 64
+#: Ids that a task counts, which bounds its memory.
+EACH = 500_000
 
 
 def dataset_violations(rows: DataFrame, scenarios: DataFrame) -> DataFrame:
     """(row_id, code): repeated ids, unknown scenarios, fingerprints that differ, paths that start elsewhere."""
-    repeated = rows.groupBy("row_id").count().filter("count > 1").select("row_id", F.lit("DUPLICATE_ID").alias("code"))
-    unknown = rows.join(scenarios, "scenario_id", "left_anti").select("row_id", F.lit("UNKNOWN_SCENARIO").alias("code"))
-    known = scenarios.select("scenario_id", F.col("scenario_fingerprint").alias("_fp"))
-    other = rows.join(known, "scenario_id").filter(~F.col("scenario_fingerprint").eqNullSafe(F.col("_fp"))).select("row_id", F.lit("FINGERPRINT").alias("code"))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // EACH))
+    repeated = rows.select("row_id").repartition(parts, "row_id").groupBy("row_id").count().filter("count > 1").select("row_id", F.lit("DUPLICATE_ID").alias("code"))
+    known = scenarios.select("scenario_id", F.col("scenario_fingerprint").alias("_fp"), F.lit(True).alias("_known"))
+    told = rows.select("row_id", "scenario_id", "scenario_fingerprint").join(known.hint("merge"), "scenario_id", "left")
+    code = F.when(F.col("_known").isNull(), "UNKNOWN_SCENARIO").when(~F.col("scenario_fingerprint").eqNullSafe(F.col("_fp")), "FINGERPRINT")
+    unlike = told.select("row_id", code.alias("code")).filter("code is not null")
     path = rows.filter((F.size("truth_path") > 0) & (F.element_at("truth_path", 1) != F.col("symbol"))).select("row_id", F.lit("PATH_START").alias("code"))
-    return repeated.unionByName(unknown).unionByName(other).unionByName(path)
+    return repeated.unionByName(unlike).unionByName(path)
 
 
 def duplicate_counts(rows: DataFrame, fields: Sequence[str]) -> DataFrame:

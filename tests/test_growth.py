@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from contrail.operators import contracts, inversions, selection
+from contrail.operators import audit, contracts, inversions, selection
 from contrail.plans import contract_queries, model_queries
 from contrail.plans import queries as plans
 
@@ -81,3 +81,13 @@ def test_ranges_of_inversions_are_bounded(spark, monkeypatch):
     plain = {g: sum(y.before < x.before - 1e-12 and y.after > x.after + 1e-12 for x in points for y in points if x.group_id == y.group_id == g) for g in (None, "g")}
     assert {r["group_id"]: r["inversions"] for r in inversions.rank_inversions(rows, "before", "after").collect()} == plain
     assert made == [20]
+
+
+def test_ids_are_counted_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(audit, "EACH", 100)
+    rows = spark.range(1000).selectExpr("id % 999 as row_id", "if(id = 5, null, id % 4) as scenario_id", "'a' as scenario_fingerprint", "array('s') as truth_path", "'s' as symbol")
+    scenarios = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "scenario_id long, scenario_fingerprint string")
+    out = audit.dataset_violations(rows, scenarios)
+    assert "hashpartitioning(row_id" in plan(out) and "REPARTITION_BY_NUM" in plan(out) and "BroadcastHashJoin" not in plan(out)
+    found = {r["code"]: r["count"] for r in out.groupBy("code").count().collect()}
+    assert found == {"DUPLICATE_ID": 1, "UNKNOWN_SCENARIO": 251, "FINGERPRINT": 500}
