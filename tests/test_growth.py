@@ -91,3 +91,10 @@ def test_ids_are_counted_in_bounded_parts(spark, monkeypatch):
     assert "hashpartitioning(row_id" in plan(out) and "REPARTITION_BY_NUM" in plan(out) and "BroadcastHashJoin" not in plan(out)
     found = {r["code"]: r["count"] for r in out.groupBy("code").count().collect()}
     assert found == {"DUPLICATE_ID": 1, "UNKNOWN_SCENARIO": 251, "FINGERPRINT": 500}
+
+
+def test_sub_schemas_are_made_in_one_pass(spark):
+    rows = spark.sql("select 'a' as api_id, 1 as version_no, '' as node_path, cast(array() as array<string>) as above, true as compared, parse_json('{\"items\": {}, \"allOf\": [{}, 1], \"additionalProperties\": true, \"properties\": {\"p\": {}}}') as schema")
+    out = contracts._below(rows, contracts.KEYS)
+    assert sorted(r["node_path"] for r in out.collect()) == ["allOf[0]", "allOf[1]", "items[]", "p"]
+    assert "Union" not in plan(out)
