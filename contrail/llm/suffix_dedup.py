@@ -33,6 +33,10 @@ from ._store import materialise
 from ._text import distinct, mix, prefix_hash, range_hash, steps, text_bytes
 
 SPAN, GRAM, CHUNK_BYTES, BUCKET_BYTES, MIN_BUCKETS, FREQUENT = 50, 24, 4 << 20, 16 << 20, 128, 1000
+#: Bytes of contexts that a bucket sorts at once; buckets of more go slice by slice, each with all contexts of its anchors.
+SLICE_BYTES = 4 << 20
+#: Bytes of a chunk whose anchors are sought at once, up to the end of a document.
+PIECE_BYTES = 1 << 19
 #: Answers of at most so many bytes are broadcast to the scan of chunks; more are joined.
 BROADCAST_BYTES = 64 << 20
 LAST = np.iinfo(np.int64).max
@@ -66,25 +70,29 @@ class Anchors:
         self.data, self.span = data, span
         bounds = np.r_[0, np.cumsum(lengths)]
         self.prefix = prefix_hash(data)
-        n = len(data)
-        count = np.maximum(lengths - span + 1, 0)
+        cuts = np.unique(np.searchsorted(bounds, np.r_[np.arange(0, len(data), PIECE_BYTES), len(data)]))
+        found = [self._found(bounds[a : b + 1], ids[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        empty = [np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.int64)]
+        self.first, self.last, self.key, self.doc = (np.concatenate(x) for x in zip(empty, *found, strict=True))
+
+    def _found(self, bounds: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first string, last string, key, document) of each anchor of the documents between bounds."""
+        lengths, low = np.diff(bounds), bounds[0]
+        count = np.maximum(lengths - self.span + 1, 0)
         if not count.sum():
-            self.first = self.last = self.key = self.doc = np.empty(0, np.int64)
-            self.key = self.key.astype(np.uint64)
-            return
-        gram = np.arange(n - GRAM + 1)
-        hashes = range_hash(self.prefix, gram, gram + GRAM)
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        gram = np.arange(bounds[-1] - low - GRAM + 1)
+        hashes = range_hash(self.prefix, gram + low, gram + low + GRAM)
         packed = (hashes >> np.uint64(32) << np.uint64(32)) | gram.astype(np.uint64)
-        chosen = (_slide_min(packed, span - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        chosen = (_slide_min(packed, self.span - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         ends = np.cumsum(count)
-        starts = np.arange(ends[-1]) + np.repeat(bounds[:-1] - (ends - count), count)
+        starts = np.arange(ends[-1]) + np.repeat(bounds[:-1] - low - (ends - count), count)
         owner = np.repeat(np.arange(len(lengths)), count)
         anchor = chosen[starts]
         new = np.ones(len(starts), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
         at = np.flatnonzero(new)
-        self.first, self.last = starts[at], starts[np.r_[at[1:], len(starts)] - 1]
-        self.key, self.doc = hashes[anchor[at]], ids[owner[at]]
+        return starts[at] + low, starts[np.r_[at[1:], len(starts)] - 1] + low, hashes[anchor[at]], ids[owner[at]]
 
     def distinct(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(code of each anchor, distinct keys, their documents, their buckets); keys in the order of bucket and value."""
@@ -141,15 +149,21 @@ def _row_anchors(row: dict, span: int) -> Anchors:
     return Anchors(np.frombuffer(row["data"], np.uint8), np.frombuffer(row["lengths"], np.int64), ids, span)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Row by row: only one chunk's bytes are copied out of a batch at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _send_anchors(span: int, buckets: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                _, keys, docs, bucket = _row_anchors(row, span).distinct(buckets)
-                cut = np.searchsorted(bucket, np.arange(buckets + 1))
-                pieces = list(zip(cut, cut[1:], strict=False))
-                docs = np.minimum(docs, 65535).astype(np.uint16)
-                yield pa.RecordBatch.from_pydict({"bucket": list(range(buckets)), "chunk": [row["chunk"]] * buckets, "keys": [keys[a:b].view(np.uint8).reshape(-1, 8)[:, :width].tobytes() for a, b in pieces], "docs": [docs[a:b].tobytes() for a, b in pieces]}, schema=pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())]))
+        for row in _rows(batches):
+            _, keys, docs, bucket = _row_anchors(row, span).distinct(buckets)
+            cut = np.searchsorted(bucket, np.arange(buckets + 1))
+            pieces = list(zip(cut, cut[1:], strict=False))
+            docs = np.minimum(docs, 65535).astype(np.uint16)
+            yield pa.RecordBatch.from_pydict({"bucket": list(range(buckets)), "chunk": [row["chunk"]] * buckets, "keys": [keys[a:b].view(np.uint8).reshape(-1, 8)[:, :width].tobytes() for a, b in pieces], "docs": [docs[a:b].tobytes() for a, b in pieces]}, schema=pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())]))
 
     return run
 
@@ -195,17 +209,15 @@ def _items(row: dict, span: int, buckets: int) -> tuple[Anchors, Items]:
 
 def _send_items(span: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                anchors, items = _items(row, span, buckets)
-                size = np.r_[0, np.cumsum(items.size)]
-                flat = anchors.data[np.arange(size[-1]) + np.repeat(items.at - size[:-1], items.size)]
-                cut = np.searchsorted(items.bucket, np.arange(buckets + 1))
-                pieces = list(zip(cut, cut[1:], strict=False))
-                columns = {"bucket": list(range(buckets)), "chunk": [row["chunk"]] * buckets}
-                columns |= {k: [x[a:b].tobytes() for a, b in pieces] for k, x in (("keys", items.key), ("contents", items.content), ("least", items.least), ("sizes", items.size.astype(np.uint16)))}
-                columns["data"] = [flat[size[a] : size[b]].tobytes() for a, b in pieces]
-                yield pa.RecordBatch.from_pydict(columns, schema=pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *[(k, pa.binary()) for k in ("keys", "contents", "least", "sizes", "data")]]))
+        for row in _rows(batches):
+            anchors, items = _items(row, span, buckets)
+            cut = np.searchsorted(items.bucket, np.arange(buckets + 1))
+            pieces = list(zip(cut, cut[1:], strict=False))
+            columns = {"bucket": list(range(buckets)), "chunk": [row["chunk"]] * buckets}
+            columns |= {k: [x[a:b].tobytes() for a, b in pieces] for k, x in (("keys", items.key), ("contents", items.content), ("least", items.least), ("sizes", items.size.astype(np.uint16)))}
+            start, end = items.at.tolist(), (items.at + items.size).tolist()
+            columns["data"] = [b"".join([row["data"][i:j] for i, j in zip(start[a:b], end[a:b], strict=True)]) for a, b in pieces]
+            yield pa.RecordBatch.from_pydict(columns, schema=pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *[(k, pa.binary()) for k in ("keys", "contents", "least", "sizes", "data")]]))
 
     return run
 
@@ -259,8 +271,8 @@ def _induce(text: np.ndarray, larger: np.ndarray, scanned: np.ndarray, c: int, w
 
 def _words(text: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
     """Bytes 8k to 8k + 7 of the suffixes at places as big-endian numbers; beyond the end is 0."""
-    padded = _padded(text)
-    return np.frombuffer(padded, np.uint8)[(places + 8 * k)[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64)
+    every = np.ndarray((len(text) + 56,), ">u8", _padded(text), strides=(1,))  # a number at each byte, over the same bytes
+    return every[places + 8 * k].astype(np.uint64)
 
 
 def _padded(text: np.ndarray) -> bytes:
@@ -320,18 +332,33 @@ def least_documents(keys: np.ndarray, contents: np.ndarray, least: np.ndarray, s
     return starts[:-1][codes], found
 
 
+def _masks(keys: np.ndarray, contents: np.ndarray, least: np.ndarray, sizes: np.ndarray, data: np.ndarray, span: int) -> np.ndarray:
+    """For each context the strings of it, as bits, that start in a document smaller than its own. Equal strings have one anchor."""
+    first, found = least_documents(keys, contents, least, sizes, data, span)
+    count = sizes - span + 1
+    ends = np.cumsum(count)
+    flat = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
+    bits = (found[flat] < np.repeat(least, count)).astype(np.uint64) << (np.arange(len(flat)) - np.repeat(ends - count, count)).astype(np.uint64)
+    return np.add.reduceat(bits, ends - count) if len(ends) else np.empty(0, np.uint64)
+
+
 def _judge_items(span: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by("chunk").to_pydict()
         keys, contents, least, sizes, data = (np.frombuffer(b"".join(rows[k]), t) for k, t in (("keys", np.uint64), ("contents", np.uint64), ("least", np.int64), ("sizes", np.uint16), ("data", np.uint8)))
         sizes = sizes.astype(np.int64)
-        first, found = least_documents(keys, contents, least, sizes, data, span)
-        count = sizes - span + 1
-        ends = np.cumsum(count)
-        flat = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
-        bits = (found[flat] < np.repeat(least, count)).astype(np.uint64) << (np.arange(len(flat)) - np.repeat(ends - count, count)).astype(np.uint64)
-        masks = np.add.reduceat(bits, ends - count) if len(ends) else np.empty(0, np.uint64)
-        return _answers(rows, masks, [len(x) // 8 for x in rows["keys"]])
+        lengths = [len(x) // 8 for x in rows["keys"]]
+        rows = {k: rows[k] for k in ("chunk", "bucket")}
+        slices = -(-len(data) // SLICE_BYTES)
+        if slices < 2:
+            return _answers(rows, _masks(keys, contents, least, sizes, data, span), lengths)
+        masks, place = np.empty(len(keys), np.uint64), np.r_[0, np.cumsum(sizes)]
+        of = mix(keys) % np.uint64(slices)
+        for k in range(slices):
+            at = np.flatnonzero(of == k)
+            own = np.concatenate([data[place[i] : place[i + 1]] for i in at]) if len(at) else data[:0]
+            masks[at] = _masks(keys[at], contents[at], least[at], sizes[at], own, span)
+        return _answers(rows, masks, lengths)
 
     return run
 
@@ -345,28 +372,27 @@ def _gather(name: str):
 
 def _cut(span: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                anchors, items = _items(row, span, buckets)
-                lengths = np.frombuffer(row["lengths"], np.int64)
-                masks = np.frombuffer(_unpacked(row["masks"]), np.uint64)[items.code]
-                masks = np.where(items.doc > items.least[items.code], np.uint64(2**64 - 1), masks)
-                covered = np.zeros(len(anchors.data) + 1, np.int64)
-                for k in range(int(items.count.max()) if len(items.count) else 0):
-                    hit = items.start[(items.count > k) & (masks >> np.uint64(k) & np.uint64(1) == 1)] + k
-                    np.add.at(covered, hit, 1)
-                    np.add.at(covered, hit + span, -1)
-                gone = np.cumsum(covered)[:-1] > 0
-                bounds = np.r_[0, np.cumsum(lengths)]
-                found = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
-                for i, doc in enumerate(row["ids"]):
-                    part, own = anchors.data[bounds[i] : bounds[i + 1]], gone[bounds[i] : bounds[i + 1]]
-                    edge = np.flatnonzero(np.diff(np.r_[0, own.view(np.int8), 0]))
-                    spans = [{"start": int(a), "length": int(b - a)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
-                    kept = part[~own] if spans else part
-                    for k, x in (("doc_id", doc), ("n_bytes", len(part)), ("n_removed", len(part) - len(kept)), ("n_spans", len(spans)), ("kept_sha256", hashlib.sha256(kept.tobytes()).hexdigest()), ("spans", spans)):
-                        found[k].append(x)
-                yield pa.RecordBatch.from_pydict(found, schema=pa.schema([*[(k, pa.int64()) for k in ("doc_id", "n_bytes", "n_removed", "n_spans")], ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))]))
+        for row in _rows(batches):
+            anchors, items = _items(row, span, buckets)
+            lengths = np.frombuffer(row["lengths"], np.int64)
+            masks = np.frombuffer(_unpacked(row["masks"]), np.uint64)[items.code]
+            masks = np.where(items.doc > items.least[items.code], np.uint64(2**64 - 1), masks)
+            covered = np.zeros(len(anchors.data) + 1, np.int32)
+            for k in range(int(items.count.max()) if len(items.count) else 0):
+                hit = items.start[(items.count > k) & (masks >> np.uint64(k) & np.uint64(1) == 1)] + k
+                np.add.at(covered, hit, 1)
+                np.add.at(covered, hit + span, -1)
+            gone = np.cumsum(covered, dtype=np.int32)[:-1] > 0
+            bounds = np.r_[0, np.cumsum(lengths)]
+            found = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
+            for i, doc in enumerate(row["ids"]):
+                part, own = anchors.data[bounds[i] : bounds[i + 1]], gone[bounds[i] : bounds[i + 1]]
+                edge = np.flatnonzero(np.diff(np.r_[0, own.view(np.int8), 0]))
+                spans = [{"start": int(a), "length": int(b - a)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
+                kept = part[~own] if spans else part
+                for k, x in (("doc_id", doc), ("n_bytes", len(part)), ("n_removed", len(part) - len(kept)), ("n_spans", len(spans)), ("kept_sha256", hashlib.sha256(kept.tobytes()).hexdigest()), ("spans", spans)):
+                    found[k].append(x)
+            yield pa.RecordBatch.from_pydict(found, schema=pa.schema([*[(k, pa.int64()) for k in ("doc_id", "n_bytes", "n_removed", "n_spans")], ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))]))
 
     return run
 

@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from contrail.llm import suffix_dedup
 from contrail.operators import audit, contracts, inversions, selection
 from contrail.plans import contract_queries, model_queries
 from contrail.plans import queries as plans
@@ -98,3 +101,28 @@ def test_sub_schemas_are_made_in_one_pass(spark):
     out = contracts._below(rows, contracts.KEYS)
     assert sorted(r["node_path"] for r in out.collect()) == ["allOf[0]", "allOf[1]", "items[]", "p"]
     assert "Union" not in plan(out)
+
+
+def _bucket(n, words):
+    """The contexts of n texts of words that repeat, as the one bucket of a run gets them from its chunks."""
+    rng = random.Random(n)
+    chunks = []
+    for part in range(3):
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randint(5, 30))).encode() for _ in range(n)]
+        row = {"ids": [part * n + i for i in range(n)], "lengths": np.array([len(x) for x in texts], np.int64).tobytes(), "data": b"".join(texts)}
+        anchors = suffix_dedup._row_anchors(row, 50)
+        items = suffix_dedup.Items(anchors, np.ones(len(anchors.key), np.int64), 1)
+        data = b"".join(anchors.data[a : a + s].tobytes() for a, s in zip(items.at, items.size, strict=True))
+        chunks.append({"bucket": 0, "chunk": part, "keys": items.key.tobytes(), "contents": items.content.tobytes(), "least": items.least.tobytes(), "sizes": items.size.astype(np.uint16).tobytes(), "data": data})
+    return pa.Table.from_pylist(chunks)
+
+
+def test_a_bucket_sorts_slices_of_its_contexts(monkeypatch):
+    table = _bucket(60, [f"{x} some words that often come back {x}" for x in "abcdef"])
+    whole = suffix_dedup._judge_items(50)(table).to_pylist()
+    sorted_at_once, two_stage = [], suffix_dedup.two_stage
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 4000)
+    monkeypatch.setattr(suffix_dedup, "two_stage", lambda text: sorted_at_once.append(len(text)) or two_stage(text))
+    assert suffix_dedup._judge_items(50)(table).to_pylist() == whole
+    assert max(sorted_at_once) < sum(len(x) for x in table.column("data").to_pylist()) / 4
+    assert any(set(suffix_dedup._unpacked(len(x["answer"]).to_bytes(4, "little") + x["answer"])) != {0} for x in whole)
