@@ -14,6 +14,9 @@ from .graph import components
 SPLIT_FIELDS = ("scenario_id", "repository_family_id", "api_family_id", "migration_id")
 FINGERPRINTS = ("source_fp", "candidate_fp", "structural_fp", "heuristic_fp", "template_family_id")
 
+#: Candidates that a task takes where their features are joined.
+EACH = 100_000
+
 
 def candidates(changes: DataFrame, symbols: DataFrame, truth: DataFrame) -> DataFrame:
     """B1: every change with every symbol of its scenario (an equi-join on scenario_id), labelled from the truth table."""
@@ -37,7 +40,7 @@ def features(rows: DataFrame, changes: DataFrame, direct: DataFrame, impacted: D
     changes: change_id with category, severity, certainty, classification, direction, location; direct: the impacts; impacted:
     symbol_id, distance; calls: the call sites; counts: symbol_id with both numbers of callers; coverage and risk: a row a
     scenario_id. A candidate shows its best impact's call, else its symbol's first call. What an impact used is overlap of
-    the side that the change's location names.
+    the side that the change's location names. Candidates are dealt over tasks by their number: they shuffle as few bytes.
     """
     none = F.array().cast("array<string>")
     told = changes.select("change_id", *[F.col(c).alias(f"_{c}") for c in ("category", "severity", "certainty", "classification", "direction", "location")])
@@ -45,7 +48,10 @@ def features(rows: DataFrame, changes: DataFrame, direct: DataFrame, impacted: D
     site = F.struct("url_state", "request_state", "response_state")
     own = calls.groupBy("symbol_id").agg(F.min_by(site, "call_id").alias("_first"))
     by_call = calls.select(F.col("call_id").alias("_call_id"), site.alias("_called"))
-    out = rows.join(told, "change_id", "left").join(best, ["change_id", "symbol_id"], "left").join(own, "symbol_id", "left").join(by_call, F.col("_direct.call_id") == F.col("_call_id"), "left")
+    best = best.join(by_call, F.col("_direct.call_id") == F.col("_call_id"), "left").drop("_call_id")  # here, as most candidates have no call and would meet in one task
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // EACH))
+    out = rows.repartition(n, "change_id").join(told, "change_id", "left")
+    out = out.repartition(n, "change_id", "symbol_id").join(best, ["change_id", "symbol_id"], "left").join(own, "symbol_id", "left")
     out = out.join(impacted.select("symbol_id", F.col("distance").alias("_distance")), "symbol_id", "left").join(counts.select("symbol_id", "direct_callers", "upstream_callers"), "symbol_id", "left")
     out = out.join(coverage.select("scenario_id", "calls_unresolved", "files_failed"), "scenario_id", "left").join(risk.select("scenario_id", "risk_score", "risk_level"), "scenario_id", "left")
     call, names = F.when(F.col("_direct").isNotNull(), F.col("_called")).otherwise(F.col("_first")), F.transform("_direct.evidence", lambda e: e["feature"])

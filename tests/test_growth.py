@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from contrail.llm import suffix_dedup
-from contrail.operators import audit, contracts, inversions, selection
-from contrail.plans import contract_queries, model_queries
+from contrail.operators import audit, contracts, dataset, inversions, selection
+from contrail.plans import contract_queries, feature_queries, model_queries
 from contrail.plans import queries as plans
 
 
@@ -126,3 +126,14 @@ def test_a_bucket_sorts_slices_of_its_contexts(monkeypatch):
     assert suffix_dedup._judge_items(50)(table).to_pylist() == whole
     assert max(sorted_at_once) < sum(len(x) for x in table.column("data").to_pylist()) / 4
     assert any(set(suffix_dedup._unpacked(len(x["answer"]).to_bytes(4, "little") + x["answer"])) != {0} for x in whole)
+
+
+def test_candidates_are_dealt_by_their_number_and_calls_join_impacts(spark, sf, monkeypatch):
+    monkeypatch.setattr(dataset, "EACH", 500)
+    monkeypatch.setattr(feature_queries.reach, "upstream_counts", lambda edges: edges.selectExpr("callee_id as symbol_id", "1L as direct_callers", "1L as upstream_callers").limit(0))
+    rows = feature_queries._feature_rows(spark, sf)
+    text = rows._jdf.queryExecution().optimizedPlan().toString()
+    tasks = -(-feature_queries._feature_rows(spark, sf).count() // 500)
+    assert "RepartitionByExpression [change_id" in text and text.count(f"], {tasks}") >= 2
+    above, below = text.split("RepartitionByExpression [change_id", 1)
+    assert "_call_id" not in above.split("Join LeftOuter, ((change_id")[0]
