@@ -19,6 +19,16 @@ def _poisson() -> tuple[float, ...]:
 
 
 POISSON = _poisson()
+#: The same bounds for the first 13 hexadecimal digits x of a digest: (x + 0.5) / 2 ** 52 is above a bound from this text on.
+DIGITS = tuple(f"{math.floor(x * 2.0**52 - 0.5) + 1:013x}" for x in POISSON)
+
+
+def _draws(digest: Column) -> Column:
+    """How many bounds the number of a digest's first 13 digits is above. Texts of hexadecimal digits have the order of their numbers."""
+    out = F.when(digest < DIGITS[0], 0.0)
+    for k, bound in enumerate(DIGITS[1:], 1):
+        out = out.when(digest < bound, float(k))
+    return out.otherwise(float(len(DIGITS)))
 
 
 def intervals(groups: DataFrame, key: str, metrics: dict[str, Column], by: Sequence[str] = (), resamples: int = 1000, seed: int = 0, level: float = 0.95) -> DataFrame:
@@ -26,18 +36,16 @@ def intervals(groups: DataFrame, key: str, metrics: dict[str, Column], by: Seque
 
     A group's number of draws in a resample is Poisson with mean 1, by the MD5 of seed, resample and key: the distributed form
     of drawing with replacement, which needs no numbering of the groups and no join. metrics are aggregates over the
-    column w, the weight; ratios of sums stay ratios.
+    column w, the weight; ratios of sums stay ratios. All rows with weight 1 are resample 0, so groups are made once.
     """
-    point = groups.withColumn("w", F.lit(1.0)).groupBy(*by).agg(*[m.alias(k) for k, m in metrics.items()])
     told = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("resample").cast("string"), F.col(key).cast("string")))
-    u = (F.conv(F.substring(told, 1, 13), 16, 10).cast("bigint") + 0.5) / float(1 << 52)
-    drawn = groups.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_u", u)
-    drawn = drawn.withColumn("w", sum((F.col("_u") > x).cast("double") for x in POISSON))
+    drawn = groups.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples)))).withColumn("_told", told)
+    drawn = drawn.withColumn("w", F.when(F.col("resample") == 0, 1.0).otherwise(_draws(F.col("_told"))))
     each = drawn.groupBy(*by, "resample").agg(*[m.alias(k) for k, m in metrics.items()])
-    tail = (1 - level) / 2
-    long = lambda df: df.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("value")) for k in metrics])).alias("x")).select(*by, "x.metric", "x.value")
-    spread = long(each).groupBy(*by, "metric").agg(F.percentile("value", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
-    return long(point).withColumnRenamed("value", "point").join(spread, [*by, "metric"]).select(*by, "metric", "point", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    each = each.select(*by, "resample", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("value")) for k in metrics])).alias("x")).select(*by, "resample", "x.metric", "x.value")
+    tail, whole = (1 - level) / 2, F.col("resample") == 0
+    spread = each.groupBy(*by, "metric").agg(F.max(F.when(whole, F.col("value"))).alias("point"), F.percentile(F.when(~whole, F.col("value")), F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
+    return spread.select(*by, "metric", "point", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def weighted_mean(column: str) -> Column:

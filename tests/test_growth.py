@@ -1,5 +1,6 @@
 """What queries must not do as their tables grow."""
 
+import math
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contrail.llm import suffix_dedup
-from contrail.operators import audit, contracts, dataset, inversions, selection
+from contrail.operators import audit, bootstrap, contracts, dataset, inversions, selection
 from contrail.plans import contract_queries, feature_queries, model_queries
 from contrail.plans import queries as plans
 
@@ -137,3 +138,17 @@ def test_candidates_are_dealt_by_their_number_and_calls_join_impacts(spark, sf,
     assert "RepartitionByExpression [change_id" in text and text.count(f"], {tasks}") >= 2
     above, below = text.split("RepartitionByExpression [change_id", 1)
     assert "_call_id" not in above.split("Join LeftOuter, ((change_id")[0]
+
+
+def test_intervals_make_their_groups_once(spark):
+    groups = spark.range(50).selectExpr("id as g", "id % 2 as side", "cast(id as double) as m")
+    out = bootstrap.intervals(groups, "g", {"m": bootstrap.weighted_mean("m")}, ["side"], resamples=20, seed=3)
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in text and text.count("Range (") == 1
+    assert {r["side"]: r["point"] for r in out.collect()} == {0: 24.0, 1: 25.0}
+
+
+def test_draws_by_digits_are_those_by_numbers(spark):
+    at = [(math.floor(x * 2**52) + d) for x in bootstrap.POISSON for d in range(-2, 3)]
+    rows = spark.createDataFrame([(f"{x:013x}{tail}", x) for x in at if 0 <= x < 2**52 for tail in ("0" * 19, "f" * 19)], "told string, x long")
+    assert all(r["w"] == sum((r["x"] + 0.5) / 2.0**52 > p for p in bootstrap.POISSON) for r in rows.select("x", bootstrap._draws(F.col("told")).alias("w")).collect())
