@@ -39,8 +39,11 @@ def _joined(*lists: Column) -> Column:
     return F.flatten(F.array_compact(F.array(*lists)))
 
 
-def rejects(docs: DataFrame) -> DataFrame:
-    """(api_id, version_no, reasons) of documents that break a rule; an empty array is an accepted document."""
+def rejects(docs: DataFrame, hosts: bool = False) -> DataFrame:
+    """(api_id, version_no, reasons) of documents that break a rule; an empty array is an accepted document.
+
+    With hosts, N11's hosts of the same document come from the same pass over its text; null if it lists no servers.
+    """
     rows = parsed(docs).withColumn("_listed", _get("doc", "$.paths", "map<string,variant>")).withColumns({"_paths": F.map_keys("_listed"), "_items": F.map_values("_listed")})
     paths, items = F.col("_paths"), F.col("_items")
     no = F.lit(False)
@@ -57,7 +60,12 @@ def rejects(docs: DataFrame) -> DataFrame:
         (F.exists(items, lambda item: either(optional(item, at) for at in ("$.parameters", *(f"$.{m}.parameters" for m in METHODS)))), "PATH_PARAMETER"),
         (F.exists(items, lambda item: either(silent(item, m) for m in METHODS)), "RESPONSES"),
     )
-    return rows.select(*KEYS, F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for c, code in rules])).alias("reasons"))
+    return rows.select(*KEYS, F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(code)) for c, code in rules])).alias("reasons"), *([_hosts(F.col("doc")).alias("hosts")] if hosts else []))
+
+
+def _hosts(doc: Column) -> Column:
+    urls = F.try_variant_get(doc, "$.servers", "array<struct<url:string>>")
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(urls, lambda s: url_host(s["url"])))))
 
 
 def accepted(docs: DataFrame) -> DataFrame:

@@ -56,8 +56,7 @@ def contract_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n, old, new in ((18, '"title":"t', '"title":"'), (19, '"version":"1"', '"version":""'), (21, '"paths":', '"ways":'), (17, '"/items/{id}"', '"items/{id}"'), (22, '"in":"path","required":true', '"in":"path"')):
         text = change(text, n, old, new)
     docs = _documents(spark, sf_dir, False).withColumn("text", F.when(k % 23 == 0, F.lit('{"openapi')).otherwise(text))
-    hosts = contracts.server_hosts(docs).select("api_id", F.array_join("hosts", ",").alias("hosts"))
-    return contracts.rejects(docs).join(hosts.hint("merge"), "api_id", "left").select("api_id", F.array_join("reasons", ",").alias("reasons"), F.coalesce("hosts", F.lit("")).alias("hosts"))
+    return contracts.rejects(docs, hosts=True).select("api_id", F.array_join("reasons", ",").alias("reasons"), F.coalesce(F.array_join("hosts", ","), F.lit("")).alias("hosts"))
 
 
 @query("""WITH s AS (SELECT CAST(p_partkey AS VARCHAR) AS api_id, CASE WHEN p_partkey % 4 = 0 THEN 'key:a+b' ELSE '' END AS root FROM part)

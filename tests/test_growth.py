@@ -152,3 +152,13 @@ def test_draws_by_digits_are_those_by_numbers(spark):
     at = [(math.floor(x * 2**52) + d) for x in bootstrap.POISSON for d in range(-2, 3)]
     rows = spark.createDataFrame([(f"{x:013x}{tail}", x) for x in at if 0 <= x < 2**52 for tail in ("0" * 19, "f" * 19)], "told string, x long")
     assert all(r["w"] == sum((r["x"] + 0.5) / 2.0**52 > p for p in bootstrap.POISSON) for r in rows.select("x", bootstrap._draws(F.col("told")).alias("w")).collect())
+
+
+def test_rules_and_hosts_are_read_in_one_pass(spark, sf):
+    text = plan(plans.QUERIES["contract_rules"](spark, sf))
+    assert "Join" not in text and text.count("FileScan parquet") == 1
+    docs = contract_queries._documents(spark, sf, False).limit(50)
+    odd = spark.createDataFrame([("a", '{"servers":[{"url":"http://B.x"},{"url":"http://b.x/1"},{"url":"/l"},{}]}'), ("b", "{"), ("c", '{"servers":[]}')], "api_id string, text string").selectExpr("api_id", "1 as version_no", "'json' as format", "text")
+    docs = docs.unionByName(odd)
+    joined = lambda df: {r["api_id"]: r["hosts"] or [] for r in df.collect()}
+    assert joined(contracts.rejects(docs, hosts=True)) == joined(contracts.server_hosts(docs))
