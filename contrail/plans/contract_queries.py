@@ -42,7 +42,7 @@ def _documents(spark: SparkSession, sf_dir: str, fresh: bool) -> DataFrame:
         "null": unless(10, ',"null"'), "enum": unless(11, ',"a"'), "xml": unless(12, F.concat(F.lit(',"application/xml":{"schema":{"type":"'), unless(13, "string", "integer"), F.lit('"}}'))),
         "post": F.when((k % 8 == 0) & F.lit(fresh), "").otherwise(post), "old": unless(5, ',"/old":{"delete":{"responses":{}}}'),
     }
-    return dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(k.cast("string").alias("api_id"), F.lit(2 if fresh else 1).alias("version_no"), F.lit("json").alias("format"), _filled(_DOC, parts).alias("text"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", k.cast("string").alias("api_id")), "api_id").select("api_id", F.lit(2 if fresh else 1).alias("version_no"), F.lit("json").alias("format"), _filled(_DOC, parts).alias("text"))
 
 
 @query("""WITH p AS (SELECT p_partkey AS k FROM part), r AS (SELECT k, CASE WHEN k % 23 = 0 THEN ['UNPARSABLE', 'VERSION', 'TITLE', 'INFO_VERSION', 'PATHS'] ELSE list_filter([CASE WHEN k % 16 = 0 THEN 'VERSION' END, CASE WHEN k % 18 = 0 THEN 'TITLE' END, CASE WHEN k % 19 = 0 THEN 'INFO_VERSION' END,

@@ -162,3 +162,8 @@ def test_rules_and_hosts_are_read_in_one_pass(spark, sf):
     docs = docs.unionByName(odd)
     joined = lambda df: {r["api_id"]: r["hosts"] or [] for r in df.collect()}
     assert joined(contracts.rejects(docs, hosts=True)) == joined(contracts.server_hosts(docs))
+
+
+def test_parameters_are_folded_where_documents_lie(spark, sf):
+    text = plan(plans.QUERIES["contract_parameters"](spark, sf))
+    assert text.count("Exchange") == 1 and "REPARTITION_BY_NUM" in text
