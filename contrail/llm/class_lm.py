@@ -75,7 +75,7 @@ def _deal(buckets: int):
             for chunk, vocabulary, counts in zip(*(batch.column(k).to_pylist() for k in ("chunk", "vocabulary", "counts")), strict=True):
                 words, counts = np.frombuffer(vocabulary, np.uint64), np.frombuffer(counts, np.int64)
                 bucket = _bucket(words, buckets)
-                order = np.argsort(bucket, kind="stable")
+                order = _by_bucket(words, buckets)
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 pieces = [order[a:b] for a, b in zip(cut, cut[1:], strict=False)]
                 yield pa.RecordBatch.from_pydict({"bucket": list(range(buckets)), "chunk": [chunk] * buckets, "words": [words[x].tobytes() for x in pieces], "counts": [counts[x].astype(np.uint32).tobytes() for x in pieces]}, schema=pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())]))
@@ -115,7 +115,7 @@ def _counts(row: dict, said: list, buckets: int) -> np.ndarray:
     words = np.frombuffer(row["vocabulary"], np.uint64)
     counts = np.empty(len(words), np.int64)
     unpack = zstandard.ZstdDecompressor()
-    counts[np.argsort(_bucket(words, buckets), kind="stable")] = np.frombuffer(b"".join(unpack.decompress(x) for _, what, x in said if what == 0), np.int64)
+    counts[_by_bucket(words, buckets)] = np.frombuffer(b"".join(unpack.decompress(x) for _, what, x in said if what == 0), np.int64)
     return counts
 
 
@@ -123,6 +123,12 @@ def _bucket(words: np.ndarray, buckets: int) -> np.ndarray:
     return (words >> np.uint64(32)).astype(np.int64) % buckets
 
 
+def _by_bucket(words: np.ndarray, buckets: int) -> np.ndarray:
+    """Places of words in the order of their buckets; numbers of 16 bits are sorted by radix."""
+    bucket = _bucket(words, buckets)
+    return np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+
+
 @dataclass
 class Corpus:
     """Chunks, the buckets' answers to them (the corpus's counts), and sums over the vocabulary."""
@@ -185,10 +191,14 @@ def _pairs(frequent: np.ndarray, buckets: int, parts: int = 16):
 
 def _table(row: dict, unit: np.ndarray, units: int) -> np.ndarray:
     """Counts of pairs of units in a chunk's training texts; unit holds the vocabulary's."""
-    unit = unit[np.frombuffer(row["codes"], np.int32)]
-    taught = np.repeat(np.array(row["train"], bool), np.frombuffer(row["lengths"], np.int32))
-    before = np.r_[0, unit[:-1]]  # the end of the text before stands before each text
-    return np.bincount(before[taught] * units + unit[taught], minlength=units * units).reshape(units, units)
+    pair = unit[np.frombuffer(row["codes"], np.int32)]
+    pair[1:] += pair[:-1] * units  # the end of the text before (unit 0) stands before each text
+    return np.bincount(pair[_taught(row)], minlength=units * units).reshape(units, units)
+
+
+def _taught(row: dict) -> np.ndarray:
+    """Whether each token of a chunk is of a training text."""
+    return np.repeat(np.array(row["train"], bool), np.frombuffer(row["lengths"], np.int32))
 
 
 def _told(corpus: Corpus, kinds: DataFrame | None, run, schema: pa.Schema, columns: str) -> DataFrame:
@@ -261,13 +271,17 @@ def exchange(pairs: np.ndarray, words: int, classes: int, rounds: int = 10) -> n
 
 def _kinds(row: dict, said: list, buckets: int, frequent: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(counts, classes, places of the words that are clustered, by bucket) of a chunk's vocabulary."""
-    words, counts = np.frombuffer(row["vocabulary"], np.uint64), _counts(row, said, buckets)
-    held = np.flatnonzero((counts >= MIN_COUNT) & (words != END))
-    held = held[np.argsort(_bucket(words[held], buckets), kind="stable")]
-    kinds = kind[_units(words, counts, frequent)]
+    words, order, unpack = np.frombuffer(row["vocabulary"], np.uint64), _by_bucket(np.frombuffer(row["vocabulary"], np.uint64), buckets), zstandard.ZstdDecompressor()
+    counts = np.empty(len(words), np.int64)
+    counts[order] = np.frombuffer(b"".join(unpack.decompress(x) for _, what, x in said if what == 0), np.int64)
+    clustered = (counts >= MIN_COUNT) & (words != END)
+    held = order[clustered[order]]
     told = [x for _, what, x in said if what == 1]
-    if told:
-        kinds[held] = np.frombuffer(b"".join(told), np.uint8)
+    if not told:
+        return counts, kind[_units(words, counts, frequent)], held
+    kinds, rest = np.empty(len(words), np.int64), np.flatnonzero(~clustered)
+    kinds[rest] = kind[_units(words[rest], counts[rest], frequent)]
+    kinds[held] = np.frombuffer(b"".join(told), np.uint8)
     return counts, kinds, held
 
 
@@ -284,23 +298,24 @@ def _contexts(corpus: Corpus, frequent: np.ndarray, kind: np.ndarray, n: int, cl
     def run(row: dict, said: list) -> Iterator[dict]:
         _, kinds, held = _kinds(row, said, buckets, frequent, kind)
         words, codes = np.frombuffer(row["vocabulary"], np.uint64), np.frombuffer(row["codes"], np.int32)
-        taught = np.flatnonzero(np.repeat(np.array(row["train"], bool), np.frombuffer(row["lengths"], np.int32))[1:]) + 1
-        line = np.full(len(words), -1, np.int64)
-        line[held] = np.where(_takes_turn(words[held], kinds[held], classes, turn), np.arange(len(held)), -1)
-        own = np.bincount(line[codes[taught]][(codes[taught] == codes[taught - 1]) & (line[codes[taught]] >= 0)], minlength=len(held))
-        owner, cell, times = [], [], []
-        for side, (of, near) in enumerate(((taught - 1, taught), (taught, taught - 1))):
-            at = line[codes[of]]
-            found = np.bincount((at * n + kinds[codes[near]])[at >= 0], minlength=len(held) * n)
-            if side and len(codes) and _taught_first(row) and line[codes[0]] >= 0:
-                found[line[codes[0]] * n] += 1
-            place = np.flatnonzero(found)
-            owner.append(place // n)
-            cell.append(place % n + side * n)
-            times.append(found[place])
-        owner, cell, times = (np.concatenate(x) for x in (owner, cell, times))
-        order = np.argsort(owner, kind="stable")
-        owner, cell, times = owner[order], cell[order].astype(np.uint16), times[order].astype(np.uint32)
+        who = np.flatnonzero(_takes_turn(words[held], kinds[held], classes, turn))
+        used = np.bincount(kinds, minlength=n) > 0  # cells are counted for the classes that the chunk has
+        near, used = (np.cumsum(used) - 1)[kinds], np.flatnonzero(used)
+        wide = 2 * len(used)
+        line = np.full(len(words), -wide, np.int64)
+        line[held[who]] = np.arange(len(who)) * wide
+        taught = _taught(row)[1:]
+        before, word = codes[:-1][taught], codes[1:][taught]
+        place = line[word]
+        own = np.bincount(place[(before == word) & (place >= 0)] // wide, minlength=len(who))
+        places = [line[before] + near[word], place + near[before] + len(used)]
+        if len(codes) and _taught_first(row):
+            places.append(line[codes[:1]] + len(used))
+        found = np.bincount(np.concatenate([x[x >= 0] for x in places]), minlength=len(who) * wide)
+        place = np.flatnonzero(found)
+        line, cell = np.divmod(place, wide)
+        owner, cell, times = who[line], np.r_[used, used + n][cell].astype(np.uint16), found[place].astype(np.uint32)
+        own = np.bincount(who, weights=own, minlength=len(held))
         cut = np.searchsorted(_bucket(words[held], buckets), np.arange(buckets + 1))
         edge, size = np.searchsorted(owner, cut), np.bincount(owner, minlength=len(held)).astype(np.uint16)
         for k, (a, b, c, d) in enumerate(zip(cut, cut[1:], edge, edge[1:], strict=False)):
@@ -360,8 +375,9 @@ def _moved(table: np.ndarray, classes: int, turn: int, slice_words: int = 8192):
         codes, seen, first = distinct(data["words"])
         was, own = data["kinds"][first].astype(np.int64), np.bincount(codes, weights=data["own"], minlength=len(seen))
         owner = np.repeat(codes.astype(np.int32), data["size"])
-        order = np.argsort(owner, kind="stable")
-        owner, cell, times = owner[order], data["cell"][order], data["times"][order]
+        part = owner // slice_words
+        order = np.argsort(part.astype(np.uint16) if len(seen) <= slice_words << 16 else part, kind="stable")
+        part, owner, cell, times = part[order], owner[order], data["cell"][order], data["times"][order]
         kind = was.copy()
         for a in range(0, len(seen), slice_words):
             b = min(a + slice_words, len(seen))
@@ -370,7 +386,7 @@ def _moved(table: np.ndarray, classes: int, turn: int, slice_words: int = 8192):
             if not len(who):
                 continue
             line = np.cumsum(turns) - 1
-            c, d = np.searchsorted(owner, (a, b))
+            c, d = np.searchsorted(part, (a // slice_words, a // slice_words + 1))
             of = owner[c:d].astype(np.int64) - a
             held = turns[of]
             near = np.bincount(line[of[held]] * 2 * n + cell[c:d][held], weights=times[c:d][held], minlength=len(who) * 2 * n).reshape(len(who), 2 * n)
