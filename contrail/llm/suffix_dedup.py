@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import materialise
-from ._text import distinct, mix, prefix_hash, range_hash, steps, text_bytes
+from ._text import distinct, mix, powers, prefix_hash, steps, text_bytes
 
 SPAN, GRAM, CHUNK_BYTES, BUCKET_BYTES, MIN_BUCKETS, FREQUENT = 50, 24, 4 << 20, 16 << 20, 128, 1000
 #: Bytes of contexts that a bucket sorts at once; buckets of more go slice by slice, each with all contexts of its anchors.
@@ -69,21 +69,33 @@ class Anchors:
     def __init__(self, data: np.ndarray, lengths: np.ndarray, ids: np.ndarray, span: int) -> None:
         self.data, self.span = data, span
         bounds = np.r_[0, np.cumsum(lengths)]
-        self.prefix = prefix_hash(data)
         cuts = np.unique(np.searchsorted(bounds, np.r_[np.arange(0, len(data), PIECE_BYTES), len(data)]))
-        found = [self._found(bounds[a : b + 1], ids[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        self.lows = bounds[cuts[:-1]]
+        # sums of a piece alone, so that the tables of powers are short ones that are kept
+        sums = [prefix_hash(data[bounds[a] : bounds[b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        found = [self._found(x, bounds[a : b + 1], ids[a:b]) for x, a, b in zip(sums, cuts, cuts[1:], strict=False)]
+        self.sums = np.concatenate([np.empty(0, np.uint64), *sums])
         empty = [np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.int64)]
         self.first, self.last, self.key, self.doc = (np.concatenate(x) for x in zip(empty, *found, strict=True))
 
-    def _found(self, bounds: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def content(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """range_hash of ranges that lie in one document each."""
+        if not len(start):
+            return np.empty(0, np.uint64)
+        piece = np.searchsorted(self.lows, start, side="right") - 1  # piece k has k sums more before it than bytes
+        local = start - self.lows[piece]
+        shift = powers(local.max() + 1, inverse=True)[local]
+        return mix((self.sums[end + piece] - self.sums[start + piece]) * shift + (end - start).astype(np.uint64))
+
+    def _found(self, sums: np.ndarray, bounds: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(first string, last string, key, document) of each anchor of the documents between bounds."""
         lengths, low = np.diff(bounds), bounds[0]
         count = np.maximum(lengths - self.span + 1, 0)
         if not count.sum():
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
-        gram = np.arange(bounds[-1] - low - GRAM + 1)
-        hashes = range_hash(self.prefix, gram + low, gram + low + GRAM)
-        packed = (hashes >> np.uint64(32) << np.uint64(32)) | gram.astype(np.uint64)
+        n = len(sums) - GRAM
+        hashes = mix((sums[GRAM:] - sums[:-GRAM]) * powers(n, inverse=True) + np.uint64(GRAM))
+        packed = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
         chosen = (_slide_min(packed, self.span - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         ends = np.cumsum(count)
         starts = np.arange(ends[-1]) + np.repeat(bounds[:-1] - low - (ends - count), count)
@@ -125,7 +137,7 @@ class Items:
         self.count = np.r_[anchors.last[one] - anchors.first[one] + 1, np.ones(len(each), np.int64)]
         self.doc = np.r_[anchors.doc[one], np.repeat(anchors.doc[many], count)]
         end = self.start + self.count + anchors.span - 1
-        content = range_hash(anchors.prefix, self.start, end) if len(end) else np.empty(0, np.uint64)
+        content = anchors.content(self.start, end)
         key = np.r_[anchors.key[one], content[len(one) :]]
         self.code, _, first = distinct(mix(content + key))
         least = np.full(len(first), LAST)
