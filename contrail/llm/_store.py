@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a few numbers or digests that one file holds, some MB.
+ROWS_A_FILE = 100_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where it is unset (tests on one machine), a temporary one is set."""
@@ -19,9 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: the rows survive lost executors, the lineage ends."""
+def materialise(df: DataFrame, name: str, partition_by: str | None = None, rows: int | None = None, per_file: int = ROWS_A_FILE) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: the rows survive lost executors, the lineage ends.
+
+    rows: no more than about so many are in df. It is then written as the files that these need, one for each core at least,
+    instead of one for each partition: for every file that Hadoop creates in a local folder the executor forks a chmod.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // per_file)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)

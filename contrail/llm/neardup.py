@@ -46,6 +46,8 @@ SHINGLE, SKETCH, INDEX, RARE, PERCENT = 5, 48, 12, 16, 80
 MOSTLY_FREQUENT, SIGMAS, SALTS = 0.5, 5.5, 32
 #: Ids up to this number are broadcast to the scan of texts; more are joined.
 BROADCAST_IDS = 1_000_000
+#: Sketches, texts and pairs of texts that one file or task holds, some MB.
+SKETCHES_A_FILE, TEXTS_A_FILE, PAIRS_A_TASK = 20_000, 5_000, 1_000
 
 
 def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,8 +106,9 @@ class _Search:
         rows = docs.mapInArrow(_sketch(shingle, sketch), "doc_id bigint, n bigint, node binary, sketch array<bigint>")
         self.base = materialise(rows, "neardup-sketches")
         nodes = self.base.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-        self.nodes = materialise(nodes, "neardup-nodes")
-        self.found = None
+        self.rows = self.base.count()
+        self.nodes = materialise(nodes, "neardup-nodes", rows=self.rows, per_file=SKETCHES_A_FILE)
+        self.found, self.most_found = None, 0
 
     def _rows_of(self, ids: DataFrame) -> DataFrame:
         """Texts of the rows with these ids; a null id stands for all rows without one, which their nodes tell apart."""
@@ -129,7 +132,6 @@ class _Search:
     def _test(self, pairs: DataFrame) -> None:
         """Filter candidate pairs (a, b) by sketch, verify the rest, and add what is linked."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialise(pairs, "neardup-pairs")
         sketches = self.nodes.select("node", "n", "sketch", "rep")
         both = pairs
         for side in ("a", "b"):
@@ -139,9 +141,10 @@ class _Search:
         share = self.percent / 100
         bound = share - SIGMAS * (share * (1 - share) / self.sketch_size) ** 0.5
         likely = materialise(both.filter(common >= bound * F.size(union)).select("a", "b", "rep_a", "rep_b"), "neardup-likely")
-        if self.found is not None and likely.isEmpty():
+        n = likely.count()
+        if self.found is not None and not n:
             return
-        ids = materialise(likely.select(F.col("rep_a").alias("doc_id")).unionByName(likely.select(F.col("rep_b").alias("doc_id"))).distinct(), "neardup-ids")
+        ids = materialise(likely.select(F.col("rep_a").alias("doc_id")).unionByName(likely.select(F.col("rep_b").alias("doc_id"))).distinct(), "neardup-ids", rows=2 * n)
         wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         shingle, percent = self.shingle, self.percent
 
@@ -152,7 +155,7 @@ class _Search:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), batch.column("text")], ["node", "text"])
 
         held = self._rows_of(wanted).mapInArrow(texts, "node binary, text string")
-        held = materialise(held.dropDuplicates(["node"]), "neardup-texts")
+        held = materialise(held.dropDuplicates(["node"]), "neardup-texts", rows=2 * n, per_file=TEXTS_A_FILE)
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in steps(batches, "text_a"):
@@ -165,24 +168,26 @@ class _Search:
         full = likely.select("a", "b")
         for side in ("a", "b"):
             full = full.join(held.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
-        links = materialise(full.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a binary, b binary"), "neardup-links")
+        links = materialise(full.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a binary, b binary"), "neardup-links", rows=n, per_file=PAIRS_A_TASK)
         self._add(links)
 
     def _add(self, links: DataFrame) -> None:
         """Join the components that links connect; only these links take part, not those of the steps before."""
+        n = links.count()
+        self.most_found += 2 * n
         if self.found is None:
-            self.found = materialise(components(links), "neardup-components")
+            self.found = materialise(components(links, n), "neardup-components", rows=self.most_found)
             return
         known = self.found
         for side in ("a", "b"):
             of = self.found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
             links = links.join(of, side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
-        links = materialise(links, "neardup-links")
+        links = materialise(links, "neardup-links", rows=n)
         alone = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct().join(known, "node", "left_anti")
         known = known.unionByName(alone.select("node", F.col("node").alias("component")))
-        met = components(links.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("_met"))
+        met = components(links.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")), n).select(F.col("node").alias("component"), F.col("component").alias("_met"))
         joined = known.join(met, "component", "left").select("node", F.coalesce("_met", "component").alias("component"))
-        self.found = materialise(joined, "neardup-components")
+        self.found = materialise(joined, "neardup-components", rows=self.most_found)
 
     def run(self) -> DataFrame:
         """Stars, rare lists, frequent lists; gives (node, component)."""
@@ -193,7 +198,7 @@ class _Search:
         self._test(star.select(F.col("head.node").alias("a"), F.col("node").alias("b")))
 
         frequent = lists.filter(F.col("members") > self.rare)
-        touched = materialise(frequent.select("node").distinct(), "neardup-touched")
+        touched = materialise(frequent.select("node").distinct(), "neardup-touched", rows=self.rows)
         wide = self.nodes.join(touched, "node", "left_semi").select("node", "n", F.explode("sketch").alias("value"))
         wide = self._lists(wide)
         rare_lists = lists.filter(F.col("members") <= self.rare).select("value", "node", "n").unionByName(wide.filter(F.col("members") <= self.rare).select("value", "node", "n")).distinct()
@@ -254,7 +259,7 @@ class _Search:
         held = held.select("node", F.size("set").cast("long").alias("common"), F.md5(F.to_json("set")).alias("digest"), "n", "index", bits.alias("part"))
         held = held.select("node", "common", (F.col("n") - F.col("common")).alias("own"), "digest", "index", "part", (F.col("common") - F.size("part")).alias("lost"))
         rare = full.join(lists.filter(F.col("members") <= self.rare), "value").select("value", "node").join(self.nodes.select("node", "n"), "node")
-        return materialise(held, "neardup-parts"), rare
+        return materialise(held, "neardup-parts", rows=self.rows, per_file=SKETCHES_A_FILE), rare
 
     def _pairs_in(self, rare_lists: DataFrame) -> DataFrame:
         """(a, b): pairs of different components and like sizes within lists (value, node, n) of at most rare members."""
@@ -265,7 +270,7 @@ class _Search:
 
     def _full_sets(self, nodes: DataFrame) -> DataFrame:
         """(node, value): the full sets of some nodes."""
-        ids = materialise(self.nodes.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "neardup-ids")
+        ids = materialise(self.nodes.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "neardup-ids", rows=self.rows)
         wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         shingle = self.shingle
 
