@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit
-from ..storage import shared_dir
+from ..storage import shared_dir, written
 from ..streaming import feedback as streams
 from .queries import _A, _attempts, _page_calls, _page_changes, query, table, template_match_sql
 
@@ -117,7 +117,7 @@ def chain_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.sha2(F.concat_ws("/", "user_id", "event_id", "event_type"), 256)
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts", (F.row_number().over(w) - 1).alias("event_index"), own.alias("own"))
     rows = rows.withColumn("previous_event_hash", F.lag("own", 1, audit.ZERO).over(w)).withColumn("event_hash", F.when(F.col("event_id") % 101 == 0, F.sha2(F.lit("tampered"), 256)).otherwise(F.col("own")))
-    rows = rows.withColumn("log_id", F.col("user_id").cast("string"))
+    rows = written(rows.withColumn("log_id", F.col("user_id").cast("string")), "logs")  # logs are sorted once, not for each slice
     return in_slices(rows, F.least(F.lit(2), F.floor((F.dayofmonth("ts") - 1) / 10)), lambda s: streams.chain_violations(s, F.col("own")))
 
 

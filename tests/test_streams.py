@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from contrail.operators import match
@@ -59,3 +60,17 @@ def test_open_pairs_with_variable_calls(spark):
     rows = lambda f: {(r[0], r[1]) for r in f(changes, calls).select("change.change_id", "call.call_id").collect()}
     whole = {(c, k) for c, k in rows(match.candidate_pairs) if paths[int(c[1:])]}
     assert rows(match._open_pairs) == whole and len(whole) > 15
+
+
+def test_logs_are_sorted_once(spark, sf, monkeypatch):
+    """chain_stream gives its slices a written table, not the windows over all logs once a slice."""
+    class Seen(Exception):
+        pass
+
+    def slices(rows, *_):
+        raise Seen(rows._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(stream_queries, "in_slices", slices)
+    with pytest.raises(Seen) as seen:
+        stream_queries.chain_stream(spark, sf)
+    assert "Window" not in str(seen.value)
