@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,22 +35,24 @@ from ._text import distinct, mix, powers, prefix_hash, steps, text_bytes
 
 SPAN, GRAM, CHUNK_BYTES, BUCKET_BYTES, MIN_BUCKETS, FREQUENT = 50, 24, 4 << 20, 16 << 20, 128, 1000
 #: Bytes of contexts that a bucket sorts at once; buckets of more go slice by slice, each with all contexts of its anchors.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Bytes of a chunk whose anchors are sought at once, up to the end of a document.
 PIECE_BYTES = 1 << 19
 #: Answers of at most so many bytes are broadcast to the scan of chunks; more are joined.
 BROADCAST_BYTES = 64 << 20
 LAST = np.iinfo(np.int64).max
+#: In place of an anchor's place in its context: a single string of a frequent anchor, which goes by all its bytes.
+WHOLE = 255
 CHUNK = "chunk bigint, ids array<bigint>, lengths binary, data binary, size bigint"
 CUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,length:bigint>>"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part = TaskContext.get().partitionId()
+    part, pack = TaskContext.get().partitionId(), zstandard.ZstdCompressor()
     for number, batch in enumerate(steps(batches, limit=CHUNK_BYTES)):
         data, bounds = text_bytes(batch.column("text"))
         arrays = [pa.array([x]) for x in ((part << 24) | number,)] + [pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64()))]
-        arrays += [pa.array([np.diff(bounds).tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary()), pa.array([len(data)], pa.int64())]
+        arrays += [pa.array([np.diff(bounds).tobytes()], pa.binary()), pa.array([pack.compress(data.tobytes())], pa.binary()), pa.array([len(data)], pa.int64())]
         yield pa.RecordBatch.from_arrays(arrays, ["chunk", "ids", "lengths", "data", "size"])
 
 
@@ -71,12 +74,15 @@ class Anchors:
         bounds = np.r_[0, np.cumsum(lengths)]
         cuts = np.unique(np.searchsorted(bounds, np.r_[np.arange(0, len(data), PIECE_BYTES), len(data)]))
         self.lows = bounds[cuts[:-1]]
-        # sums of a piece alone, so that the tables of powers are short ones that are kept
-        sums = [prefix_hash(data[bounds[a] : bounds[b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        found = [self._found(x, bounds[a : b + 1], ids[a:b]) for x, a, b in zip(sums, cuts, cuts[1:], strict=False)]
-        self.sums = np.concatenate([np.empty(0, np.uint64), *sums])
-        empty = [np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.int64)]
-        self.first, self.last, self.key, self.doc = (np.concatenate(x) for x in zip(empty, *found, strict=True))
+        self.sums = np.empty(len(data) + len(self.lows), np.uint64)
+        found = []
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            # sums of a piece alone, so that the tables of powers are short ones that are kept
+            own = self.sums[bounds[a] + k : bounds[b] + k + 1]
+            own[:] = prefix_hash(data[bounds[a] : bounds[b]])
+            found.append(self._found(own, bounds[a : b + 1], ids[a:b]))
+        empty = [np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.int64, np.int64)]
+        self.first, self.last, self.key, self.doc, self.gram = (np.concatenate(x) for x in zip(empty, *found, strict=True))
 
     def content(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """range_hash of ranges that lie in one document each."""
@@ -87,12 +93,12 @@ class Anchors:
         shift = powers(local.max() + 1, inverse=True)[local]
         return mix((self.sums[end + piece] - self.sums[start + piece]) * shift + (end - start).astype(np.uint64))
 
-    def _found(self, sums: np.ndarray, bounds: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first string, last string, key, document) of each anchor of the documents between bounds."""
+    def _found(self, sums: np.ndarray, bounds: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(first string, last string, key, document, place) of each anchor of the documents between bounds."""
         lengths, low = np.diff(bounds), bounds[0]
         count = np.maximum(lengths - self.span + 1, 0)
         if not count.sum():
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         n = len(sums) - GRAM
         hashes = mix((sums[GRAM:] - sums[:-GRAM]) * powers(n, inverse=True) + np.uint64(GRAM))
         packed = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
@@ -104,7 +110,7 @@ class Anchors:
         new = np.ones(len(starts), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
         at = np.flatnonzero(new)
-        return starts[at] + low, starts[np.r_[at[1:], len(starts)] - 1] + low, hashes[anchor[at]], ids[owner[at]]
+        return starts[at] + low, starts[np.r_[at[1:], len(starts)] - 1] + low, hashes[anchor[at]], ids[owner[at]], anchor[at] + low
 
     def distinct(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(code of each anchor, distinct keys, their documents, their buckets); keys in the order of bucket and value."""
@@ -150,6 +156,7 @@ class Items:
         first = first[order]
         self.least, self.bucket, self.key, self.content = least[order], bucket[order], key[first], content[first]
         self.at, self.size = self.start[first], (end - self.start)[first]
+        self.gram = np.r_[anchors.gram[one] - anchors.first[one], np.full(len(each), WHOLE)][first]
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -162,10 +169,12 @@ def _row_anchors(row: dict, span: int) -> Anchors:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Row by row: only one chunk's bytes are copied out of a batch at a time."""
+    """Row by row: only one chunk's bytes are unpacked out of a batch at a time."""
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
+            row = batch.slice(i, 1).to_pylist()[0]
+            yield row | {"data": unpack.decompress(row["data"])}
 
 
 def _send_anchors(span: int, buckets: int, width: int):
@@ -212,28 +221,74 @@ def _unpacked(blob: bytes) -> bytes:
     return b"".join(out)
 
 
-def _items(row: dict, span: int, buckets: int) -> tuple[Anchors, Items]:
+def _items(row: dict, span: int, buckets: int) -> Items:
     anchors = _row_anchors(row, span)
     code, *_ = anchors.distinct(buckets)
     level = np.frombuffer(_unpacked(row["levels"]), np.uint8)[code]
-    return anchors, Items(anchors, level, buckets)
+    return Items(anchors, level, buckets)
+
+
+def _narrow(docs: np.ndarray) -> tuple[int, np.ndarray]:
+    """(base, differences of documents from it in as few bytes as hold them); all bits are set for LAST."""
+    known = docs != LAST
+    base = int(docs[known].min()) if known.any() else 0
+    far = (docs - base).view(np.uint64)
+    top = int(far[known].max()) if known.any() else 0
+    kind = next(t for t in (np.uint16, np.uint32, np.uint64) if top < np.iinfo(t).max)
+    return base, np.where(known, far, np.iinfo(kind).max).astype(kind)
+
+
+def _wide(base: int, n: int, sent: np.ndarray) -> np.ndarray:
+    """The n documents of _narrow from the bytes sent."""
+    far = sent.view(f"u{len(sent) // max(n, 1) or 2}")
+    return np.where(far == np.iinfo(far.dtype).max, LAST, far.astype(np.int64) + base)
 
 
 def _send_items(span: int, buckets: int):
+    """Hashes are not sent: buckets make them from the contexts (_widened)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            anchors, items = _items(row, span, buckets)
+            items = _items(row, span, buckets)
             cut = np.searchsorted(items.bucket, np.arange(buckets + 1))
             pieces = list(zip(cut, cut[1:], strict=False))
-            columns = {"bucket": list(range(buckets)), "chunk": [row["chunk"]] * buckets}
-            columns |= {k: [x[a:b].tobytes() for a, b in pieces] for k, x in (("keys", items.key), ("contents", items.content), ("least", items.least), ("sizes", items.size.astype(np.uint16)))}
+            base, least = _narrow(items.least)
+            columns = {"bucket": list(range(buckets)), "chunk": [row["chunk"]] * buckets, "base": [base] * buckets}
+            columns |= {k: [x[a:b].tobytes() for a, b in pieces] for k, x in (("grams", items.gram.astype(np.uint8)), ("least", least), ("sizes", items.size.astype(np.uint8)))}
             start, end = items.at.tolist(), (items.at + items.size).tolist()
             columns["data"] = [b"".join([row["data"][i:j] for i, j in zip(start[a:b], end[a:b], strict=True)]) for a, b in pieces]
-            yield pa.RecordBatch.from_pydict(columns, schema=pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *[(k, pa.binary()) for k in ("keys", "contents", "least", "sizes", "data")]]))
+            del items
+            yield pa.RecordBatch.from_pydict(columns, schema=pa.schema([*[(k, pa.int64()) for k in ("bucket", "chunk", "base")], *[(k, pa.binary()) for k in ("grams", "least", "sizes", "data")]]))
 
     return run
 
 
+def _widened(table: pa.Table) -> pa.Table:
+    """What was sent with the hashes that it leaves out: of each context, and of its anchor."""
+    out = []
+    for batch in table.to_batches():
+        (data, _), (sizes, bounds), (grams, _), (least, cuts) = (text_bytes(batch.column(k)) for k in ("data", "sizes", "grams", "least"))
+        start, size = np.cumsum(sizes, dtype=np.int64) - sizes, sizes.astype(np.int64)
+        key, content = _hashed(data, start + np.where(grams == WHOLE, 0, grams), np.full(len(size), GRAM)), _hashed(data, start, size)
+        key = np.where(grams == WHOLE, content, key)
+        least = [_wide(b, n, least[i:j]) for b, n, i, j in zip(batch.column("base").to_pylist(), np.diff(bounds), cuts, cuts[1:], strict=False)]
+        found = {"keys": key, "contents": content, "least": np.concatenate([np.empty(0, np.int64), *least]), "sizes": sizes.astype(np.uint16)}
+        binary = lambda x: pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds * x.itemsize), pa.py_buffer(x)])
+        out.append(pa.RecordBatch.from_pydict({k: batch.column(k) for k in ("bucket", "chunk", "data")} | {k: binary(x) for k, x in found.items()}))
+    return pa.Table.from_batches(out)
+
+
+def _hashed(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of data of 8 bytes at least."""
+    if not len(start):
+        return np.empty(0, np.uint64)
+    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # a number at each byte, over the same bytes
+    out = mix(words[start + size - 8] + size.astype(np.uint64))
+    for k in range(0, int(size.max()) - 8, 8):
+        out = np.where(size - 8 > k, mix(out + words[np.minimum(start + k, len(words) - 1)]), out)
+    return out
+
+
 def two_stage(text: np.ndarray) -> np.ndarray:
     """Suffix array of text (uint8; 0 ends each part of it), exact to the first 56 bytes of each suffix.
 
@@ -355,26 +410,35 @@ def _masks(keys: np.ndarray, contents: np.ndarray, least: np.ndarray, sizes: np.
 
 
 def _judge_items(span: int):
+    """Slice by slice; contexts stay where Arrow has them until their slice takes its own."""
+
     def run(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("chunk").to_pydict()
-        keys, contents, least, sizes, data = (np.frombuffer(b"".join(rows[k]), t) for k, t in (("keys", np.uint64), ("contents", np.uint64), ("least", np.int64), ("sizes", np.uint16), ("data", np.uint8)))
-        sizes = sizes.astype(np.int64)
-        lengths = [len(x) // 8 for x in rows["keys"]]
-        rows = {k: rows[k] for k in ("chunk", "bucket")}
-        slices = -(-len(data) // SLICE_BYTES)
-        if slices < 2:
-            return _answers(rows, _masks(keys, contents, least, sizes, data, span), lengths)
-        masks, place = np.empty(len(keys), np.uint64), np.r_[0, np.cumsum(sizes)]
-        of = mix(keys) % np.uint64(slices)
+        keys, contents, least, sizes = (_column(table, k, t) for k, t in (("keys", np.uint64), ("contents", np.uint64), ("least", np.int64), ("sizes", np.uint16)))
+        masks, of, parts, done = np.empty(len(keys), np.uint64), mix(keys), [], 0
+        for batch in table.to_batches():
+            data, _ = text_bytes(batch.column("data"))
+            n = len(text_bytes(batch.column("sizes"))[0]) // sizes.itemsize
+            places = np.r_[0, np.cumsum(sizes[done : done + n], dtype=np.int64)]
+            parts.append((done, pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(places), pa.py_buffer(data)])))
+            done += n
+        slices = max(1, -(-int(sizes.sum(dtype=np.int64)) // SLICE_BYTES))
+        of %= np.uint64(slices)
         for k in range(slices):
             at = np.flatnonzero(of == k)
-            own = np.concatenate([data[place[i] : place[i + 1]] for i in at]) if len(at) else data[:0]
-            masks[at] = _masks(keys[at], contents[at], least[at], sizes[at], own, span)
-        return _answers(rows, masks, lengths)
+            own = [text_bytes(x.take(pa.array(at[np.searchsorted(at, low) : np.searchsorted(at, low + len(x))] - low)))[0] for low, x in parts]
+            masks[at] = _masks(keys[at], contents[at], least[at], sizes[at].astype(np.int64), np.concatenate([np.empty(0, np.uint8), *own]), span)
+        rows = {k: table.column(k).to_pylist() for k in ("chunk", "bucket")}
+        return _answers(rows, masks, (np.asarray(pc.binary_length(table.column("keys"))) // 8).tolist())
 
     return run
 
 
+def _column(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    """The numbers of all rows in a row; copied only if they lie in several batches."""
+    parts = [text_bytes(x)[0] for x in table.column(name).chunks]
+    return (parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint8), *parts])).view(kind)
+
+
 def _gather(name: str):
     def run(table: pa.Table) -> pa.Table:
         return pa.table({"chunk": table.column("chunk")[:1], name: pa.array([b"".join(len(x).to_bytes(4, "little") + x for x in table.sort_by("bucket").column("answer").to_pylist())], pa.binary())})
@@ -385,20 +449,20 @@ def _gather(name: str):
 def _cut(span: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            anchors, items = _items(row, span, buckets)
+            items, data = _items(row, span, buckets), np.frombuffer(row["data"], np.uint8)
             lengths = np.frombuffer(row["lengths"], np.int64)
             masks = np.frombuffer(_unpacked(row["masks"]), np.uint64)[items.code]
             masks = np.where(items.doc > items.least[items.code], np.uint64(2**64 - 1), masks)
-            covered = np.zeros(len(anchors.data) + 1, np.int32)
+            covered = np.zeros(len(data) + 1, np.int8)  # no byte lies in over 56 strings, and no two start at one place
             for k in range(int(items.count.max()) if len(items.count) else 0):
                 hit = items.start[(items.count > k) & (masks >> np.uint64(k) & np.uint64(1) == 1)] + k
-                np.add.at(covered, hit, 1)
-                np.add.at(covered, hit + span, -1)
-            gone = np.cumsum(covered, dtype=np.int32)[:-1] > 0
+                covered[hit] += 1
+                covered[hit + span] -= 1
+            gone = np.cumsum(covered, dtype=np.int8)[:-1] > 0
             bounds = np.r_[0, np.cumsum(lengths)]
             found = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
             for i, doc in enumerate(row["ids"]):
-                part, own = anchors.data[bounds[i] : bounds[i + 1]], gone[bounds[i] : bounds[i + 1]]
+                part, own = data[bounds[i] : bounds[i + 1]], gone[bounds[i] : bounds[i + 1]]
                 edge = np.flatnonzero(np.diff(np.r_[0, own.view(np.int8), 0]))
                 spans = [{"start": int(a), "length": int(b - a)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
                 kept = part[~own] if spans else part
@@ -427,6 +491,7 @@ def repeated_passages(docs: DataFrame, span: int = SPAN) -> DataFrame:
     width = min(8, 2 + (total.bit_length() + 7) // 8)  # bytes of a key that tell the corpus's anchors apart, but for one in thousands
     sent = chunks.mapInArrow(_send_anchors(span, buckets, width), "bucket bigint, chunk bigint, keys binary, docs binary")
     chunks = _tell(chunks, sent.groupBy("bucket").applyInArrow(_judge_anchors(width), "chunk bigint, bucket bigint, answer binary"), "levels")
-    sent = chunks.mapInArrow(_send_items(span, buckets), "bucket bigint, chunk bigint, keys binary, contents binary, least binary, sizes binary, data binary")
-    chunks = _tell(chunks, sent.groupBy("bucket").applyInArrow(_judge_items(span), "chunk bigint, bucket bigint, answer binary"), "masks")
+    sent = chunks.mapInArrow(_send_items(span, buckets), "bucket bigint, chunk bigint, base bigint, grams binary, least binary, sizes binary, data binary")
+    judge = _judge_items(span)
+    chunks = _tell(chunks, sent.groupBy("bucket").applyInArrow(lambda table: judge(_widened(table)), "chunk bigint, bucket bigint, answer binary"), "masks")
     return chunks.mapInArrow(_cut(span, buckets), CUT)
