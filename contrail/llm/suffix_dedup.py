@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import materialise
@@ -473,10 +473,16 @@ def _cut(span: int, buckets: int):
     return run
 
 
+def _release(spark: SparkSession) -> None:
+    """Shuffle files of what has been written go when the driver collects all its garbage; else a round's lie there in the next."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def _tell(chunks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
     """chunks with the answers of all buckets in a row as one column."""
     told = materialise(answers.groupBy("chunk").applyInArrow(_gather(name), f"chunk bigint, {name} binary"), f"suffix-{name}")
     size = told.agg(F.sum(F.octet_length(name))).first()[0] or 0
+    _release(chunks.sparkSession)
     return chunks.join(F.broadcast(told) if size <= BROADCAST_BYTES else told, "chunk")
 
 

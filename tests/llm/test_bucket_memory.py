@@ -71,3 +71,13 @@ def test_chunks_move_as_packed_bytes(spark):
     rows = [x for b in batches for x in b.to_pylist()]
     assert sum(len(r["data"]) for r in rows) < sum(r["size"] for r in rows) / 4
     assert b"".join(r["data"] for r in suffix_dedup._rows(iter(batches))) == "".join(t or "" for _, t in texts).encode()
+
+
+def test_each_round_lets_go_of_its_shuffles(spark, monkeypatch):
+    """Whether files have gone hangs on the heap; that the driver is asked to let go after both rounds' answers does not."""
+    done, release, tell = [], suffix_dedup._release, suffix_dedup._tell
+    monkeypatch.setattr(suffix_dedup, "_release", lambda session: done.append("let go") or release(session))
+    monkeypatch.setattr(suffix_dedup, "_tell", lambda chunks, answers, name: (tell(chunks, answers, name), done.append(name))[0])
+    docs = spark.createDataFrame([(i, f"some words that often come back {i % 7} " * 20) for i in range(60)], "doc_id long, text string")
+    assert suffix_dedup.repeated_passages(docs).count() == 60
+    assert done == ["let go", "levels", "let go", "masks"]
